@@ -57,3 +57,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held_out(doc_id: Column) -> Column:
+    """The third of the ids that no model learns from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out third, the first in hash order.
+
+    The chosen ids are at most ``bound`` rows, which is what makes them fit to broadcast.
+    """
+    ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(materialize(ids, "labelled-ids")), "doc_id").dropDuplicates(["doc_id"])
