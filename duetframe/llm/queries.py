@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontam, line_dedup, mixing, quality_rules, simhash
-from .common import held_out, table
+from . import crf, decontam, line_dedup, mixing, quality_rules, simhash, warc
+from .common import held_out, scratch_path, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archive(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    whole = F.col("record_type") == "response"  # what a response says of its payload is computed again from what was read
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = crf.score(docs, crf.train(docs, table(spark, sf_dir, "labels")))
@@ -45,9 +57,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_line_crf, op5_line_dedup, op7_decontamination, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_simhash, op3_warc, op4_line_crf, op5_line_dedup, op7_decontamination, op8_quality_rules, op10_mixing)}
 
 
+OP3_SQL = """
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+digests AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM bodies),
+firsts AS (SELECT payload_digest, min(page_id) AS first_page FROM digests WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first_page <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_page <> d.page_id THEN f.first_page END AS refers_to
+FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest
+"""
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
@@ -90,4 +111,4 @@ FROM split_docs d LEFT JOIN spots s ON d.doc_id = s.doc_id LEFT JOIN found f ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
