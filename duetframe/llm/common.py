@@ -73,3 +73,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, *, label_col
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(materialize(ids, "labelled-ids")), "doc_id").dropDuplicates(["doc_id"])
+
+
+SPAN = "struct<start:int,end:int,text:string>"
+
+
+def find_spans(text: Column, pattern: str, *, group: int | None = None) -> Column:
+    """array<struct<start, end, text>>: the leftmost non-overlapping matches, in code points, end exclusive.
+
+    What lies between the matches comes from splitting by the same pattern; adding up lengths gives the places. ``text`` of
+    a span is the match, or its ``group``. The pattern must not match the empty string.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(found, F.slice(F.split(text, pattern), 1, F.size(found)), lambda m, gap: F.struct(m.alias("text"), F.char_length(gap).alias("gap"), F.char_length(m).alias("n")))
+    if group is not None:
+        parts = F.zip_with(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p, g: F.struct(g.alias("text"), p["gap"].alias("gap"), p["n"].alias("n")))
+
+    def step(s: Column, p: Column) -> Column:
+        start = s["at"] + p["gap"]
+        return F.struct((start + p["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["text"].alias("text")))).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda s: s["out"])
+
+
+def span_list(spans: Column, kinds: list[str], by_kind: bool) -> Column:
+    """"kind:start:end,...": by kind as listed and then start, or by start and then kind; ``spans`` has kind, start, end."""
+    rank = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
+
+    def key(s: Column) -> Column:
+        r = rank[s["kind"]]
+        head = [r.alias("a"), s["start"].alias("b")] if by_kind else [s["start"].alias("a"), r.alias("b")]
+        return F.struct(*head, s["end"].alias("c"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+    return F.array_join(F.transform(F.array_sort(F.transform(spans, key)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def literal_doubles(values: list[float]) -> Column:
+    """A constant array<double>; one literal after constant folding."""
+    return F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
