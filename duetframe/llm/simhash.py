@@ -183,3 +183,63 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, pa
     linked = linked.join(ids, "component").select("fp", "component_id")
     ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Hashes of shingles that a sketch keeps, the smallest; texts with no more shingles are compared exactly.
+SKETCH = 256
+#: Radii of the passes that drop near-duplicates.
+RADII = (3, 7)
+
+
+def _prints(shingle: int, sketch: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+                shingles = np.unique((shingle_hashes(words, shingle) >> np.uint64(33)).astype(np.int32))[:sketch]
+                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), shingles))
+            same, fp, shingles = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(list(shingles), pa.list_(pa.int32()))], ["doc_id", "same", "fp", "sketch"])
+
+    return run
+
+
+def similarity(a: Column, b: Column, sketch: int = SKETCH) -> Column:
+    """The Jaccard similarity of two sets of shingles from their sketches: exact if both are whole, else from the smallest hashes of the union."""
+    union = F.array_sort(F.array_union(a, b))
+    union = F.when((F.size(a) < sketch) & (F.size(b) < sketch), union).otherwise(F.slice(union, 1, sketch))
+    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.greatest(F.size(union), F.lit(1))
+
+
+def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id): the documents to drop so that one of each group of near-duplicates stays, the one with the smallest id.
+
+    Texts with the same words in the same order are one node. The fingerprints are of a text's distinct words, which an
+    edit moves less than those of its shingles; lookups go out in widening radii, each over what the one before has left,
+    so a dense group of copies is mostly gone before wide lookups could pair it up. A link needs a similarity of the
+    ``shingle``-word sets of at least ``min_similarity``. Rows without an id cannot be told apart and are never dropped.
+    """
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialize(slim.mapInArrow(_prints(shingle, sketch), "doc_id long, same binary, fp long, sketch array<int>"), "dedup-prints")
+    firsts = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "dedup-nodes")
+    lost = prints.select("doc_id", "same").join(firsts.select("same", "id"), "same").where("doc_id != id").select("doc_id")
+    nodes = firsts.select("id", "fp")
+    for radius in radii:
+        pairs = materialize(hamming_links(nodes, radius, parts).distinct(), "dedup-pairs")
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        known = materialize(prints.join(asked, "doc_id", "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"]), "dedup-sketches")
+        both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+        groups = connected_components(both.where(similarity(F.col("sa"), F.col("sb"), sketch) >= min_similarity).select("a", "b"))
+        gone = materialize(groups.where("node != component").select(F.col("node").alias("id")), "dedup-gone")
+        lost = lost.union(gone)
+        nodes = materialize(nodes.join(gone, "id", "left_anti"), "dedup-nodes")
+    return lost.distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates; columns as before."""
+    lost = near_duplicate_losers(docs, id_col=id_col, text_col=text_col, **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(lost, "doc_id", "left_anti").select("row.*")
