@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontam, line_dedup, mixing, pii, quality_rules, secrets, simhash, warc
+from . import chat, crf, decontam, line_dedup, mixing, pii, quality_rules, secrets, simhash, warc
 from .common import held_out, scratch_path, table
 
 
@@ -44,6 +44,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.derived_calls(table(spark, sf_dir, "conversations"))
+    tools = spark.createDataFrame(chat.TOOLS, "name string, param string, type string, required boolean")
+    return chat.link_tool_calls(calls, results, tools).select("conv_id", "call_id", "level", "status", "message")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -65,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_warc, op4_line_crf, op5_line_dedup, op7_decontamination, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_warc, op4_line_crf, op5_line_dedup, op6_tool_calls, op7_decontamination, op8_quality_rules, op9_secrets, op10_mixing)}
 
 
 OP3_SQL = """
@@ -94,6 +100,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_droppe
 FROM flagged GROUP BY doc_id
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE asked AS (
+  SELECT DISTINCT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, 'call_' || conv_id || '_' || (turn - 2) AS after,
+         CASE (conv_id + turn) % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'note' ELSE 'other' END AS name,
+         regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS word, length(coalesce(text, '')) AS n
+  FROM conversations WHERE role = 'assistant'),
+answers AS (SELECT 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'user'),
+chain AS (
+  SELECT call_id, 0 AS level FROM asked WHERE after NOT IN (SELECT call_id FROM asked)
+  UNION ALL SELECT a.call_id, c.level + 1 FROM chain c JOIN asked a ON a.after = c.call_id),
+judged AS (
+  SELECT a.*, c.level, r.result,
+         CASE WHEN name = 'other' THEN 'unknown_tool' WHEN n % 7 = 3 AND name <> 'note' THEN 'bad_arguments' WHEN r.call_id IS NULL THEN 'missing_result' ELSE 'ok' END AS status
+  FROM asked a JOIN chain c ON a.call_id = c.call_id LEFT JOIN answers r ON a.call_id = r.call_id)
+SELECT conv_id, call_id, level, status,
+       '{"arguments":{"limit":' || CASE WHEN n % 7 = 3 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"query":' || CAST(to_json(word) AS VARCHAR)
+       || '},"call_id":"' || call_id || '","level":' || level || ',"name":"' || name || '"'
+       || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || CAST(to_json(result) AS VARCHAR) END || ',"status":"' || status || '"}' AS message
+FROM judged
+"""
 OP7_SQL = r"""
 WITH split_docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -119,4 +145,4 @@ FROM split_docs d LEFT JOIN spots s ON d.doc_id = s.doc_id LEFT JOIN found f ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_tool_calls": OP6_SQL, "op7_decontamination": OP7_SQL}
