@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import dialogue, ledger
+from .queries.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = [ledger, dialogue]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v for p in PARTS for k, v in p.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.R.sql.items()}

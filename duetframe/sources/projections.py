@@ -185,7 +185,8 @@ def _closure(names: list[str]) -> list[str]:
 
 def prelude(*names: str, recursive: bool = False) -> str:
     """DuckDB's WITH clause of relations; further ones may follow after a comma."""
-    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS ({RELATIONS[n](DUCKDB)})" for n in _closure(list(names)))
+    parts = [f"{n} AS ({RELATIONS[n](DUCKDB)})" for n in _closure(list(names))]
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts) if parts else ""
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
