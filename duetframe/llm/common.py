@@ -1,46 +1,17 @@
-"""Helpers shared by the corpus operators: shared storage, ASCII folding and word splitting."""
+"""Helpers shared by the corpus operators: ASCII folding, words, labelled samples, spans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, scratch_path
+
 #: ASCII white space, as a Java character class. ``bytes.split()`` and ``bytes.strip()`` use the same set.
 WHITE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, on a local master only, a new one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(shared_dir, "local"):
-        shared_dir.local = "file://" + tempfile.mkdtemp(prefix="spark-duetframe-")
-    return shared_dir.local
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; one folder for each application, so that a finished application's can be removed."""
-    return f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The lineage is cut at a table that outlives any executor, so a lost one costs a reread and nothing is computed twice.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and leave every other character as it is."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
