@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import dialogue, ledger
+from .queries import design, dialogue, ledger, logs
 from .queries.base import Query
 
-PARTS = [ledger, dialogue]
+PARTS = [ledger, dialogue, design, logs]
 
 
 def queries() -> dict[str, Query]:

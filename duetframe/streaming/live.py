@@ -98,6 +98,10 @@ def view(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def run_to_table(updates: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Run a view over all files that are there now, then stop (start it again for what came since)."""
-    return updates.writeStream.outputMode(mode).foreachBatch(upsert(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(updates: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update", timeouts: bool = False) -> StreamingQuery:
+    """Run a view over all files that are there now, then stop (start it again for what came since).
+
+    A view with ``timeouts`` would never be done with them, so it gets one batch instead of one for each share of files.
+    """
+    writer = updates.writeStream.outputMode(mode).foreachBatch(upsert(path, keys)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if timeouts else writer.trigger(availableNow=True)).start()
