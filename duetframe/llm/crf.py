@@ -201,10 +201,11 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches)).sort_values("doc_id")
-    y = pdf["label"].to_numpy(float)
-    if not len(y):
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
         return
+    pdf = pd.concat(parts).sort_values("doc_id")
+    y = pdf["label"].to_numpy(float)
     if len(set(y)) < 2:
         yield pd.DataFrame({"emission": [None], "transition": [None], "slope": [0.0], "at": [_logit(y.mean())]})
         return

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, shuffle_partitions
 
@@ -89,7 +90,7 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((TAIL, first, None, None, seen), schema, strict=True)], schema=schema)
 
 
-@F.udf("binary", useArrow=True)
+@F.udf(T.BinaryType(), useArrow=True)
 def _bitmap(dropped: list[int], n_lines: int) -> bytes:
     keep = np.ones(n_lines, np.uint8)
     keep[np.asarray(dropped, np.int64)] = 0

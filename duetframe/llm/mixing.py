@@ -26,7 +26,7 @@ from .common import materialize, words
 BUCKET_ROWS = 1024
 #: Bits that the knapsack's reachable sums may take, over all its steps.
 KNAPSACK_BITS = 256_000_000
-#: Budget, in words, that is left to the knapsack after greedy filling.
+#: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this.
 KNAPSACK_WORDS = 20_000
 
 
@@ -50,18 +50,19 @@ def source_targets(totals: dict[str | None, int], weights: Sequence[float] = (5,
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many documents of each length to take, so that their words come as near to ``budget`` as can be found.
 
-    A proportional share of each length first, then the longest that still fit until ``KNAPSACK_WORDS`` are left, then a
-    bounded knapsack (binary-split counts, reachable sums as bits of an integer) for the rest.
+    A proportional share of each length first, then the longest that still fit until little is left, then a bounded
+    knapsack (binary-split counts, reachable sums as bits of an integer) for the rest.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    slack = min(KNAPSACK_WORDS, 8 * max(lengths), budget)
+    take = [c * (budget - slack) // total for c in counts]
     left = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        more = min(counts[i] - take[i], max(0, left - KNAPSACK_WORDS) // lengths[i])
+        more = min(counts[i] - take[i], max(0, left - slack) // lengths[i])
         take[i] += more
         left -= more * lengths[i]
     spare = [i for i in sorted(range(len(lengths)), key=lambda i: lengths[i]) if take[i] < counts[i]]

@@ -88,7 +88,7 @@ def _vote(is_for: Column, is_against: Column | None = None) -> Column:
     return (out if is_against is None else out.when(is_against, 0)).otherwise(1)
 
 
-def _votes(kind: str, text: Column, before: Column, matched: bool) -> Column:
+def _votes(kind: str, text: Column, lead: Column, before: Column, matched: bool) -> Column:
     n = F.char_length(digits(text))
     ok = passes(kind, text)
     if kind == "email":
@@ -103,9 +103,9 @@ def _votes(kind: str, text: Column, before: Column, matched: bool) -> Column:
     else:
         known, odd = text.rlike(COUNTRY_CODE), ~text.startswith("+") & ~text.rlike(r"^\(?0")
         even = text.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{1,5}\)?(?:[\x20.-]?[0-9]{2,5})+$")
-    cue = F.array_contains(F.array(*map(F.lit, CUES[kind])), before)
+    cue = F.arrays_overlap(F.array(*map(F.lit, CUES[kind])), F.split(lead, r"[\x20\x09-\x0D:=#(,;]+"))
     return F.array(
-        _vote(F.lit(matched) & ok, F.lit(not matched)), _vote(ok if matched or kind != "email" else F.lit(False), ~ok | (n == 0) if kind != "email" else None),
+        _vote(F.lit(matched) & ok, F.lit(matched) & ~ok), _vote(ok if matched or kind != "email" else F.lit(False), ~ok | (n == 0) if kind != "email" else None),
         _vote(known, odd), _vote(cue, before.isin(AGAINST)), _vote(even, ~even))
 
 
@@ -118,9 +118,9 @@ def _candidates(text: Column, kind: str, pattern: str, matched: bool) -> Column:
         spans = F.filter(spans, lambda s: F.char_length(digits(s["text"])) >= 8)
 
     def full(s: Column) -> Column:
-        lead = F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(s["start"], F.lit(24)))
-        before = F.lower(F.regexp_extract(lead, r"([^\x20\x09-\x0D:=#(]+)[\x20\x09-\x0D:=#(]*$", 1))
-        votes = _votes(kind, s["text"], before, matched)
+        lead = F.lower(F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(s["start"], F.lit(24))))
+        before = F.regexp_extract(lead, r"([^\x20\x09-\x0D:=#(]+)[\x20\x09-\x0D:=#(]*$", 1)
+        votes = _votes(kind, s["text"], lead, before, matched)
         shape = F.substring(F.regexp_replace(F.regexp_replace(s["text"], "[0-9]", "9"), "[A-Za-z]+", "a"), 1, 32)
         named = [F.concat(F.lit(f"{n}={kind}="), votes[i].cast("string")) for i, n in enumerate(LABELERS)]
         named += [F.concat(F.lit(f"shape={kind}="), shape), F.concat(F.lit(f"before={kind}="), before)]

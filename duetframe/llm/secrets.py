@@ -31,6 +31,8 @@ MIN_ASSIGN = 12
 SAMPLE = 2_000
 CODES = 128
 SMOOTHING = 0.5
+#: Weight of the single characters' shares beside a pair's own count.
+BACKOFF = 8.0
 #: Natural logarithms of the ratio that a token needs, in total and for each pair of characters.
 MIN_TOTAL, MIN_EACH = 20.0, 0.6
 
@@ -67,13 +69,20 @@ def _counts(tokens: DataFrame) -> dict[int, int]:
 
 
 def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
-    """For each pair, the log of its conditional probability as random over that as ordinary."""
+    """For each pair, the log of its conditional probability as random over that as ordinary.
+
+    A pair that a model has not seen falls back on how common its second character is there.
+    """
     def logs(counts: dict[int, int]) -> list[float]:
+        seconds = [SMOOTHING] * CODES
+        for pair, n in counts.items():
+            seconds[pair % CODES] += n
+        every = sum(seconds)
         out = []
         for first in range(CODES):
-            row = [counts.get(first * CODES + second, 0) + SMOOTHING for second in range(CODES)]
-            total = sum(row)
-            out += [math.log(x / total) for x in row]
+            row = [counts.get(first * CODES + second, 0) for second in range(CODES)]
+            total = sum(row) + BACKOFF
+            out += [math.log((n + BACKOFF * seconds[second] / every) / total) for second, n in enumerate(row)]
         return out
 
     if not random or not ordinary:
@@ -86,6 +95,7 @@ def train(docs: DataFrame, found: DataFrame, *, sample: int = SAMPLE, id_col: st
     chosen = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample).select("id").distinct()
     texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordinary = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
+    ordinary = ordinary.where(~F.col("token").rlike(f"^{TOKEN}$"))  # what may be random is no sample of the ordinary
     return log_ratios(_counts(random), _counts(ordinary))
 
 
