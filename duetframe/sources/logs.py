@@ -21,17 +21,16 @@ def read_log(spark: SparkSession, path: str, kind: str, strict: bool = True) ->
     """SRC-1, SRC-2: the rows of a log. Strict: a bad line is an error. Else lines that are no JSON object, and half-written
     last ones, are left out. A path that matches nothing has no rows."""
     schema = SCHEMAS[kind]
-    reader = spark.read.schema(schema if strict else f"{schema}, {CORRUPT} string")
-    reader = reader.option("mode", "FAILFAST") if strict else reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     try:
-        df = reader.json(path)
         if strict:
-            return _with_place(df)
-        return _with_place(df).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+            return _with_place(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+        lines = _with_place(spark.read.text(path))
     except Exception as e:  # a run without this log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return _with_place(spark.createDataFrame([], schema))
+    rows = lines.where(F.trim("value") != "").select("pos", F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).where(f"r.{CORRUPT} is null")
+    return rows.select("r.*", "pos").drop(CORRUPT)
 
 
 def read_rows_of(spark: SparkSession, path: str, kind: str, dyad_id: str) -> DataFrame:
