@@ -94,3 +94,11 @@ def test_uneven_variants_are_refused(spark):
 def test_ledger_ties(spark):
     df = spark.createDataFrame([("r", "a", 1, "complete", 1), ("r", "a", 1, "started", 2), ("r", None, 1, "started", 3), ("r", "b", None, "started", 4)], "run_id string, dyad_id string, attempt int, status string, pos long")
     assert [tuple(r) for r in attempts.latest_status(df).collect()] == [("r", "a", 1, "started")]
+
+
+def test_scratch_tables_outlive_their_inputs_until_removed(spark):
+    from duetframe import storage
+
+    df = storage.materialize(spark.range(5).withColumnRenamed("id", "x"), "test")
+    assert sorted(r["x"] for r in df.collect()) == [0, 1, 2, 3, 4]
+    assert storage.scratch_path(spark, "a") != storage.scratch_path(spark, "a")
