@@ -218,7 +218,7 @@ REQUESTS = LATEST.format("status") + f""", rows_of AS (SELECT t.*, string_agg('-
   FROM turns t JOIN complete c USING (run_id, dyad_id, attempt) WINDOW w AS (PARTITION BY run_id, dyad_id, attempt {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), own AS (PARTITION BY run_id, dyad_id, attempt, agent {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 last_turns AS (SELECT *, max(turn) OVER (PARTITION BY run_id, dyad_id, attempt) AS last FROM rows_of WHERE finish_reason <> 'error' AND agent = 'seeker'),
 targets AS (SELECT t.*, metric FROM last_turns t, (SELECT unnest(['prompt_to_line', 'line_to_line']) AS metric) m WHERE turn % 4 = 0 OR turn = last),
-open AS (SELECT * FROM targets t ANTI JOIN (SELECT * FROM scores WHERE judge_sha256 = {J1} AND {OK}) s USING (run_id, dyad_id, attempt, turn, agent, metric))
+open AS (SELECT * FROM targets t ANTI JOIN (SELECT * FROM scores WHERE judge_sha256 = {J1} AND {OK} AND conv_id % 3 = 0) s USING (run_id, dyad_id, attempt, turn, agent, metric))
 SELECT o.run_id, o.dyad_id, o.attempt, o.turn, o.metric, cast('0x' || substr(sha256('{RUN_SEED}|' || coalesce(d.seed, 0) || '|' || o.dyad_id || '|' || o.attempt || '|' || o.turn || '|judge:' || o.agent || ':' || metric), 1, 8) AS bigint) AS seed,
   CASE WHEN d.dyad_id IS NULL THEN 'no treatment row for this attempt' END AS error,
   CASE WHEN d.dyad_id IS NOT NULL THEN sha256('TASK: ' || CASE metric WHEN 'prompt_to_line' THEN 'Rate how well the LINE fits the PERSONA.' ELSE 'Rate how consistent the LINE is with the speaker''s EARLIER LINES.' END || chr(10) || chr(10) || 'TOPIC: ' || topic || chr(10) || chr(10) || 'PERSONA:' || chr(10) || persona_text
@@ -228,10 +228,16 @@ FROM open o LEFT JOIN dyads d USING (run_id, dyad_id, attempt)"""
 
 @R.add("rp07_score_worklist", "turns dyads status scores", REQUESTS)
 def _(t: Tables):
-    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores, "main", judge(t), RUN_SEED)
+    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores.where("conv_id % 3 = 0"), "main", judge(t), RUN_SEED)
     return work.select("run_id", "dyad_id", "attempt", "turn", "metric", "seed", "error", F.when(F.col("request").isNotNull(), F.sha2(F.col("request").cast("binary"), 256)).alias("request"))
 
 
+@R.add("sc07_judge_requests", "turns dyads status scores", ", work AS (SELECT o.run_id".join(REQUESTS.rsplit("\nSELECT o.run_id", 1)) + ") SELECT run_id, dyad_id, attempt, turn, request FROM work WHERE metric = 'line_to_line' AND error IS NULL")
+def _(t: Tables):
+    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores.where("conv_id % 3 = 0"), "main", judge(t), RUN_SEED).where("metric = 'line_to_line' and error is null")
+    return work.select("run_id", "dyad_id", "attempt", "turn", F.sha2(F.col("request").cast("binary"), 256).alias("request"))
+
+
 @R.add("sc08_seeker_views", "turns dyads", """, said AS (SELECT run_id, dyad_id, attempt, string_agg(CASE agent WHEN 'seeker' THEN 'assistant:' ELSE 'user:' END || text, '|' ORDER BY turn, CASE agent WHEN 'seeker' THEN 0 ELSE 1 END, pos) AS m FROM turns GROUP BY ALL)
 SELECT s.run_id, s.dyad_id, s.attempt, sha256('system:' || coalesce(persona_text, '') || '|' || m || CASE WHEN persona_mode = 'reinforced' AND coalesce(persona_reminder, '') <> '' THEN '|system:' || persona_reminder ELSE '' END) AS view FROM said s LEFT JOIN dyads d USING (run_id, dyad_id, attempt)""")
 def _(t: Tables):

@@ -12,8 +12,8 @@ from ..sources import logs, sinks
 from ..storage import scratch_path
 from ..streaming import live
 from .base import Registry, Tables
-from .design import SEED, design
-from .dialogue import OK, judge
+from .design import SEED, SQL, design
+from .dialogue import OK, RATES, judge
 from .ledger import LATEST
 
 R = Registry()
@@ -120,6 +120,9 @@ def _(t: Tables):
     return rows.select("dyad_id", "persona_mode", "seed", "n_turns")
 
 
+R.sql["snk03_manifest_files"] = SQL + "SELECT dyad_id, persona_mode, seed, 40 AS n_turns FROM planned"
+
+
 @R.add("snk04_digests", "", None)
 def _(t: Tables):
     path = written(t, "turns", t.turns, files=1)
@@ -191,9 +194,9 @@ def _(t: Tables):
     return composites.dyad_detail(t.dyads, t.status, t.turns, t.surveys, t.scores, "d7")["turns"].select("attempt", "turn", "agent", "place")
 
 
-@R.add("rp04_flags", "scores status dyads", None)
+@R.add("rp04_flags", "scores status dyads", RATES + " SELECT * FROM counted_flags")
 def _(t: Tables):
-    return scores.flags(t.dyads, t.status, t.scores, 0.6, run_length=2, judge=judge(t)).orderBy("dyad_id", "attempt")
+    return scores.flags(t.dyads, t.status, t.scores, 0.6, run_length=2, judge=judge(t)).drop("topic", "openness", "role", "metric", "threshold", "run_length", "rule").orderBy("dyad_id", "attempt")
 
 
 @R.add("rp05_agreement", "scores", f", last AS (SELECT run_id, dyad_id, attempt, turn, agent, judge_sha256, arg_max(score, pos) AS score FROM scores WHERE metric = 'line_to_line' AND {OK} AND score IS NOT NULL GROUP BY ALL) SELECT judge_sha256, count(*) AS n, round(avg(score), 6) AS mean FROM last GROUP BY 1")
