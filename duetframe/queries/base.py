@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..sources.projections import prelude, relation, with_condition
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Judges of the projected scores, by number.
-JUDGES = {1: "sha256('judge-1')", 2: "sha256('judge-2')"}
 
 
 @dataclass

@@ -12,8 +12,6 @@ from .ledger import LATEST, S
 
 R = Registry()
 J1, J2 = "sha256('judge-1')", "sha256('judge-2')"
-#: The hash of the first judge of the projected scores.
-JUDGE = "select sha2('judge-1', 256)"
 OK = "coalesce(error, '') = ''"
 LAST = f"SELECT run_id, dyad_id, attempt, turn, agent, judge_sha256, arg_max(score, pos) AS score FROM scores WHERE metric = 'alignment' AND {OK} AND score IS NOT NULL GROUP BY ALL"
 

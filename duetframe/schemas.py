@@ -21,5 +21,4 @@ SEEKER, MENTOR = "seeker", "mentor"
 NONE_LEVEL, ALL_LEVEL = "(none)", "all"
 METRICS = [("prompt_to_line", SEEKER), ("line_to_line", SEEKER), ("alignment", MENTOR)]
 RUN_AFFECTING = ["seeker", "mentor", "judge", "generation", "run_seed", "batteries", "now"]
-CONDITION_KEYS = ["topic", "ideology", "openness", "role"]
 MODES = ["once", "reinforced"]
