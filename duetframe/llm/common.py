@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, scratch_path
+from ..storage import materialize
 
 #: ASCII white space, as a Java character class. ``bytes.split()`` and ``bytes.strip()`` use the same set.
 WHITE = r"[\x20\x09-\x0D]"

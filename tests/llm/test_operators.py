@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from duetframe import storage
 from duetframe.llm import chat, common, crf, decontam, line_dedup, mixing, pii, quality_rules, queries, secrets, simhash, warc
 
 
@@ -110,7 +111,7 @@ def pages(spark):
 
 def test_warc_round_trip(spark, pages):
     html, df = pages
-    path = common.scratch_path(spark, "warc-test")
+    path = storage.scratch_path(spark, "warc-test")
     warc.archive(df, path)
     got = {}
     for r in warc.read_archive(spark, path).where("record_type <> 'warcinfo'").select(warc.page_of(F.col("record_id")).alias("p"), "*").collect():
@@ -124,7 +125,7 @@ def test_warc_round_trip(spark, pages):
 
 def test_warc_predicates_are_decided_on_headers(spark, pages):
     _, df = pages
-    path = common.scratch_path(spark, "warc-test")
+    path = storage.scratch_path(spark, "warc-test")
     warc.archive(df, path)
     found = warc.read_archive(spark, path, payload=False).where("record_type = 'revisit' and target_uri like 'http://h/%'")
     assert {r["record_id"] for r in found.collect()} == {"<urn:page:3>", "<urn:page:9>"}
@@ -148,7 +149,7 @@ def test_warc_reads_gzip_members_and_reports_torn_files(tmp_path, spark):
 
 
 def test_warc_of_nothing(spark, pages):
-    path = common.scratch_path(spark, "warc-test")
+    path = storage.scratch_path(spark, "warc-test")
     warc.archive(pages[1].where("page_id < 0"), path)
     assert warc.read_archive(spark, path).count() == 0
 
