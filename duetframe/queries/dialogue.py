@@ -140,7 +140,7 @@ def _(t: Tables):
     return summaries.quality_rates(t.turns, t.scores)
 
 
-@R.add("ag16_seeker_selection", "scores", f", last AS ({LAST.replace('alignment', 'prompt_to_line')}), final AS (SELECT *, max(turn) OVER (PARTITION BY run_id, dyad_id, attempt) AS last_turn FROM last) SELECT 'model ' || run_id AS model, round(avg(score), 6) AS adherence, count(*) AS n, round(50.0, 6) AS tokens_per_second FROM final WHERE turn = last_turn GROUP BY run_id")
+@R.add("ag16_seeker_selection", "scores", f", last AS ({LAST.replace('alignment', 'prompt_to_line')}), final AS (SELECT *, max(turn) OVER (PARTITION BY run_id, dyad_id, attempt) AS last_turn FROM last) SELECT 'model ' || run_id AS model, round(avg(score), 6) AS adherence, count(*) AS n, cast(50 AS double) AS tokens_per_second FROM final WHERE turn = last_turn GROUP BY run_id")
 def _(t: Tables):
     candidates = t.scores.select("run_id").distinct().select("run_id", F.concat(F.lit("model "), "run_id").alias("model"), F.lit(50.0).alias("tokens_per_second"))
     return scores.seeker_selection(t.scores, candidates)

@@ -32,7 +32,7 @@ def written(t: Tables, kind: str, df: DataFrame, files: int = 4) -> str:
     return path
 
 
-@R.add("src01_strict_scan", "turns", "SELECT run_id, agent, count(*) AS n, sum(seed) AS seeds FROM turns GROUP BY ALL")
+@R.add("src01_strict_scan", "turns", "SELECT run_id, agent, count(*) AS n, cast(sum(seed) AS bigint) AS seeds FROM turns GROUP BY ALL")
 def _(t: Tables):
     rows = logs.read_log(t.spark, written(t, "turns", t.turns), "turns")
     return rows.groupBy("run_id", "agent").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"))
@@ -88,7 +88,7 @@ def _(t: Tables):
     return logs.read_grid(t.spark, path).select("factor", "level")
 
 
-@R.add("src08_benchmark_files", "streams", "SELECT model, n, prefill FROM (SELECT model, count(*) AS n, sum(prompt_tokens) AS prefill FROM streams GROUP BY 1) x")
+@R.add("src08_benchmark_files", "streams", "SELECT model, n, prefill FROM (SELECT model, count(*) AS n, cast(sum(prompt_tokens) AS bigint) AS prefill FROM streams GROUP BY 1) x")
 def _(t: Tables):
     path = scratch_path(t.spark, "bench")
     t.streams.select(F.col("model").cast("string").alias("model"), F.col("np").alias("n_parallel"), F.col("prompt_tokens").alias("cold_pp_tokens")).write.json(path)
@@ -120,7 +120,7 @@ def _(t: Tables):
     return rows.select("dyad_id", "persona_mode", "seed", "n_turns")
 
 
-R.sql["snk03_manifest_files"] = SQL + "SELECT dyad_id, persona_mode, seed, 40 AS n_turns FROM planned"
+R.sql["snk03_manifest_files"] = SQL + "SELECT dyad_id, persona_mode, seed, cast(40 AS bigint) AS n_turns FROM planned"
 
 
 @R.add("snk04_digests", "", None)

@@ -94,7 +94,7 @@ def scores(d: Dialect) -> str:
     """Two judges' scores of every message by its agent's metrics; some are null, some failed, some repeat."""
     return f"""
 SELECT conv_id, run_id, dyad_id, attempt, turn, agent, metric, {d.sha("'judge-' || cast(judge_no as " + d.text + ")")} AS judge_sha256,
-       CASE WHEN (conv_id + turn) % 13 = 0 OR (conv_id + turn) % 29 = 0 THEN NULL ELSE ((conv_id * 37 + turn * 11 + judge_no * 7 + metric_no * 13 + again * 5) % 101) / 100.0 END AS score,
+       CASE WHEN (conv_id + turn) % 13 = 0 OR (conv_id + turn) % 29 = 0 THEN NULL ELSE cast((conv_id * 37 + turn * 11 + judge_no * 7 + metric_no * 13 + again * 5) % 101 AS double) / 100 END AS score,
        CASE WHEN (conv_id + turn) % 29 = 0 THEN 'judge down' END AS error,
        ((again * 2 + judge_no) * 10 + metric_no) * 10000000000000 + pos AS pos,
        '2026-03-' || lpad(cast(1 + conv_id % 28 as {d.text}), 2, '0') || 'T00:00:00+0000' AS ts
