@@ -115,7 +115,7 @@ judged AS (
   SELECT a.*, c.level, r.result,
          CASE WHEN name = 'other' THEN 'unknown_tool' WHEN n % 7 = 3 AND name <> 'note' THEN 'bad_arguments' WHEN r.call_id IS NULL THEN 'missing_result' ELSE 'ok' END AS status
   FROM asked a JOIN chain c ON a.call_id = c.call_id LEFT JOIN answers r ON a.call_id = r.call_id)
-SELECT conv_id, call_id, level, status,
+SELECT conv_id, call_id, cast(level AS bigint) AS level, status,
        '{"arguments":{"limit":' || CASE WHEN n % 7 = 3 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"query":' || CAST(to_json(word) AS VARCHAR)
        || '},"call_id":"' || call_id || '","level":' || level || ',"name":"' || name || '"'
        || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || CAST(to_json(result) AS VARCHAR) END || ',"status":"' || status || '"}' AS message
