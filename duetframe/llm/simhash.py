@@ -17,7 +17,8 @@ are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -113,17 +114,36 @@ def _rotated(fp: Column, shift: int, width: int) -> Column:
     return low.bitwiseOR(high)
 
 
-def hamming_links(nodes: DataFrame, radius: int, parts: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(a, b), a < b: the pairs of ``nodes`` (id, fp) with fingerprints within ``radius``. A pair may come more than once."""
+def _first_part(x: Column, part: Column, segments: Sequence[tuple[int, int]], balls: Sequence[int]) -> Column:
+    """Whether ``part`` is the first in which two values with the exclusive or ``x`` lie within the ball: each pair then comes once."""
+    out = F.lit(True)
+    for i, (segment, ball) in enumerate(zip(segments, balls, strict=True)):
+        if ball >= 0:
+            out = out & ((part <= i) | (F.bit_count(_value(x, *segment)) > ball))
+    return out
+
+
+def hamming_links(nodes: DataFrame, radius: int, parts: int, hot_bucket: int = HOT_BUCKET, also: Sequence[str] = (), also_radius: int = 0) -> DataFrame:
+    """(a, b), a < b: the pairs of ``nodes`` (id, fp) with fingerprints within ``radius``, each once.
+
+    Columns in ``also`` are the words of a second, longer fingerprint; pairs must lie within ``also_radius`` there as well.
+    """
     segments, balls = _segments(64, parts), _balls(radius, parts)
+    carried = ["id", "fp", *also]
     fp = F.col("fp")
-    stored = nodes.select("id", "fp", F.explode(_keys(fp, segments, balls, False)).alias("key")).select("id", "fp", "key.*")
-    asked = nodes.select("id", "fp", F.explode(_keys(fp, segments, balls, True)).alias("key")).select("id", "fp", "key.*")
+    stored = nodes.select(*carried, F.explode(_keys(fp, segments, balls, False)).alias("key")).select(*carried, "key.*")
+    asked = nodes.select(*carried, F.explode(_keys(fp, segments, balls, True)).alias("key")).select(*carried, "key.*")
     hot = materialize(stored.groupBy("part", "value").count().where(F.col("count") > hot_bucket).select("part", "value"), "simhash-hot")
 
-    def links(stored: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    def links(stored: DataFrame, asked: DataFrame, on: list[str], inner: Callable[[Column, Column], Column] | None = None) -> DataFrame:
         s, a = stored.alias("s"), asked.alias("a")
-        near = (F.col("a.id") < F.col("s.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("s.fp"))) <= radius)
+        x = F.col("a.fp").bitwiseXOR(F.col("s.fp"))
+        near = (F.col("a.id") < F.col("s.id")) & (F.bit_count(x) <= radius)
+        if also:
+            near = near & (sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"s.{c}"))) for c in also), F.lit(0)) <= also_radius)
+        near = near & _first_part(x, F.col("a.part"), segments, balls)
+        if inner is not None:
+            near = near & inner(F.col("a.fp"), F.col("s.fp"))
         same = near
         for c in on:
             same = (F.col(f"a.{c}") == F.col(f"s.{c}")) & same
@@ -139,9 +159,12 @@ def hamming_links(nodes: DataFrame, radius: int, parts: int, hot_bucket: int = H
         def more(df: DataFrame, probe: bool, i: int = i, shift: int = shift, width: int = width, inner=inner, inner_balls=inner_balls) -> DataFrame:
             here = df.where(F.col("part") == i).join(hot, ["part", "value"], "left_semi")
             key = F.explode(_keys(_rotated(F.col("fp"), shift, width), inner, inner_balls, probe))
-            return here.select("id", "fp", "part", "value", key.alias("key")).select("id", "fp", "part", "value", F.col("key.part").alias("part2"), F.col("key.value").alias("value2"))
+            return here.select(*carried, "part", "value", key.alias("key")).select(*carried, "part", "value", F.col("key.part").alias("part2"), F.col("key.value").alias("value2"))
 
-        out = out.unionByName(links(more(stored, False), more(asked, True), ["part", "value", "part2", "value2"]))
+        def once(x: Column, y: Column, shift: int = shift, width: int = width, inner=inner, inner_balls=inner_balls) -> Column:
+            return _first_part(_rotated(x.bitwiseXOR(y), shift, width), F.col("a.part2"), inner, inner_balls)
+
+        out = out.unionByName(links(more(stored, False), more(asked, True), ["part", "value", "part2", "value2"], once))
     return out
 
 
@@ -189,6 +212,7 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, pa
 SKETCH = 256
 #: Radii of the passes that drop near-duplicates.
 RADII = (3, 7)
+WIDE = ("wide0", "wide1")
 
 
 def _prints(shingle: int, sketch: int):
@@ -198,14 +222,38 @@ def _prints(shingle: int, sketch: int):
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
                 own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-                shingles = np.unique((shingle_hashes(words, shingle) >> np.uint64(33)).astype(np.int32))[:sketch]
-                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), shingles))
-            same, fp, shingles = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(list(shingles), pa.list_(pa.int32()))], ["doc_id", "same", "fp", "sketch"])
+                wide, shingles = _wide_fingerprint(words, shingle, sketch)
+                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *wide, shingles))
+            same, fp, wide0, wide1, shingles = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *(pa.array(x, pa.int64()) for x in (fp, wide0, wide1)), pa.array(list(shingles), pa.list_(pa.int32()))], ["doc_id", "same", "fp", "wide0", "wide1", "sketch"])
 
     return run
 
 
+def _wide_fingerprint(words: list[bytes], k: int, sketch: int) -> tuple[tuple[int, int], np.ndarray]:
+    """The 128-bit SimHash of the distinct runs of ``k`` words, as two signed longs, and the smallest of their hashes."""
+    if not words:
+        return (0, 0), np.empty(0, np.int32)
+    starts = range(max(1, len(words) - k + 1))
+    digests = sorted({xxhash.xxh3_128_digest(b" ".join(words[i:i + k])) for i in starts})
+    bytes_ = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(bytes_), CHUNK):
+        ones += np.unpackbits(bytes_[i:i + CHUNK], axis=1).sum(0, dtype=np.int64)
+    low, high = np.packbits(ones * 2 > len(bytes_)).view(np.int64).tolist()
+    heads = np.ascontiguousarray(bytes_[:, :4]).view(">u4").ravel() >> 1  # digests are sorted, so these are too
+    return (low, high), np.unique(heads).astype(np.int32)[:sketch]
+
+
+def wide_radius(min_similarity: float) -> int:
+    """Bits that two 128-bit fingerprints of sets with this similarity differ in, with 1.4 standard deviations on top.
+
+    Of pairs with exactly this similarity some nine in ten lie within it, and of closer ones nearly all.
+    """
+    p = math.acos(2 * min_similarity / (1 + min_similarity)) / math.pi
+    return int(128 * p + 1.4 * math.sqrt(128 * p * (1 - p)))
+
+
 def similarity(a: Column, b: Column, sketch: int = SKETCH) -> Column:
     """The Jaccard similarity of two sets of shingles from their sketches: exact if both are whole, else from the smallest hashes of the union."""
     union = F.array_sort(F.array_union(a, b))
@@ -216,18 +264,19 @@ def similarity(a: Column, b: Column, sketch: int = SKETCH) -> Column:
 def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id): the documents to drop so that one of each group of near-duplicates stays, the one with the smallest id.
 
-    Texts with the same words in the same order are one node. The fingerprints are of a text's distinct words, which an
-    edit moves less than those of its shingles; lookups go out in widening radii, each over what the one before has left,
-    so a dense group of copies is mostly gone before wide lookups could pair it up. A link needs a similarity of the
-    ``shingle``-word sets of at least ``min_similarity``. Rows without an id cannot be told apart and are never dropped.
+    Texts with the same words in the same order are one node. The fingerprints that are looked up are of a text's distinct
+    words, which an edit moves less than those of its shingles; lookups go out in widening radii, each over what the one
+    before has left. A second, 128-bit fingerprint of the shingles is verified in the same join, and a link needs a
+    similarity of the ``shingle``-word sets of at least ``min_similarity``. Rows without an id cannot be told apart and are
+    never dropped.
     """
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(slim.mapInArrow(_prints(shingle, sketch), "doc_id long, same binary, fp long, sketch array<int>"), "dedup-prints")
-    firsts = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "dedup-nodes")
+    prints = materialize(slim.mapInArrow(_prints(shingle, sketch), "doc_id long, same binary, fp long, wide0 long, wide1 long, sketch array<int>"), "dedup-prints")
+    firsts = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", *WIDE)]), "dedup-nodes")
     lost = prints.select("doc_id", "same").join(firsts.select("same", "id"), "same").where("doc_id != id").select("doc_id")
-    nodes = firsts.select("id", "fp")
+    nodes = firsts.select("id", "fp", *WIDE)
     for radius in radii:
-        pairs = materialize(hamming_links(nodes, radius, parts).distinct(), "dedup-pairs")
+        pairs = materialize(hamming_links(nodes, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs")
         asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         known = materialize(prints.join(asked, "doc_id", "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"]), "dedup-sketches")
         both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
