@@ -208,41 +208,75 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, pa
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Hashes of shingles that a sketch keeps, the smallest; texts with no more shingles are compared exactly.
-SKETCH = 256
-#: Radii of the passes that drop near-duplicates.
+#: Radii of the lookups that go before the exact search.
 RADII = (3, 7)
 WIDE = ("wide0", "wide1")
+#: Shingles that very many texts hold come last in prefixes: at most so many, counted in every ``SAMPLE``-th text, with so many texts there.
+HOT_SHINGLES, SAMPLE, HOT_COUNT = 65_536, 16, 8
 
 
-def _prints(shingle: int, sketch: int):
+def _shingle_digests(words: list[bytes], k: int) -> list[bytes]:
+    """The distinct 128-bit digests of the runs of ``k`` words, sorted; fewer words: of the whole sequence."""
+    return sorted({xxhash.xxh3_128_digest(b" ".join(words[i:i + k])) for i in range(max(1, len(words) - k + 1))}) if words else []
+
+
+def _shingle_set(digests: list[bytes]) -> np.ndarray:
+    """The first halves of sorted digests, which stand for the shingles."""
+    return np.unique(np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64))
+
+
+def _prefix(own: np.ndarray, min_similarity: float, hot: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first shingles of a set in one order for all texts, in which hot ones come last, and how many of the set are not hot.
+
+    Two sets with the similarity share at least ``ceil(min_similarity * n)`` of the ``n`` shingles of each, so they share one
+    of the first ``n - ceil(min_similarity * n) + 1``, whatever the order.
+    """
+    at = np.minimum(np.searchsorted(hot, own), max(len(hot) - 1, 0))
+    ranks = np.where(hot[at] == own, rank[at], 0) if len(hot) else np.zeros(len(own), np.int64)
+    keep = len(own) - math.ceil(min_similarity * len(own) - 1e-9) + 1 if len(own) else 0
+    return int((ranks == 0).sum()), own[np.lexsort((own, ranks))[:keep]]
+
+
+def _wide_fingerprint(digests: list[bytes]) -> tuple[int, int]:
+    """The 128-bit SimHash of the digests, as two signed longs."""
+    if not digests:
+        return 0, 0
+    bytes_ = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(bytes_), CHUNK):
+        ones += np.unpackbits(bytes_[i:i + CHUNK], axis=1).sum(0, dtype=np.int64)
+    low, high = np.packbits(ones * 2 > len(bytes_)).view(np.int64).tolist()
+    return low, high
+
+
+PRINTS = "doc_id long, same binary, fp long, wide0 long, wide1 long, n int, cold int, prefix array<long>"
+
+
+def _prints(shingle: int, min_similarity: float, hot: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
                 own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-                wide, shingles = _wide_fingerprint(words, shingle, sketch)
-                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *wide, shingles))
-            same, fp, wide0, wide1, shingles = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *(pa.array(x, pa.int64()) for x in (fp, wide0, wide1)), pa.array(list(shingles), pa.list_(pa.int32()))], ["doc_id", "same", "fp", "wide0", "wide1", "sketch"])
+                digests = _shingle_digests(words, shingle)
+                shingles = _shingle_set(digests)
+                cold, prefix = _prefix(shingles, min_similarity, hot, rank)
+                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *_wide_fingerprint(digests), len(shingles), cold, prefix.view(np.int64)))
+            same, fp, wide0, wide1, n, cold, prefix = zip(*rows, strict=True)
+            longs, ints = [pa.array(x, pa.int64()) for x in (fp, wide0, wide1)], [pa.array(x, pa.int32()) for x in (n, cold)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *longs, *ints, pa.array(list(prefix), pa.list_(pa.int64()))], ["doc_id", "same", "fp", "wide0", "wide1", "n", "cold", "prefix"])
 
     return run
 
 
-def _wide_fingerprint(words: list[bytes], k: int, sketch: int) -> tuple[tuple[int, int], np.ndarray]:
-    """The 128-bit SimHash of the distinct runs of ``k`` words, as two signed longs, and the smallest of their hashes."""
-    if not words:
-        return (0, 0), np.empty(0, np.int32)
-    starts = range(max(1, len(words) - k + 1))
-    digests = sorted({xxhash.xxh3_128_digest(b" ".join(words[i:i + k])) for i in starts})
-    bytes_ = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(bytes_), CHUNK):
-        ones += np.unpackbits(bytes_[i:i + CHUNK], axis=1).sum(0, dtype=np.int64)
-    low, high = np.packbits(ones * 2 > len(bytes_)).view(np.int64).tolist()
-    heads = np.ascontiguousarray(bytes_[:, :4]).view(">u4").ravel() >> 1  # digests are sorted, so these are too
-    return (low, high), np.unique(heads).astype(np.int32)[:sketch]
+def _sets(shingle: int, keep: int | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingle_set(_shingle_digests((t or b"").lower().split(), shingle))[:keep].view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return run
 
 
 def wide_radius(min_similarity: float) -> int:
@@ -254,37 +288,88 @@ def wide_radius(min_similarity: float) -> int:
     return int(128 * p + 1.4 * math.sqrt(128 * p * (1 - p)))
 
 
-def similarity(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """The Jaccard similarity of two sets of shingles from their sketches: exact if both are whole, else from the smallest hashes of the union."""
-    union = F.array_sort(F.array_union(a, b))
-    union = F.when((F.size(a) < sketch) & (F.size(b) < sketch), union).otherwise(F.slice(union, 1, sketch))
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.greatest(F.size(union), F.lit(1))
+def hot_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample hold, sorted, and their ranks by that number; what is found only speeds up."""
+    sample = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
+    counts = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= HOT_COUNT)
+    rows = counts.orderBy(F.desc("count"), "shingle").limit(HOT_SHINGLES).collect()
+    rank = {r["shingle"]: i for i, r in enumerate(reversed(rows), 1)}
+    hot = np.array(list(rank), np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], np.array(list(rank.values()), np.int64)[order]
+
+
+def similar_links(slim: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float, keep: int | None = None) -> DataFrame:
+    """The ``pairs`` (a, b) of texts of ``slim`` whose sets of shingles have the similarity, from all their shingles."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    known = materialize(slim.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle, keep), "doc_id long, shingles array<long>"), "dedup-sets")
+    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(min_similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
-def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _may_reach(min_similarity: float) -> Column:
+    """Whether posts ``x`` and ``y`` of one shingle, if it is the first that two sets share, leave room for the similarity."""
+    n, m = F.col("x.n"), F.col("y.n")
+    room = F.least(n - F.col("x.pos"), m - F.col("y.pos"))
+    return (F.least(n, m) >= F.greatest(n, m) * min_similarity - 1e-9) & (room >= (n + m) * (min_similarity / (1 + min_similarity)) - 1e-9)
+
+
+def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id): the documents to drop so that one of each group of near-duplicates stays, the one with the smallest id.
 
-    Texts with the same words in the same order are one node. The fingerprints that are looked up are of a text's distinct
-    words, which an edit moves less than those of its shingles; lookups go out in widening radii, each over what the one
-    before has left. A second, 128-bit fingerprint of the shingles is verified in the same join, and a link needs a
-    similarity of the ``shingle``-word sets of at least ``min_similarity``. Rows without an id cannot be told apart and are
-    never dropped.
+    A group is a connected component of all pairs whose ``shingle``-word sets have a similarity of at least
+    ``min_similarity``. Texts with the same words in the same order are one node. Lookups of fingerprints of the distinct
+    words, in widening radii, each over one text of each group so far, join most of a group cheaply. What they miss is found
+    by a join over the prefixes of all texts' shingles, of which only pairs of different groups are compared; every link is
+    verified from all shingles. Hot shingles are first compared with the text that has most of them. Rows without an id
+    cannot be told apart and are never dropped.
     """
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(slim.mapInArrow(_prints(shingle, sketch), "doc_id long, same binary, fp long, wide0 long, wide1 long, sketch array<int>"), "dedup-prints")
+    hot, rank = hot_shingles(slim, shingle)
+    prints = materialize(slim.mapInArrow(_prints(shingle, min_similarity, hot, rank), PRINTS), "dedup-prints")
     firsts = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", *WIDE)]), "dedup-nodes")
     lost = prints.select("doc_id", "same").join(firsts.select("same", "id"), "same").where("doc_id != id").select("doc_id")
+    stars = slim.sparkSession.createDataFrame([], "a long, b long")
+
+    def joined(stars: DataFrame, pairs: DataFrame, keep: int | None = None) -> DataFrame:
+        """(a, b): each text of a group but the first, and the first, with the similar ones of ``pairs``."""
+        links = stars.unionByName(similar_links(slim, pairs, shingle, min_similarity, keep))
+        return materialize(connected_components(links).where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), "dedup-stars")
+
     nodes = firsts.select("id", "fp", *WIDE)
     for radius in radii:
-        pairs = materialize(hamming_links(nodes, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs")
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        known = materialize(prints.join(asked, "doc_id", "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"]), "dedup-sketches")
-        both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-        groups = connected_components(both.where(similarity(F.col("sa"), F.col("sb"), sketch) >= min_similarity).select("a", "b"))
-        gone = materialize(groups.where("node != component").select(F.col("node").alias("id")), "dedup-gone")
-        lost = lost.union(gone)
-        nodes = materialize(nodes.join(gone, "id", "left_anti"), "dedup-nodes")
-    return lost.distinct()
+        left = nodes.join(stars.select(F.col("a").alias("id")), "id", "left_anti")
+        stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"), 256)
+
+    own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").join(stars.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "cold", "prefix")
+
+    def posts(stars: DataFrame) -> DataFrame:
+        of = own.join(stars.select(F.col("a").alias("id"), "b"), "id", "left").withColumn("of", F.coalesce("b", "id"))
+        return of.select("id", "of", "n", "cold", F.posexplode("prefix").alias("pos", "shingle"))
+
+    rare = F.lit(True)
+    if len(hot):
+        few = materialize(posts(stars).where("pos >= cold"), "dedup-hot-posts")
+        heads = few.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min(F.struct(F.expr("cold / n").alias("rest"), "id", "of", "n", "pos")).alias("head")).where("lo != hi")
+        heads = heads.select("shingle", "head.id", "head.of", "head.n", "head.pos").alias("x")
+        pairs = heads.join(few.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.of") != F.col("y.of")) & _may_reach(min_similarity))
+        stars = joined(stars, materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "dedup-pairs"))
+        few = few.join(stars.select(F.col("a").alias("id"), F.col("b").alias("now")), "id", "left").withColumn("of", F.coalesce("now", "of"))
+        mixed = few.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("shingle")
+        few = few.join(mixed, "shingle", "left_semi").select("id", "of", "n", "pos", "shingle")
+        rare = F.col("pos") < F.col("cold")
+
+    def across(posts: DataFrame) -> DataFrame:
+        x, y = posts.alias("x"), posts.alias("y")
+        near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.of") != F.col("y.of")) & _may_reach(min_similarity)
+        return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    pairs = across(posts(stars).where(rare).select("id", "of", "n", "pos", "shingle"))
+    if len(hot):
+        pairs = pairs.unionByName(across(few))
+    stars = joined(stars, materialize(pairs.distinct(), "dedup-pairs"))
+    return lost.union(stars.select("a")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
