@@ -342,7 +342,7 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
         left = nodes.join(stars.select(F.col("a").alias("id")), "id", "left_anti")
         stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"), 256)
 
-    own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").join(stars.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "cold", "prefix")
+    own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").select("id", "n", "cold", "prefix")
 
     def posts(stars: DataFrame) -> DataFrame:
         of = own.join(stars.select(F.col("a").alias("id"), "b"), "id", "left").withColumn("of", F.coalesce("b", "id"))

@@ -45,6 +45,18 @@ def test_passage_edits_of_long_texts(spark):
     assert len(want) > 50 and found(spark, texts) == want
 
 
+def test_a_removed_text_still_links_others(spark):
+    rng, n = np.random.default_rng(2), 400
+    texts = {}
+    for g in range(12):  # the first is an edited copy of the second, and the third is one of the second only
+        w = words(rng, n)
+        edited = lambda at, size: " ".join(w[:at] + words(rng, size, "v") + w[at + size:])  # noqa: E731, B023
+        texts |= {10 * g: edited(20, 4), 10 * g + 1: " ".join(w), 10 * g + 2: edited(200, 36)}
+        sets = [shingles(texts[10 * g + i]) for i in range(3)]
+        assert similarity(sets[1], sets[2]) >= 0.8 > similarity(sets[0], sets[2])
+    assert found(spark, texts) == losers(texts) == {10 * g + i for g in range(12) for i in (1, 2)}
+
+
 @pytest.mark.parametrize("sample", [1, 16])
 def test_common_passages_and_large_groups(spark, monkeypatch, sample):
     monkeypatch.setattr(simhash, "SAMPLE", sample)
