@@ -270,10 +270,10 @@ def _prints(shingle: int, min_similarity: float, hot: np.ndarray, rank: np.ndarr
     return run
 
 
-def _sets(shingle: int, keep: int | None = None):
+def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_shingle_set(_shingle_digests((t or b"").lower().split(), shingle))[:keep].view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [_shingle_set(_shingle_digests((t or b"").lower().split(), shingle)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return run
@@ -299,10 +299,10 @@ def hot_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return hot[order], np.array(list(rank.values()), np.int64)[order]
 
 
-def similar_links(slim: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float, keep: int | None = None) -> DataFrame:
+def similar_links(slim: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of texts of ``slim`` whose sets of shingles have the similarity, from all their shingles."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    known = materialize(slim.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle, keep), "doc_id long, shingles array<long>"), "dedup-sets")
+    known = materialize(slim.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "dedup-sets")
     both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(min_similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
@@ -332,15 +332,15 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
     lost = prints.select("doc_id", "same").join(firsts.select("same", "id"), "same").where("doc_id != id").select("doc_id")
     stars = slim.sparkSession.createDataFrame([], "a long, b long")
 
-    def joined(stars: DataFrame, pairs: DataFrame, keep: int | None = None) -> DataFrame:
+    def joined(stars: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b): each text of a group but the first, and the first, with the similar ones of ``pairs``."""
-        links = stars.unionByName(similar_links(slim, pairs, shingle, min_similarity, keep))
+        links = stars.unionByName(similar_links(slim, pairs, shingle, min_similarity))
         return materialize(connected_components(links).where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), "dedup-stars")
 
     nodes = firsts.select("id", "fp", *WIDE)
     for radius in radii:
         left = nodes.join(stars.select(F.col("a").alias("id")), "id", "left_anti")
-        stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"), 256)
+        stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"))
 
     own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").select("id", "n", "cold", "prefix")
 

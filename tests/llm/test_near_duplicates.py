@@ -57,6 +57,12 @@ def test_a_removed_text_still_links_others(spark):
     assert found(spark, texts) == losers(texts) == {10 * g + i for g in range(12) for i in (1, 2)}
 
 
+def test_similarity_of_long_texts_is_exact(spark):
+    texts = passage_edits(np.random.default_rng(3), np.linspace(0.77, 0.83, 60), 1500)
+    want = losers(texts)
+    assert 20 < len(want) < 40 and found(spark, texts) == want
+
+
 @pytest.mark.parametrize("sample", [1, 16])
 def test_common_passages_and_large_groups(spark, monkeypatch, sample):
     monkeypatch.setattr(simhash, "SAMPLE", sample)
