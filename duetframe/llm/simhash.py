@@ -249,7 +249,18 @@ def _wide_fingerprint(digests: list[bytes]) -> tuple[int, int]:
     return low, high
 
 
-PRINTS = "doc_id long, same binary, fp long, wide0 long, wide1 long, n int, cold int, prefix array<long>"
+#: Bits of the maps that bound from below in how many shingles two sets differ.
+MAP_BITS = 1024
+PRINTS = "doc_id long, same binary, fp long, wide0 long, wide1 long, n int, cold int, prefix array<long>, map array<long>"
+
+
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of the buckets of a map, whether an odd number of the shingles falls into it, as signed longs.
+
+    Shingles of both sets cancel out, so two maps differ in at most as many bits as the sets do in shingles.
+    """
+    odd = np.bincount((own % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _prints(shingle: int, min_similarity: float, hot: np.ndarray, rank: np.ndarray):
@@ -262,10 +273,10 @@ def _prints(shingle: int, min_similarity: float, hot: np.ndarray, rank: np.ndarr
                 digests = _shingle_digests(words, shingle)
                 shingles = _shingle_set(digests)
                 cold, prefix = _prefix(shingles, min_similarity, hot, rank)
-                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *_wide_fingerprint(digests), len(shingles), cold, prefix.view(np.int64)))
-            same, fp, wide0, wide1, n, cold, prefix = zip(*rows, strict=True)
+                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *_wide_fingerprint(digests), len(shingles), cold, prefix.view(np.int64), _parities(shingles)))
+            same, fp, wide0, wide1, n, cold, *lists = zip(*rows, strict=True)
             longs, ints = [pa.array(x, pa.int64()) for x in (fp, wide0, wide1)], [pa.array(x, pa.int32()) for x in (n, cold)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *longs, *ints, pa.array(list(prefix), pa.list_(pa.int64()))], ["doc_id", "same", "fp", "wide0", "wide1", "n", "cold", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *longs, *ints, *(pa.array(list(x), pa.list_(pa.int64())) for x in lists)], ["doc_id", "same", "fp", "wide0", "wide1", "n", "cold", "prefix", "map"])
 
     return run
 
@@ -315,6 +326,14 @@ def _may_reach(min_similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * min_similarity - 1e-9) & (room >= (n + m) * (min_similarity / (1 + min_similarity)) - 1e-9)
 
 
+def _close_maps(pairs: DataFrame, maps: DataFrame, min_similarity: float) -> DataFrame:
+    """The ``pairs`` without those that cannot reach the similarity, as the maps of their texts (id, n, map) differ in too many bits."""
+    x, y = (maps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    most = (F.col("na") + F.col("nb")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-9
+    return pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b").distinct()
+
+
 def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id): the documents to drop so that one of each group of near-duplicates stays, the one with the smallest id.
 
@@ -342,6 +361,7 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
         left = nodes.join(stars.select(F.col("a").alias("id")), "id", "left_anti")
         stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"))
 
+    maps = prints.select(F.col("doc_id").alias("id"), "n", "map")
     own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").select("id", "n", "cold", "prefix")
 
     def posts(stars: DataFrame) -> DataFrame:
@@ -354,7 +374,8 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
         heads = few.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min(F.struct(F.expr("cold / n").alias("rest"), "id", "of", "n", "pos")).alias("head")).where("lo != hi")
         heads = heads.select("shingle", "head.id", "head.of", "head.n", "head.pos").alias("x")
         pairs = heads.join(few.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.of") != F.col("y.of")) & _may_reach(min_similarity))
-        stars = joined(stars, materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "dedup-pairs"))
+        pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        stars = joined(stars, materialize(_close_maps(pairs, maps, min_similarity), "dedup-pairs"))
         few = few.join(stars.select(F.col("a").alias("id"), F.col("b").alias("now")), "id", "left").withColumn("of", F.coalesce("now", "of"))
         mixed = few.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("shingle")
         few = few.join(mixed, "shingle", "left_semi").select("id", "of", "n", "pos", "shingle")
@@ -368,7 +389,7 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
     pairs = across(posts(stars).where(rare).select("id", "of", "n", "pos", "shingle"))
     if len(hot):
         pairs = pairs.unionByName(across(few))
-    stars = joined(stars, materialize(pairs.distinct(), "dedup-pairs"))
+    stars = joined(stars, materialize(_close_maps(pairs.distinct(), maps, min_similarity), "dedup-pairs"))
     return lost.union(stars.select("a")).distinct()
 
 
