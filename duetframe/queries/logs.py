@@ -25,10 +25,14 @@ def as_log(df: DataFrame, kind: str) -> DataFrame:
     return df.select("pos", *[c for c in names if c in df.columns])
 
 
-def written(t: Tables, kind: str, df: DataFrame, files: int = 4) -> str:
-    """A log of ``df`` as JSON lines in a folder for each run; the folder above."""
+#: Rows of a log file that is digested whole.
+FILE_ROWS = 100_000
+
+
+def written(t: Tables, kind: str, df: DataFrame, files: int = 4, most_rows: int = 0) -> str:
+    """A log of ``df`` as JSON lines in a folder for each run, with at most ``most_rows`` in a file if given; the folder above."""
     path = scratch_path(t.spark, f"log-{kind}")
-    as_log(df, kind).repartitionByRange(files, "pos").sortWithinPartitions("pos").drop("pos").write.json(path)
+    as_log(df, kind).repartitionByRange(files, "pos").sortWithinPartitions("pos").drop("pos").write.option("maxRecordsPerFile", most_rows).json(path)
     return path
 
 
@@ -125,7 +129,7 @@ R.sql["snk03_manifest_files"] = SQL + "SELECT dyad_id, persona_mode, seed, cast(
 
 @R.add("snk04_digests", "", None)
 def _(t: Tables):
-    path = written(t, "turns", t.turns, files=1)
+    path = written(t, "turns", t.turns, files=max(1, -(-t.turns.count() // FILE_ROWS)), most_rows=FILE_ROWS)
     return sinks.file_digests(t.spark, path).where("bytes > 0").select("sha256", "bytes")
 
 
