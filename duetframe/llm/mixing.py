@@ -5,11 +5,12 @@
 3. Documents are counted by (source, exact length). A source's remaining budget is filled by a proportional share of
    each length and a bounded knapsack over what is left, which sees counts and never documents.
 4. For each (source, length) the first documents in a seeded hash order are taken. Hash buckets with counts replace a
-   global rank: only the one bucket that the cut falls in is sorted, so a length that a third of all rows share is
-   spread over as many tasks as it has buckets.
+   global rank: only the one bucket that the cut falls in is sorted, to find the last document taken, and every document
+   is then held against that one. A length that a third of all rows share is spread over all its buckets.
 
-Edge cases: a null text has size 0; a null source is a source of its own, last in order; size 0 takes nothing; repeated
-rows count as documents of their own; an empty table gives an empty result.
+Edge cases: a null text has size 0; a null source is a source of its own, last in order; size 0 takes nothing; rows that
+repeat an id or have none are documents of their own, in the order of their texts' hashes; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from .common import materialize, words
 
 #: Documents of one (source, length) in a hash bucket, about.
 BUCKET_ROWS = 1024
-#: Bits that the knapsack's reachable sums may take, over all its steps.
-KNAPSACK_BITS = 256_000_000
-#: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this.
+#: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this. It bounds the
+#: sums in reach and with them the lengths that take part, so that none has to be left out.
 KNAPSACK_WORDS = 20_000
 
 
@@ -69,14 +69,14 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
     if not spare or left <= 0:
         return take
     top = left + lengths[spare[0]]  # beyond it a nearer sum would drop its smallest document
-    mask, reach, steps, bits = (1 << (top + 1)) - 1, 1, [], 0
+    mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for i in spare:
         room, size = min(counts[i] - take[i], top // lengths[i]), 1
-        while room > 0 and bits + top < KNAPSACK_BITS:
+        while room > 0:
             size = min(size, room)
             steps.append((i, size, reach))
             reach |= (reach << (size * lengths[i])) & mask
-            room, size, bits = room - size, size * 2, bits + top
+            room, size = room - size, size * 2
         if reach >> left & 1:
             break
     below = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
@@ -96,55 +96,67 @@ def _plan(targets: dict[str | None, float], totals: dict[str | None, int]):
         hist = hist.sort_values("size")
         lengths, counts, total = hist["size"].tolist(), hist["n"].tolist(), totals[source]
         whole, rest = divmod(round(targets[source]), total)
-        return pd.DataFrame({"source": source, "size": lengths, "n": counts, "whole": whole, "extra": fit_counts(lengths, counts, rest)}).astype({"source": object})
+        extra = fit_counts(lengths, counts, rest)
+        words = whole * total + sum(n * k for n, k in zip(lengths, extra, strict=True))
+        return pd.DataFrame({"source": source, "size": lengths, "n": counts, "whole": whole, "extra": extra, "source_taken": words}).astype({"source": object})
 
     return plan
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): the number of words of each document."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, th): the number of words of each document and a hash of its text; and the columns to ``keep``."""
+    text = F.col(text_col)
+    return docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies), a row for each row of ``docs``.
+def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies, source_taken), a row for each row of ``docs``.
 
-    ``copies`` is how often the mix repeats the document (0, 1 or 2 for a cap of 2) and ``taken`` is copies times size.
-    The driver holds one row for each source and no more.
+    ``copies`` is how often the mix repeats the document (0, 1 or 2 for a cap of 2), ``taken`` is copies times size, and
+    ``source_taken`` the sum of these over the source, which shows how near its target the fit came. Columns to ``keep`` come
+    first. The driver holds one row for each source and no more.
     """
-    slim = materialize(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    spark = docs.sparkSession
+    slim = materialize(sized(docs, id_col, text_col, source_col, keep).withColumn("row_number", F.monotonically_increasing_id()), "mix-sizes")
     totals = {r["source"]: r["size"] for r in slim.groupBy("source").agg(F.sum("size").alias("size")).toLocalIterator()}
     targets = source_targets(totals, weights, share, cap)
-    spark = docs.sparkSession
-    by_source = spark.createDataFrame([(s, totals[s], targets[s]) for s in totals], "source string, source_size long, target double")
-    plan = slim.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).groupBy("source").applyInPandas(_plan(targets, totals), "source string, size long, n long, whole long, extra long")
-    plan = materialize(plan, "mix-plan")
-
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
-    joined = slim.join(plan, same(slim, plan), "left").select(slim["*"], "n", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("extra", F.lit(0)).alias("extra"), order.alias("h"))
-    joined = joined.withColumn("bucket", F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), F.shiftrightunsigned("h", 1) % F.ceil(F.col("n") / BUCKET_ROWS)))
-    counts = joined.where("bucket is not null").groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
-    upto = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
-    cut = joined.join(counts, joined["source"].eqNullSafe(counts["source"]) & (joined["size"] == counts["size"]) & (joined["bucket"] == counts["bucket"]), "left").select(joined["*"], "here", "before")
-    # sure: all or none of the document's bucket is taken; only the bucket with the cut in it is ranked
-    sure = (F.when(F.col("bucket").isNull(), F.col("extra") > 0)
-            .when(F.col("before") + F.col("here") <= F.col("extra"), F.lit(True))
-            .when(F.col("before") >= F.col("extra"), F.lit(False)))
-    cut = cut.withColumn("sure", sure)
-    # rows that need no rank get a key of their own, so that one window serves both without a hot partition
-    spread = F.when(F.col("sure").isNotNull(), F.col("h")).otherwise(F.lit(0))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket", spread).orderBy("h", "doc_id")))
-    picked = F.coalesce("sure", F.col("rank") <= F.col("extra") - F.col("before"))
+    plan = slim.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).groupBy("source").applyInPandas(_plan(targets, totals), "source string, size long, n long, whole long, extra long, source_taken long")
+    plan = materialize(plan.withColumnsRenamed({"source": "of", "size": "length"}), "mix-plan")
+    got = {r["of"]: r["words"] for r in plan.groupBy("of").agg(F.max("source_taken").alias("words")).toLocalIterator()}
+    plan = plan.drop("source_taken")
+    by_source = spark.createDataFrame([(s, totals[s], targets[s], got.get(s, 0)) for s in totals], "of string, source_size long, target double, source_taken long")
+
+    h = F.xxhash64(F.lit(seed), "doc_id", "th")
+    bucket = F.shiftrightunsigned(h, 1) % F.ceil(F.col("n") / BUCKET_ROWS)
+    place = F.struct(bucket.alias("bucket"), h.alias("h"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("row_number").alias("row_number"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length"))
+    cut = slim.join(plan.where("0 < extra and extra < n"), same).select("of", "length", "extra", place.alias("place"))
+    counts = cut.groupBy("of", "length", "extra", F.col("place.bucket").alias("bucket")).agg(F.count("*").alias("here"))
+    upto = Window.partitionBy("of", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0))).where("before < extra and extra <= before + here")
+    counts = counts.select(F.col("of").alias("s"), F.col("length").alias("l"), "bucket", (F.col("extra") - F.col("before")).alias("more"))
+    inside = cut.join(counts, cut["of"].eqNullSafe(F.col("s")) & (cut["length"] == F.col("l")) & (F.col("place.bucket") == F.col("bucket")))
+    inside = inside.withColumn("rank", F.row_number().over(Window.partitionBy("of", "length").orderBy("place"))).where("rank = more")
+    last = materialize(inside.select(F.col("of").alias("s"), F.col("length").alias("l"), F.col("place").alias("last")), "mix-cuts")
+    plan = plan.join(last, plan["of"].eqNullSafe(last["s"]) & (plan["length"] == last["l"]), "left").drop("s", "l")
+
+    picked = (F.col("extra") > 0) & (F.col("last").isNull() | (place <= F.col("last")))
     copies = F.when(F.col("size") > 0, F.col("whole") + picked.cast("long")).otherwise(F.lit(0))
-    return (ranked.withColumn("copies", copies)
-            .join(by_source, ranked["source"].eqNullSafe(by_source["source"]), "left")
-            .select("doc_id", ranked["source"], "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies"))
+    out = slim.join(plan, same, "left").withColumn("copies", copies).drop("of")
+    return out.join(by_source, out["source"].eqNullSafe(by_source["of"]), "left").select(
+        *keep, "doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", F.coalesce("source_taken", F.lit(0)).alias("source_taken"))
+
+
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(row, mix): each row of ``docs`` with its own figures; rows are numbered in a table, so that equal ones are told apart."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    slim = rows.select("uid", *[F.col(f"row.`{c}`").alias(name) for c, name in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))])
+    figures = mix_sources(slim, keep=["uid"], **options)
+    figures = figures.select("uid", F.struct("size", "source_size", "target", "taken", "copies").alias("mix")).where("mix.copies > 0")
+    return rows.join(figures, "uid").select("row", "mix")
 
 
-def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every document repeated ``copies`` times; all its columns, whatever their names."""
-    copies = mix.where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies"))
-    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
-    return rows.join(copies, rows["id"].eqNullSafe(copies["id"])).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every document repeated as often as the mix takes it; all its columns, whatever their names."""
+    return mixed_rows(docs, **options).select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select("row.*")

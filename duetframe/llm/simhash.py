@@ -74,7 +74,8 @@ def _fingerprints(k: int):
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of each text as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_fingerprints(shingle), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _segments(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -251,7 +252,7 @@ def _wide_fingerprint(digests: list[bytes]) -> tuple[int, int]:
 
 #: Bits of the maps that bound from below in how many shingles two sets differ.
 MAP_BITS = 1024
-PRINTS = "doc_id long, same binary, fp long, wide0 long, wide1 long, n int, cold int, prefix array<long>, map array<long>"
+PRINTS = "row struct<{id}:{type},th:bigint>, same binary, fp long, wide0 long, wide1 long, n int, cold int, prefix array<long>, map array<long>"
 
 
 def _parities(own: np.ndarray) -> np.ndarray:
@@ -276,7 +277,7 @@ def _prints(shingle: int, min_similarity: float, hot: np.ndarray, rank: np.ndarr
                 rows.append((xxhash.xxh3_128_digest(b" ".join(words)), _signed(fingerprint(own)), *_wide_fingerprint(digests), len(shingles), cold, prefix.view(np.int64), _parities(shingles)))
             same, fp, wide0, wide1, n, cold, *lists = zip(*rows, strict=True)
             longs, ints = [pa.array(x, pa.int64()) for x in (fp, wide0, wide1)], [pa.array(x, pa.int32()) for x in (n, cold)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *longs, *ints, *(pa.array(list(x), pa.list_(pa.int64())) for x in lists)], ["doc_id", "same", "fp", "wide0", "wide1", "n", "cold", "prefix", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), *longs, *ints, *(pa.array(list(x), pa.list_(pa.int64())) for x in lists)], ["row", "same", "fp", "wide0", "wide1", "n", "cold", "prefix", "map"])
 
     return run
 
@@ -285,7 +286,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_shingle_set(_shingle_digests((t or b"").lower().split(), shingle)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     return run
 
@@ -301,7 +302,7 @@ def wide_radius(min_similarity: float) -> int:
 
 def hot_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most texts of a sample hold, sorted, and their ranks by that number; what is found only speeds up."""
-    sample = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
+    sample = slim.where(F.pmod(F.col("row.th"), F.lit(SAMPLE)) == 0).select("row.th", "text").mapInArrow(_sets(shingle), "id long, shingles array<long>")
     counts = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= HOT_COUNT)
     rows = counts.orderBy(F.desc("count"), "shingle").limit(HOT_SHINGLES).collect()
     rank = {r["shingle"]: i for i, r in enumerate(reversed(rows), 1)}
@@ -310,11 +311,15 @@ def hot_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return hot[order], np.array(list(rank.values()), np.int64)[order]
 
 
-def similar_links(slim: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of texts of ``slim`` whose sets of shingles have the similarity, from all their shingles."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    known = materialize(slim.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "dedup-sets")
-    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+def similar_links(slim: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of shingles have the similarity, from all their shingles.
+
+    ``rows`` (id, row) tells which row of ``slim`` has a node's text; rows that are equal there give it once.
+    """
+    asked = rows.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
+    texts = slim.join(asked.withColumnRenamed("row", "own"), F.col("row") == F.col("own")).select("id", "text").dropDuplicates(["id"])
+    known = materialize(texts.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "dedup-sets")
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(min_similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
@@ -334,26 +339,37 @@ def _close_maps(pairs: DataFrame, maps: DataFrame, min_similarity: float) -> Dat
     return pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b").distinct()
 
 
-def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id): the documents to drop so that one of each group of near-duplicates stays, the one with the smallest id.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text): a row's id and a hash of its text tell it from all others but those that are equal in both."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th")).alias("row"), text.alias("text"))
+
+
+def near_duplicate_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8, radii: Sequence[int] = RADII, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, keep), each once: the rows (doc_id, hash of the text) whose group has several, and which one of them stays.
 
     A group is a connected component of all pairs whose ``shingle``-word sets have a similarity of at least
-    ``min_similarity``. Texts with the same words in the same order are one node. Lookups of fingerprints of the distinct
-    words, in widening radii, each over one text of each group so far, join most of a group cheaply. What they miss is found
-    by a join over the prefixes of all texts' shingles, of which only pairs of different groups are compared; every link is
-    verified from all shingles. Hot shingles are first compared with the text that has most of them. Rows without an id
-    cannot be told apart and are never dropped.
+    ``min_similarity``; the row with the smallest id stays (no id counts as the largest; then the smallest hash of the text).
+    Texts with the same words in the same order are one node. Lookups of fingerprints of the distinct words, in widening
+    radii, each over one text of each group so far, join most of a group cheaply. What they miss is found by a join over the
+    prefixes of all texts' shingles, of which only pairs of different groups are compared; every link is verified from all
+    shingles. Hot shingles are first compared with the text that has most of them.
     """
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = _keyed(docs, id_col, text_col)
     hot, rank = hot_shingles(slim, shingle)
-    prints = materialize(slim.mapInArrow(_prints(shingle, min_similarity, hot, rank), PRINTS), "dedup-prints")
-    firsts = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", *WIDE)]), "dedup-nodes")
-    lost = prints.select("doc_id", "same").join(firsts.select("same", "id"), "same").where("doc_id != id").select("doc_id")
-    stars = slim.sparkSession.createDataFrame([], "a long, b long")
+    kind = slim.schema["row"].dataType["doc_id"].dataType.simpleString()
+    prints = slim.mapInArrow(_prints(shingle, min_similarity, hot, rank), PRINTS.format(id="doc_id", type=kind))
+    prints = materialize(prints.withColumn("id", F.monotonically_increasing_id()), "dedup-prints")  # a row's number, from here on
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("row.th"))
+    firsts = prints.groupBy("same").agg(F.min("id").alias("id"), F.min(order).alias("first"), F.count("*").alias("rows"), *[F.min(c).alias(c) for c in ("fp", *WIDE)])
+    firsts = materialize(firsts, "dedup-nodes")
+    own = prints.select("id", "row", "n", "cold", "prefix", "map").join(firsts.select("id"), "id", "left_semi")
+    rows, maps = own.select("id", "row"), own.select("id", "n", "map")
+    stars = docs.sparkSession.createDataFrame([], "a long, b long")
 
     def joined(stars: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b): each text of a group but the first, and the first, with the similar ones of ``pairs``."""
-        links = stars.unionByName(similar_links(slim, pairs, shingle, min_similarity))
+        links = stars.unionByName(similar_links(slim, rows, pairs, shingle, min_similarity))
         return materialize(connected_components(links).where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), "dedup-stars")
 
     nodes = firsts.select("id", "fp", *WIDE)
@@ -361,11 +377,8 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
         left = nodes.join(stars.select(F.col("a").alias("id")), "id", "left_anti")
         stars = joined(stars, materialize(hamming_links(left, radius, parts, also=WIDE, also_radius=wide_radius(min_similarity)), "dedup-pairs"))
 
-    maps = prints.select(F.col("doc_id").alias("id"), "n", "map")
-    own = prints.withColumnRenamed("doc_id", "id").join(firsts.select("same", "id"), ["same", "id"], "left_semi").select("id", "n", "cold", "prefix")
-
     def posts(stars: DataFrame) -> DataFrame:
-        of = own.join(stars.select(F.col("a").alias("id"), "b"), "id", "left").withColumn("of", F.coalesce("b", "id"))
+        of = own.select("id", "n", "cold", "prefix").join(stars.select(F.col("a").alias("id"), "b"), "id", "left").withColumn("of", F.coalesce("b", "id"))
         return of.select("id", "of", "n", "cold", F.posexplode("prefix").alias("pos", "shingle"))
 
     rare = F.lit(True)
@@ -390,11 +403,23 @@ def near_duplicate_losers(docs: DataFrame, *, shingle: int = 5, min_similarity:
     if len(hot):
         pairs = pairs.unionByName(across(few))
     stars = joined(stars, materialize(_close_maps(pairs.distinct(), maps, min_similarity), "dedup-pairs"))
-    return lost.union(stars.select("a")).distinct()
+
+    groups = stars.withColumnRenamed("a", "id").withColumnRenamed("b", "group").unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("group")).distinct())
+    several = firsts.join(groups, "id", "left").where("group is not null or rows > 1").select("same", F.coalesce("group", "id").alias("group"), "first")
+    several = materialize(several, "dedup-groups")
+    stays = several.select("same", "group").join(several.groupBy("group").agg(F.min("first").alias("first")), "group").select("same", "first")
+    judged = prints.select("row", "same", order.alias("own")).join(stays, "same").select("row", (F.col("own") == F.col("first")).alias("keep"))
+    return judged.groupBy("row").agg(F.max("keep").alias("keep"), F.count("*").alias("rows"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; columns as before."""
-    lost = near_duplicate_losers(docs, id_col=id_col, text_col=text_col, **options)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(lost, "doc_id", "left_anti").select("row.*")
+    """``docs`` with one row of each group of near-duplicates; columns as before.
+
+    Of rows that are equal in id and text, too, one stays: the one whose other columns have the smallest hash.
+    """
+    judged = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **options).select(F.col("row").alias("judged"), "keep", F.col("rows").alias("equal"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th")).alias("own"))
+    rows = rows.join(judged, F.col("own") == F.col("judged"), "left").where("judged is null or keep")
+    once = rows.where("equal > 1").groupBy("own").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.where("equal is null or equal = 1").select("row").unionByName(once.select("row")).select("row.*")

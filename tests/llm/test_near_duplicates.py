@@ -22,7 +22,8 @@ def losers(texts):
 
 
 def found(spark, texts):
-    return {r["doc_id"] for r in simhash.near_duplicate_losers(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    return {r["doc_id"] for r in simhash.near_duplicate_rows(docs).where("not keep").select("row.doc_id").collect()}
 
 
 def words(rng, n, kind="w"):

@@ -340,7 +340,9 @@ def test_mixing(docs, texts, empty):
         assert r["size"] == len(brute.words(texts[r["doc_id"]])) and r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
     assert sorted(got) == sorted(mixing.mix_sources(docs.repartition(5)).collect())
     assert len(got) == docs.count() and mixing.mix_sources(empty).count() == 0
-    assert mixing.apply_mix(docs, mixing.mix_sources(docs)).columns == docs.columns
+    assert all(sources[r["source"]] == r["source_taken"] for r in got)
+    repeated = mixing.apply_mix(docs)
+    assert repeated.columns == docs.columns and repeated.count() == sum(r["copies"] for r in got)
 
 
 def test_targets_share_what_caps_leave():
