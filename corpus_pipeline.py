@@ -1,8 +1,10 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, and a mix of sources.
 
 Each stage takes all that the one before kept and is written as Parquet before the next reads it. Stages work on tables of
-any columns that hold doc_id, text and source; null ids and texts, repeated rows and empty tables are treated as the
-operators' modules say.
+any columns that hold doc_id, text and source, and decide by row: rows that repeat an id or have none are told apart by
+their texts, and of equal rows the near-duplicate stage keeps one. Null ids count as the largest id. Null and empty texts,
+ties, long texts and empty tables are treated as the operators' modules say. The last stage adds its figures in columns
+whose prefix no other column has.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each once, with how often it repeats them and the figures of its source."""
-    figures = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.struct("size", "source_size", "target", "taken", "copies").alias("mix"))
-    figures = figures.groupBy("doc_id").agg(F.max("mix").alias("mix"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    return rows.join(figures, rows["id"].eqNullSafe(figures["doc_id"])).select("row.*", "mix.*")
+    """The rows that the mix takes, each once, with its own size, source_size, target, taken and copies (named mix_...)."""
+    prefix = "mix_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = mixing.mixed_rows(docs)
+    return found.select("row.*", *[F.col(f"mix.{c}").alias(prefix + c) for c in found.schema["mix"].dataType.names])
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_dedup", near_duplicates), ("benchmark_decontamination", benchmarks), ("source_mix", mix)]
