@@ -35,6 +35,7 @@ class Design:
     derived: dict[str, str] = field(default_factory=dict)
     control: dict | None = None
     prefix: str = "w"
+    sizes: dict[str, int] | None = field(default=None, repr=False)
 
 
 def template_slots(template: str) -> list[str]:
@@ -54,9 +55,18 @@ def _product(design: Design, keys: list[str]) -> DataFrame | None:
     return out
 
 
+def factor_sizes(design: Design) -> dict[str, int]:
+    """The number of levels of each factor, counted once for a design, in one job."""
+    if design.sizes is None:
+        each = [df.agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, df in design.factors.items()]
+        design.sizes = {r["k"]: r["n"] for r in reduce(DataFrame.union, each).collect()} if each else {}
+    return design.sizes
+
+
 def _ordinal(design: Design, keys: list[str]) -> Column:
     """Mixed radix over the factors' places, the first factor outermost."""
-    return reduce(lambda o, k: o * design.factors[k].count() + F.col(f"{k}_place"), keys, F.lit(0).cast("long"))
+    sizes = factor_sizes(design)
+    return reduce(lambda o, k: o * sizes[k] + F.col(f"{k}_place"), keys, F.lit(0).cast("long"))
 
 
 def treated_cells(design: Design) -> DataFrame:
@@ -129,8 +139,8 @@ def manifest(design: Design, seed: int, chosen: list[str] | None = None) -> Data
 
     ``chosen`` keeps the rows of some cells as they are in the whole table (PF-13).
     """
-    if design.nested and (bad := with_variants(design, treated_cells(design)).where(F.lit(design.n_per_cell) % F.col("n_variants") != 0).select("cell").first()):
-        raise ValueError(f"{design.n_per_cell} rows do not split evenly over the variants of {bad['cell']}")
+    if design.nested and (bad := design.nested[2].groupBy("parent").count().where(F.lit(design.n_per_cell) % F.col("count") != 0).join(design.factors[design.nested[1]], F.col("parent") == F.col("level"), "left_semi").first()):
+        raise ValueError(f"{design.n_per_cell} rows do not split evenly over the variants of {bad['parent']}")
     modes = F.posexplode(F.array(*map(F.lit, design.modes)))
     treated = with_variants(design, treated_cells(design)).select("*", modes.alias("mode_place", "mode"))
     treated = treated.withColumn("per", (F.lit(design.n_per_cell) / F.col("n_variants")).cast("int"))
@@ -144,7 +154,7 @@ def manifest(design: Design, seed: int, chosen: list[str] | None = None) -> Data
         rows = rows.where(F.col("cell").isin(chosen))
     rows = rows.where("per > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("per"))))
     n_control = design.control["n"] if design.control else 0
-    n_cells = reduce(lambda a, k: a * design.factors[k].count(), design.factors, 1)
+    n_cells = reduce(lambda a, n: a * n, factor_sizes(design).values(), 1)
     treated_rows = n_cells * len(design.modes) * design.n_per_cell
     within = (F.col("mode_place") * F.lit(design.n_per_cell) + F.col("variant_place") * F.col("per") + F.col("k") - 1).cast("long")
     place = F.when(F.col("kind") == "treated", F.col("cell_place") * (len(design.modes) * design.n_per_cell) + within).otherwise(treated_rows + F.col("cell_place") * n_control + F.col("k") - 1)

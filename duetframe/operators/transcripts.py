@@ -10,8 +10,6 @@ from ..schemas import MENTOR, RUN_KEY, SEEKER
 from .attempts import latest_complete, last_row, only_latest_complete
 from .scores import TARGET, no_failures, select_targets
 
-# How the judge is asked for each metric.
-TASKS = {"prompt_to_line": "Rate how well the LINE fits the PERSONA.", "line_to_line": "Rate how consistent the LINE is with the speaker's EARLIER LINES.", "alignment": "Rate how far the LINE agrees with the PERSONA's position on the TOPIC."}
 CACHE_MARGIN = 64
 
 
@@ -80,10 +78,10 @@ def without_treatment(targets: DataFrame, dyads: DataFrame) -> DataFrame:
     return targets.join(dyads.select(*RUN_KEY).distinct(), RUN_KEY, "left_anti").withColumn("error", F.lit("no treatment row for this attempt"))
 
 
-def request_text(metric: Column, topic: Column, persona: Column, earlier: Column, partner: Column, line: Column) -> Column:
-    """SC-7: what the judge reads for one line."""
+def request_text(tasks: dict[str, str], metric: Column, topic: Column, persona: Column, earlier: Column, partner: Column, line: Column) -> Column:
+    """SC-7: what the judge reads for one line; ``tasks`` says what to do for each metric, in the words of the study."""
     task = F.lit(None).cast("string")
-    for name, text in TASKS.items():
+    for name, text in tasks.items():
         task = F.when(metric == name, text).otherwise(task)
     lines = F.when(F.size(earlier) == 0, "- (none yet)").otherwise(F.array_join(F.transform(earlier, lambda x: F.concat(F.lit("- "), x)), "\n"))
     parts = [F.concat(F.lit("TASK: "), task), F.concat(F.lit("TOPIC: "), F.coalesce(topic, F.lit(""))), F.concat(F.lit("PERSONA:\n"), F.coalesce(persona, F.lit(""))),
@@ -91,17 +89,35 @@ def request_text(metric: Column, topic: Column, persona: Column, earlier: Column
     return F.concat_ws("\n\n", *parts)  # a part that is null is left out
 
 
-def score_worklist(turns: DataFrame, dyads: DataFrame, status: DataFrame, scores: DataFrame, scope: str, judge: str, run_seed: int, subsample: float | None = None) -> DataFrame:
+def target_histories(targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``targets`` with ``earlier`` and ``partner`` (WN-4, WN-5), gathered for these messages only.
+
+    The messages before one are counted in one sort, without gathering. An agent's lines in order are then one array a
+    dialogue, made only for dialogues and agents with a target that asks for it, and cut for each target.
+    """
+    before = message_window().rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda agent: F.last(F.when(F.col("agent") == agent, F.col("text")), ignorenulls=True).over(before)
+    partner = F.when(F.col("agent") == SEEKER, last(MENTOR)).otherwise(last(SEEKER))
+    placed = rows.withColumns({"nth": F.count("text").over(message_window("agent").rowsBetween(Window.unboundedPreceding, -1)), "partner": partner})
+    placed = targets.select(*TARGET, "pos", "metric").join(placed, [*TARGET, "pos"])
+    asked = placed.where("metric = 'line_to_line'").select(*RUN_KEY, "agent").distinct()
+    order = F.struct("turn", speaker_rank(F.col("agent")).alias("rank"), "pos", "text")
+    lines = rows.join(asked, [*RUN_KEY, "agent"], "left_semi").where("text is not null").groupBy(*RUN_KEY, "agent").agg(F.array_sort(F.collect_list(order)).alias("lines"))
+    mine = placed.join(lines, [*RUN_KEY, "agent"], "left").withColumn("earlier", F.when(F.col("metric") == "line_to_line", F.transform(F.slice("lines", F.lit(1), F.col("nth").cast("int")), lambda x: x["text"])))
+    return mine.drop("lines", "nth")
+
+
+def score_worklist(turns: DataFrame, dyads: DataFrame, status: DataFrame, scores: DataFrame, scope: str, judge: str, run_seed: int, subsample: float | None = None, *, tasks: dict[str, str]) -> DataFrame:
     """RP-7: what a judge still has to score, with seed and request; targets without a treatment carry an error instead.
 
     The history of a line includes failed messages; only targets leave them out.
     """
-    rows = histories(only_latest_complete(turns, status))
-    targets = not_scored(select_targets(rows, scope, subsample, run_seed), scores, judge)
+    rows = only_latest_complete(turns, status)
+    targets = target_histories(not_scored(select_targets(rows, scope, subsample, run_seed), scores, judge), rows)
     given = last_row(dyads.select(*RUN_KEY, "seed", "persona_text", "condition", "pos").withColumnRenamed("seed", "dyad_seed"), RUN_KEY).drop("pos").withColumn("_known", F.lit(True))
     out = targets.join(given, RUN_KEY, "left")
     seed = derived_seed(F.lit(run_seed), F.col("dyad_seed"), F.col("dyad_id"), F.col("attempt"), F.col("turn"), F.concat_ws(":", F.lit("judge"), "agent", "metric"))
-    request = F.when(F.col("_known"), request_text(F.col("metric"), F.col("condition")["topic"], F.col("persona_text"), F.col("earlier"), F.col("partner"), F.col("text")))
+    request = F.when(F.col("_known"), request_text(tasks, F.col("metric"), F.col("condition")["topic"], F.col("persona_text"), F.col("earlier"), F.col("partner"), F.col("text")))
     return out.select(*TARGET, "metric", F.lit(judge).alias("judge_sha256"), seed.alias("seed"), request.alias("request"), F.when(F.col("_known").isNull(), "no treatment row for this attempt").alias("error"), "pos")
 
 

@@ -11,11 +11,15 @@ from .base import Registry, Tables
 from .ledger import LATEST, S
 
 R = Registry()
-J1, J2 = "sha256('judge-1')", "sha256('judge-2')"
+J1, J2, J3 = "sha256('judge-1')", "sha256('judge-2')", "sha256('judge-3')"  # the third has scored nothing yet
 OK = "coalesce(error, '') = ''"
 LAST = f"SELECT run_id, dyad_id, attempt, turn, agent, judge_sha256, arg_max(score, pos) AS score FROM scores WHERE metric = 'alignment' AND {OK} AND score IS NOT NULL GROUP BY ALL"
 
 
+#: What these queries ask the judge.
+TASKS = {"prompt_to_line": "How well does the line fit the persona?", "line_to_line": "How well does the line fit the earlier lines?", "alignment": "How far does the line share the position of the persona?"}
+
+
 def judge(t: Tables, number: int = 1) -> str:
     return t.spark.sql(f"select sha2('judge-{number}', 256)").first()[0]
 
@@ -216,23 +220,23 @@ REQUESTS = LATEST.format("status") + f""", rows_of AS (SELECT t.*, string_agg('-
   FROM turns t JOIN complete c USING (run_id, dyad_id, attempt) WINDOW w AS (PARTITION BY run_id, dyad_id, attempt {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), own AS (PARTITION BY run_id, dyad_id, attempt, agent {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 last_turns AS (SELECT *, max(turn) OVER (PARTITION BY run_id, dyad_id, attempt) AS last FROM rows_of WHERE finish_reason <> 'error' AND agent = 'seeker'),
 targets AS (SELECT t.*, metric FROM last_turns t, (SELECT unnest(['prompt_to_line', 'line_to_line']) AS metric) m WHERE turn % 4 = 0 OR turn = last),
-open AS (SELECT * FROM targets t ANTI JOIN (SELECT * FROM scores WHERE judge_sha256 = {J1} AND {OK} AND conv_id % 3 = 0) s USING (run_id, dyad_id, attempt, turn, agent, metric))
+open AS (SELECT * FROM targets t ANTI JOIN (SELECT * FROM scores WHERE judge_sha256 = {J1} AND {OK}) s USING (run_id, dyad_id, attempt, turn, agent, metric))
 SELECT o.run_id, o.dyad_id, o.attempt, o.turn, o.metric, cast('0x' || substr(sha256('{RUN_SEED}|' || coalesce(d.seed, 0) || '|' || o.dyad_id || '|' || o.attempt || '|' || o.turn || '|judge:' || o.agent || ':' || metric), 1, 8) AS bigint) AS seed,
   CASE WHEN d.dyad_id IS NULL THEN 'no treatment row for this attempt' END AS error,
-  CASE WHEN d.dyad_id IS NOT NULL THEN sha256('TASK: ' || CASE metric WHEN 'prompt_to_line' THEN 'Rate how well the LINE fits the PERSONA.' ELSE 'Rate how consistent the LINE is with the speaker''s EARLIER LINES.' END || chr(10) || chr(10) || 'TOPIC: ' || topic || chr(10) || chr(10) || 'PERSONA:' || chr(10) || persona_text
+  CASE WHEN d.dyad_id IS NOT NULL THEN sha256('TASK: ' || CASE metric WHEN 'prompt_to_line' THEN '{TASKS['prompt_to_line']}' ELSE '{TASKS['line_to_line']}' END || chr(10) || chr(10) || 'TOPIC: ' || topic || chr(10) || chr(10) || 'PERSONA:' || chr(10) || persona_text
     || CASE WHEN metric = 'line_to_line' THEN chr(10) || chr(10) || 'EARLIER LINES:' || chr(10) || coalesce(earlier, '- (none yet)') ELSE '' END || CASE WHEN m IS NOT NULL THEN chr(10) || chr(10) || 'PARTNER''S LINE:' || chr(10) || m ELSE '' END || chr(10) || chr(10) || 'LINE:' || chr(10) || text) END AS request
 FROM open o LEFT JOIN dyads d USING (run_id, dyad_id, attempt)"""
 
 
 @R.add("rp07_score_worklist", "turns dyads status scores", REQUESTS)
 def _(t: Tables):
-    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores.where("conv_id % 3 = 0"), "main", judge(t), RUN_SEED)
+    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores, "main", judge(t), RUN_SEED, tasks=TASKS)
     return work.select("run_id", "dyad_id", "attempt", "turn", "metric", "seed", "error", F.when(F.col("request").isNotNull(), F.sha2(F.col("request").cast("binary"), 256)).alias("request"))
 
 
-@R.add("sc07_judge_requests", "turns dyads status scores", ", work AS (SELECT o.run_id".join(REQUESTS.rsplit("\nSELECT o.run_id", 1)) + ") SELECT run_id, dyad_id, attempt, turn, request FROM work WHERE metric = 'line_to_line' AND error IS NULL")
+@R.add("sc07_judge_requests", "turns dyads status scores", ", work AS (SELECT o.run_id".join(REQUESTS.replace(J1, J3).rsplit("\nSELECT o.run_id", 1)) + ") SELECT run_id, dyad_id, attempt, turn, request FROM work WHERE metric = 'line_to_line' AND error IS NULL")
 def _(t: Tables):
-    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores.where("conv_id % 3 = 0"), "main", judge(t), RUN_SEED).where("metric = 'line_to_line' and error is null")
+    work = transcripts.score_worklist(t.turns, t.dyads, t.status, t.scores, "main", judge(t, 3), RUN_SEED, tasks=TASKS).where("metric = 'line_to_line' and error is null")
     return work.select("run_id", "dyad_id", "attempt", "turn", F.sha2(F.col("request").cast("binary"), 256).alias("request"))
 
 
@@ -284,9 +288,7 @@ def _(t: Tables):
    WHEN given BETWEEN lo AND hi THEN kind ELSE 'out_of_range' END AS method) q,
  LATERAL (SELECT cast(CASE WHEN method IN ('json', 'labelled', 'bare') THEN given END AS int) AS value) r""")
 def _(t: Tables):
-    rows = t.surveys
-    scales = [(r["lo"], r["hi"]) for r in rows.select("lo", "hi").distinct().collect()]
-    return parsing.parse_scale_answers(rows, scales).select("pos", "method", "value")
+    return parsing.parse_scale_answers(t.surveys).select("pos", "method", "value")
 
 
 @R.add("sc04_parsed_scores", "scores", "SELECT pos, round(CASE WHEN pos % 4 < 2 AND score IS NOT NULL THEN score END, 6) AS score, CASE WHEN pos % 4 = 3 THEN '' ELSE 'because' END AS rationale FROM scores")

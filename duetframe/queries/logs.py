@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assignment, scores
+from ..operators import assignment, attempts, scores
 from ..plans import composites
 from ..schemas import SCHEMAS
 from ..sources import logs, sinks
@@ -56,16 +56,29 @@ def _(t: Tables):
     return logs.read_rows_of(t.spark, written(t, "turns", t.turns), "turns", "d7").select("turn", "agent", "seed")
 
 
-@R.add("src04_runs", "status", LATEST.format("status") + " SELECT run_id, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'started') AS running FROM latest GROUP BY 1")
+@R.add("src01_files_of_one_log", "status", LATEST.format("status") + " SELECT run_id, dyad_id, attempt, status FROM latest")
 def _(t: Tables):
-    base = scratch_path(t.spark, "runs")
+    path = scratch_path(t.spark, "log-in-parts")
     rows = as_log(t.status, "status")
-    for run in [r["run_id"] for r in rows.select("run_id").distinct().collect()]:  # a folder for each run
-        rows.where(F.col("run_id") == run).orderBy("pos").drop("pos").coalesce(1).write.json(f"{base}/{run}/status.jsonl")
-    status = logs.read_log(t.spark, f"{base}/*/status.jsonl", "status", strict=False)
-    from ..operators.attempts import status_counts
+    cut = rows.agg(F.max("pos").alias("last")).first()["last"] or 0
+    for i, (a, b) in enumerate(((0, 0.02), (0.02, 0.2), (0.2, 2))):  # three files of very different sizes
+        rows.where((F.col("pos") >= a * cut) & (F.col("pos") < b * cut)).orderBy("pos").drop("pos").coalesce(1).write.json(f"{path}/{i}")
+    return attempts.latest_status(logs.read_log(t.spark, f"{path}/*", "status"))
+
+
+RUNS_SQL = LATEST.format("status") + """, counts AS (SELECT run_id, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'started') AS running FROM latest GROUP BY 1)
+SELECT run_id, complete, failed, running, m.planned, '2026-01-01' AS started_at, CASE WHEN mentor_path < seeker_path THEN mentor_path || ',' || seeker_path WHEN mentor_path = seeker_path THEN mentor_path ELSE seeker_path || ',' || mentor_path END AS models, true AS has_status
+FROM counts JOIN (SELECT run_id, count(DISTINCT dyad_id) AS planned FROM manifest GROUP BY 1) m USING (run_id) JOIN runs USING (run_id)"""
 
-    return status_counts(status)
+
+@R.add("src04_runs", "status manifest runs", RUNS_SQL)
+def _(t: Tables):
+    base = scratch_path(t.spark, "runs")
+    as_log(t.status, "status").withColumn("run", F.col("run_id")).repartitionByRange(4, "run", "pos").sortWithinPartitions("run", "pos").drop("pos").write.partitionBy("run").json(base)
+    role = lambda r: F.struct(F.lit(None).cast("string").alias("alias"), F.col(f"{r}_path").alias("model_path"), F.col(f"{r}_sha256").alias("model_sha256"), F.lit(None).cast("string").alias("family"))
+    manifests = t.runs.select("run_id", F.lit("2026-01-01").alias("started_at"), role("seeker").alias("seeker"), role("mentor").alias("mentor"), F.lit(None).cast("struct<alias:string,model_path:string,model_sha256:string,family:string>").alias("judge"))
+    rows = logs.list_runs(t.spark, base, manifests, t.manifest, log="*.json")
+    return rows.select("run_id", "complete", "failed", "running", "planned", "started_at", F.array_join("models", ",").alias("models"), (F.size("files") > 0).alias("has_status"))
 
 
 @R.add("src05_manifests", "runs", "SELECT run_id, role, sha FROM (SELECT run_id, 'seeker' AS role, seeker_sha256 AS sha FROM runs UNION ALL SELECT run_id, 'mentor', mentor_sha256 FROM runs) x")
@@ -141,11 +154,11 @@ def _(t: Tables):
     return sinks.record_runs(config("r2"), path).select("run_id")
 
 
-def streamed(t: Tables, kind: str, df: DataFrame, updates, keys: list[str], mode: str = "update", timeouts: bool = False) -> DataFrame:
+def streamed(t: Tables, kind: str, df: DataFrame, updates, keys: list[str], mode: str = "update") -> DataFrame:
     """The view that a stream over a log of several files has made, one file at a time."""
     rows = live.tail(t.spark, written(t, kind, df, files=5), kind)
     out, checkpoint = scratch_path(t.spark, "view"), scratch_path(t.spark, "checkpoint")
-    live.run_to_table(updates(rows), out, keys, checkpoint, mode, timeouts).awaitTermination()
+    live.run_to_table(updates(rows), out, keys, checkpoint, mode).awaitTermination()
     return live.view(t.spark, out, keys) if keys else t.spark.read.parquet(out).drop("batch")
 
 
@@ -170,9 +183,20 @@ def _(t: Tables):
     return streamed(t, "status", t.status, live.resume_index, ["run_id", "dyad_id"])
 
 
-@R.add("st05_liveness", "status", ", counts AS (SELECT run_id, count(DISTINCT dyad_id || '/' || attempt) AS begun, count(DISTINCT CASE WHEN status IN ('complete', 'failed') THEN dyad_id || '/' || attempt END) AS finished FROM status GROUP BY 1) SELECT run_id, CASE WHEN begun > finished THEN 'running' ELSE 'finished' END AS state, finished, begun - finished AS running FROM counts")
+STATES = ", counts AS (SELECT run_id, count(DISTINCT dyad_id || '/' || attempt) AS begun, count(DISTINCT CASE WHEN status IN ('complete', 'failed') THEN dyad_id || '/' || attempt END) AS finished FROM status WHERE dyad_id IS NOT NULL AND attempt IS NOT NULL AND status IS NOT NULL GROUP BY 1) SELECT run_id, CASE WHEN {} THEN 'stalled' WHEN begun > finished THEN 'running' ELSE 'finished' END AS state, finished, begun - finished AS running FROM counts"
+ATTEMPT = ["run_id", "dyad_id", "attempt"]
+
+
+@R.add("st05_liveness", "status", STATES.format("false"))
+def _(t: Tables):
+    states = streamed(t, "status", t.status, live.attempt_states, ATTEMPT)
+    return live.liveness(states, planned=1, now=F.lit("1970-01-01").cast("timestamp"))
+
+
+@R.add("st05_stalled", "status", STATES.format("begun > finished"))
 def _(t: Tables):
-    return streamed(t, "status", t.status, lambda s: live.liveness(s, planned=1), ["run_id"], timeouts=True)
+    states = streamed(t, "status", t.status, live.attempt_states, ATTEMPT)
+    return live.liveness(states, planned=1, now=F.lit("2100-01-01").cast("timestamp"))
 
 
 @R.add("pf09_role_info", "runs", "SELECT run_id, seeker_path AS model_path FROM runs")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .queries import design, dialogue, ledger, logs
+from .queries import composite, design, dialogue, ledger, logs
 from .queries.base import Query
 
-PARTS = [ledger, dialogue, design, logs]
+PARTS = [ledger, dialogue, design, logs, composite]
 
 
 def queries() -> dict[str, Query]:

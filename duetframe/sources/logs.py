@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import status_label
@@ -12,9 +12,19 @@ from ..schemas import BENCH, INSTRUMENT, MANIFEST, SCHEMAS
 CORRUPT = "_corrupt_record"
 
 
-def _with_place(df: DataFrame) -> DataFrame:
-    """``pos``: the rows' order in their file, which decides which of two rows is the later one."""
-    return df.withColumn("pos", F.monotonically_increasing_id())
+POS = "struct<file:string,start:bigint,row:bigint>"
+
+
+def with_place(df: DataFrame, row: Column | None = None) -> DataFrame:
+    """``pos``: a row's place in its log, which decides which of two rows is the later one.
+
+    The files of a log follow each other by name, blocks of a file by where they start, rows of a block by their order. The
+    number of a row alone would not do: scans deal files out by size. ``row`` replaces that number where there is none, as in
+    a stream.
+    """
+    row = F.monotonically_increasing_id() if row is None else row
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), row.alias("row"))
+    return df.select("*", place.alias("pos"))
 
 
 def read_log(spark: SparkSession, path: str, kind: str, strict: bool = True) -> DataFrame:
@@ -23,12 +33,12 @@ def read_log(spark: SparkSession, path: str, kind: str, strict: bool = True) ->
     schema = SCHEMAS[kind]
     try:
         if strict:
-            return _with_place(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
-        lines = _with_place(spark.read.text(path))
+            return with_place(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+        lines = with_place(spark.read.text(path))
     except Exception as e:  # a run without this log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return _with_place(spark.createDataFrame([], schema))
+        return spark.createDataFrame([], f"{schema}, pos {POS}")
     rows = lines.where(F.trim("value") != "").select("pos", F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).where(f"r.{CORRUPT} is null")
     return rows.select("r.*", "pos").drop(CORRUPT)
 
@@ -36,24 +46,36 @@ def read_log(spark: SparkSession, path: str, kind: str, strict: bool = True) ->
 def read_rows_of(spark: SparkSession, path: str, kind: str, dyad_id: str) -> DataFrame:
     """SRC-3: one dyad's rows: lines that hold the id are parsed, the others are not."""
     lines = spark.read.text(path).where(F.contains("value", F.lit(f'"{dyad_id}"')))
-    rows = _with_place(lines).select(F.from_json("value", SCHEMAS[kind]).alias("r"), "pos")
+    rows = with_place(lines).select(F.from_json("value", SCHEMAS[kind]).alias("r"), "pos")
     return rows.where(F.col("r.dyad_id") == dyad_id).select("r.*", "pos")
 
 
 def run_files(spark: SparkSession, base: str) -> DataFrame:
     """(run_id, file, modified, bytes) of all logs under ``base``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(base)
-    run, name = F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)
+    run, name = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^[^=]*=", ""), F.element_at(F.split("path", "/"), -1)
     return files.select(run.alias("run_id"), name.alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
-def list_runs(spark: SparkSession, base: str) -> DataFrame:
-    """SRC-4: a row for each run: last change, which logs it has, and dyads by state; newest first."""
+def list_runs(spark: SparkSession, base: str, manifests: DataFrame | None = None, planned: DataFrame | None = None, log: str = "status.jsonl") -> DataFrame:
+    """SRC-4: a row for each run: last change, which logs it has, dyads by state; newest first, by ``place``.
+
+    With ``manifests`` (see ``read_manifest``) also when it began and its models; with ``planned`` (run_id, dyad_id) how many
+    dyads it plans. A run's folder has its name, or key=name, and its ledger is what ``log`` matches there.
+    """
     files = run_files(spark, base).groupBy("run_id").agg(F.max("modified").alias("modified"), F.array_sort(F.collect_set(F.when(F.col("bytes") > 0, F.col("file")))).alias("files"))
-    status = read_log(spark, f"{base}/*/status.jsonl", "status", strict=False)
+    status = read_log(spark, f"{base}/*/{log}", "status", strict=False)
     latest = clean_ledger(status).groupBy("run_id", "dyad_id").agg(F.max_by("status", F.struct("attempt", "pos")).alias("status"))
     counts = latest.groupBy("run_id").agg(*[F.count_if(status_label(F.col("status")) == s).alias(s) for s in ("complete", "failed", "running")])
-    return files.join(counts, "run_id", "left").na.fill(0).orderBy(F.desc("modified"), "run_id")
+    out = files.join(counts, "run_id", "left").na.fill(0)
+    if planned is not None:
+        out = out.join(planned.groupBy("run_id").agg(F.count_distinct("dyad_id").alias("planned")), "run_id", "left").na.fill(0, ["planned"])
+    if manifests is not None:
+        models = role_info(manifests).groupBy("run_id").agg(F.array_sort(F.collect_set(F.coalesce("alias", "model_path"))).alias("models"))
+        begun = manifests.groupBy("run_id").agg(F.min("started_at").alias("started_at"))
+        out = out.join(begun, "run_id", "left").join(models, "run_id", "left")
+    newest = Window.orderBy(F.desc("modified"), "run_id")  # runs are few: one row each
+    return out.withColumn("place", F.row_number().over(newest)).orderBy("place")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,18 +6,17 @@ A log grows by new files (a file source tracks whole files). Each view is an inc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import attempt_or_first, instant
 from ..schemas import SCHEMAS
+from ..sources.logs import with_place
 
-# The order of states within an attempt, and the minutes without news after which a run counts as stalled.
+# The order of states at the same time, and the minutes without news after which a run counts as stalled.
 STATUS_RANK = {"started": 0, "failed": 1, "complete": 2}
 STALL_MINUTES = 20
 
@@ -25,7 +24,8 @@ STALL_MINUTES = 20
 def tail(spark: SparkSession, path: str, kind: str, files_per_trigger: int = 1) -> DataFrame:
     """ST-1: new rows of a log, a bounded number of files at a time; half-written lines are left out."""
     rows = spark.readStream.schema(f"{SCHEMAS[kind]}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    at = F.unix_micros(instant(F.col("ts"))) if "ts" in rows.columns else F.lit(0).cast("long")  # a stream does not count rows
+    return with_place(rows, at).where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def progress(turns: DataFrame) -> DataFrame:
@@ -43,41 +43,28 @@ def score_index(scores: DataFrame, watermark: str | None = None) -> DataFrame:
 
 
 def resume_index(status: DataFrame) -> DataFrame:
-    """ST-4: each dyad's latest attempt and status; a stream has no line order, so an attempt's later state counts."""
-    rank = F.lit(-1)
-    for name, r in STATUS_RANK.items():
-        rank = F.when(F.col("status") == name, r).otherwise(rank)
+    """ST-4: each dyad's latest attempt and status. Of one attempt's rows the later in the log counts, as in a batch (WN-1); a
+    stream tells rows of one file apart by time, and at the same time by the states' order."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for pair in STATUS_RANK.items() for x in pair])[F.col("status")], F.lit(-1))
     known = status.dropna(subset=["dyad_id", "attempt", "status"])
-    return known.groupBy("run_id", "dyad_id").agg(F.max("attempt").alias("attempt"), F.max_by("status", F.struct("attempt", rank, "ts")).alias("status"))
-
-
-def liveness(status: DataFrame, planned: int, stall: str = f"{STALL_MINUTES} minutes") -> DataFrame:
-    """ST-5: (run_id, state, finished, running): running, pending, finished, or stalled when no row came for a while."""
-    minutes, unit = stall.split()
-    millis = int(minutes) * {"minutes": 60_000, "seconds": 1_000}[unit]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, begun = state.get if state.exists else ([], [])
-        done, begun = set(done), set(begun)
-        if state.hasTimedOut:
-            state.remove()
-            left = len(begun - done)
-            if left or len(done) < planned:
-                yield pd.DataFrame({"run_id": [key[0]], "state": ["stalled"], "finished": [len(done)], "running": [left]})
-            return
-        for pdf in batches:
-            for dyad, attempt, what in zip(pdf["dyad_id"], pdf["attempt"], pdf["status"], strict=True):
-                name = f"{dyad}/{attempt}"
-                begun.add(name)
-                if what in ("complete", "failed"):
-                    done.add(name)
-        state.update((sorted(done), sorted(begun)))
-        state.setTimeoutDuration(millis)
-        left = len(begun - done)
-        what = "running" if left else "pending" if len(done) < planned else "finished"
-        yield pd.DataFrame({"run_id": [key[0]], "state": [what], "finished": [len(done)], "running": [left]})
-
-    return status.dropna(subset=["dyad_id", "attempt", "status"]).groupBy("run_id").applyInPandasWithState(step, "run_id string, state string, finished long, running long", "done array<string>, begun array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return known.groupBy("run_id", "dyad_id").agg(F.max("attempt").alias("attempt"), F.max_by("status", F.struct("attempt", "pos", rank)).alias("status"))
+
+
+def attempt_states(status: DataFrame) -> DataFrame:
+    """ST-5, kept up to date: by attempt, whether it has ended, and when its last row came. A key is one attempt, so that no
+    run's dyads meet in one task or state."""
+    known = status.dropna(subset=["dyad_id", "attempt", "status"])
+    return known.groupBy("run_id", "dyad_id", "attempt").agg(F.bool_or(F.col("status").isin("complete", "failed")).alias("ended"), F.max(instant(F.col("ts"))).alias("last_at"))
+
+
+def liveness(states: DataFrame, planned: int, now: Column | None = None, stall_minutes: int = STALL_MINUTES) -> DataFrame:
+    """ST-5: (run_id, state, finished, running) out of the view of ``attempt_states``: running, pending while fewer attempts
+    have ended than planned, finished; or stalled if, by ``now``, no row came for a while and there is something left."""
+    by = states.groupBy("run_id").agg(F.count_if("ended").alias("finished"), F.count_if(~F.col("ended")).alias("running"), F.max("last_at").alias("last_at"))
+    silent = F.coalesce((F.current_timestamp() if now is None else now) > F.col("last_at") + F.make_dt_interval(mins=F.lit(stall_minutes)), F.lit(False))
+    left = (F.col("running") > 0) | (F.col("finished") < planned)
+    state = F.when(silent & left, "stalled").when(F.col("running") > 0, "running").when(F.col("finished") < planned, "pending").otherwise("finished")
+    return by.select("run_id", state.alias("state"), "finished", "running")
 
 
 def upsert(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
@@ -98,10 +85,7 @@ def view(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def run_to_table(updates: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update", timeouts: bool = False) -> StreamingQuery:
-    """Run a view over all files that are there now, then stop (start it again for what came since).
-
-    A view with ``timeouts`` would never be done with them, so it gets one batch instead of one for each share of files.
-    """
+def run_to_table(updates: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Run a view over all files that are there now, then stop (start it again for what came since)."""
     writer = updates.writeStream.outputMode(mode).foreachBatch(upsert(path, keys)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(once=True) if timeouts else writer.trigger(availableNow=True)).start()
+    return writer.trigger(availableNow=True).start()

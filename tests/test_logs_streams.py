@@ -3,9 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from duetframe.operators import assignment, attempts
-from duetframe.schemas import SCHEMAS
 from duetframe.sources import logs, sinks
 from duetframe.streaming import live
 
@@ -28,6 +28,26 @@ def test_scans(spark, tmp_path):
     assert (run["run_id"], run["files"], run["complete"], run["failed"], run["running"]) == ("r", ["status.jsonl"], 2, 0, 1)
 
 
+def test_the_later_row_of_a_log_of_several_files_counts(spark, tmp_path):
+    """The second file is the larger one, which scans read first."""
+    row = lambda status, pad="": json.dumps({"run_id": "r", "dyad_id": "a", "attempt": 1, "status": status, "ts": "t", "reason": pad}) + "\n"
+    (tmp_path / "part-0.json").write_text(row("complete"))
+    (tmp_path / "part-1.json").write_text("".join(row("started", "x" * 500) for _ in range(200)) + row("failed"))
+    log = logs.read_log(spark, str(tmp_path), "status")
+    assert attempts.latest_status(log).first()["status"] == "failed"
+    assert attempts.latest_status(logs.read_log(spark, str(tmp_path), "status", strict=False)).first()["status"] == "failed"
+    live.run_to_table(live.resume_index(live.tail(spark, str(tmp_path), "status")), f"{tmp_path}/out", ["run_id", "dyad_id"], f"{tmp_path}/check").awaitTermination()
+    assert live.view(spark, f"{tmp_path}/out", ["run_id", "dyad_id"]).first()["status"] == "failed"
+
+
+def test_liveness(spark):
+    at = lambda run, dyad, minute, ended: (run, dyad, 1, ended, f"2026-01-01 00:{minute:02d}:00")
+    rows = [at("busy", "a", 30, False), at("busy", "b", 2, True), at("silent", "a", 2, False), at("done", "a", 1, True), at("done", "b", 2, True), at("more", "a", 30, True)]
+    states = spark.createDataFrame(rows, "run_id string, dyad_id string, attempt int, ended boolean, last_at string").withColumn("last_at", F.col("last_at").cast("timestamp"))
+    got = {r["run_id"]: tuple(r)[1:] for r in live.liveness(states, 2, F.lit("2026-01-01 00:40:00").cast("timestamp")).collect()}
+    assert got == {"busy": ("running", 1, 1), "silent": ("stalled", 0, 1), "done": ("finished", 2, 0), "more": ("pending", 1, 0)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, x int")
     for _ in range(2):
@@ -61,7 +81,7 @@ def test_streams_equal_their_batch_twins_after_a_restart(spark, tmp_path, twin):
     (source / "2.json").write_text("".join(json.dumps(r) + "\n" for r in rows[5:]) + '{"half')
     got = run()
     assert got == run()
-    batch = view(spark.read.schema(SCHEMAS[kind]).json([str(source / f"{i}.json") for i in range(3)]).where("run_id is not null"))
+    batch = view(logs.read_log(spark, str(source), kind, strict=False))
     assert got == sorted(map(tuple, batch.select(*keys, "*").collect()))
 
 

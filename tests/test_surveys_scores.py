@@ -1,7 +1,8 @@
-"""Hand-worked cases of survey shifts, score curves, flags and agreement."""
+"""Survey shifts, score curves and levels of a generated run against plain Python; cases of flags and agreement."""
 
-import math
-import statistics
+import random
+from collections import defaultdict
+from statistics import correlation, fmean, stdev
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,76 +11,123 @@ from duetframe.operators import attempts, scores, summaries, surveys
 from duetframe.plans import composites
 
 J1, J2 = "aaaa" + "1" * 60, "bbbb" + "2" * 60
+#: item: battery, lowest and highest answer; the last has no range.
+ITEMS = {"tax": ("policy", 1, 7), "border": ("policy", 1, 7), "warmth": ("feeling", 0, 100), "fixed": ("feeling", 2, 2)}
+CLIMATES = ["dry", "mild", "wet", None]
+
+
+class Run:
+    """A run of thirty dialogues: some tried twice, some failed, some answers missing, some given again later."""
+
+    def __init__(self, seed=11):
+        rng = random.Random(seed)
+        self.dyads, self.status, self.answers, self.scores = [], [], [], []
+        for d in range(30):
+            name, tries = f"d{d:02d}", rng.choice([1, 1, 1, 2])
+            for a in range(1, tries + 1):
+                self.dyads.append((name, a, rng.choice(CLIMATES)))
+                self.status.append((name, a, "started"))
+                self.status.append((name, a, "failed" if a < tries or rng.random() < 0.2 else "complete"))
+                for item, (_, lo, hi) in ITEMS.items():
+                    for phase in ("pre", "post"):
+                        for origin in ("run", None, "readministered")[: rng.choice([1, 1, 2, 3])]:
+                            self.answers.append((name, a, phase, item, rng.choice([None, *range(lo, hi + 1)]) if rng.random() < 0.3 else rng.randint(lo, hi), origin))
+                for turn in (2, 5):
+                    for judge in (J1, J2):
+                        for _ in range(rng.choice([1, 1, 2])):
+                            self.scores.append((name, a, turn, judge, rng.choice([None, round(rng.random(), 3), round(rng.random(), 3)]), rng.choice([None, None, None, "no reply"])))
+
+    def counted(self):
+        """(dialogue, attempt) to level, of the latest attempts that are complete."""
+        last = {(d, a): s for d, a, s in self.status}
+        top = {d: max(a for x, a in last if x == d) for d, _ in last}
+        return {(d, a): c or "(none)" for d, a, c in self.dyads if a == top[d] and last[d, a] == "complete"}
+
+    def pairs(self, origin="run"):
+        """(dialogue, item) to (before, after), both answered, of the attempts that count; later rows replace earlier ones."""
+        counted, seen = self.counted(), {}
+        for d, a, phase, item, v, o in self.answers:
+            if (d, a) in counted and (o or "run") == origin:
+                seen[d, a, item, phase] = v
+        got = {(d, a, i): (v, seen.get((d, a, i, "post"))) for (d, a, i, phase), v in seen.items() if phase == "pre"}
+        return {k: v for k, v in got.items() if None not in v}
+
+
+def spread(values):
+    return stdev(values) / len(values) ** 0.5 if len(values) > 1 else None
 
 
 @pytest.fixture(scope="session")
-def hand(spark):
-    """A (left) was tried twice; B (left), C (right), E (no level) are complete; D never finished."""
-    dyads = [("A", 1, "left"), ("A", 2, "left"), ("B", 1, "left"), ("C", 1, "right"), ("D", 1, "left"), ("E", 1, None)]
-    dyads = spark.createDataFrame([("r", d, a, {"ideology": v}, i) for i, (d, a, v) in enumerate(dyads)], "run_id string, dyad_id string, attempt int, condition map<string,string>, pos long")
-    status = [("A", 1, "started"), ("A", 1, "failed"), ("B", 1, "started"), ("C", 1, "started"), ("D", 1, "started"), ("E", 1, "started"), ("A", 2, "started"), ("B", 1, "complete"), ("C", 1, "complete"), ("D", 1, "failed"), ("E", 1, "complete"), ("A", 2, "complete")]
-    status = spark.createDataFrame([("r", *s, i) for i, s in enumerate(status)], "run_id string, dyad_id string, attempt int, status string, pos long")
-    scale = {"i1": ("b5", 1, 5), "i2": ("b5", 1, 5), "t1": ("therm", 0, 10), "z1": ("b5", 3, 3)}
-    pairs = [("A", 1, {"i1": (1, 5), "i2": (1, 5), "t1": (0, 10)}), ("A", 2, {"i1": (2, 4), "i2": (3, 3), "t1": (5, 8), "z1": (1, 1)}), ("B", 1, {"i1": (4, 5), "i2": (None, 5), "t1": (6, 4)})]
-    rows = [(d, a, p, i, v, "run") for d, a, items in pairs for i, (x, y) in items.items() for p, v in (("pre", x), ("post", y))]
-    rows.append(("B", 1, "post", "i1", 3, "run"))
-    for d, items in (("C", {"i1": (1, 1), "i2": (2, 5), "t1": (10, 0)}), ("D", {"i1": (1, 5)}), ("E", {"i1": (3, 4), "i2": (3, 3), "t1": (5, 5)})):
-        rows += [(d, 1, p, i, v, None if (d, p, i) == ("C", "pre", "i1") else "run") for i, (x, y) in items.items() for p, v in (("pre", x), ("post", y))]
-    rows.append(("A", 2, "post", "i1", 1, "readministered"))
-    asked = spark.createDataFrame([("r", d, a, p, i, *scale[i], v, o, n) for n, (d, a, p, i, v, o) in enumerate(rows)], "run_id string, dyad_id string, attempt int, phase string, item_id string, battery string, lo int, hi int, answer int, origin string, pos long")
-    return dyads, status, asked
-
-
-def test_shifts_by_item(hand):
-    got = {(r["level"], r["item_id"]): r for r in surveys.shift_by_item(*hand, "ideology").collect()}
-    left = got["left", "i1"]
-    assert (left["n"], left["mean_pre"], left["mean_post"], left["mean_delta"]) == (2, 3.0, 3.5, 0.5) and left["se_delta"] == pytest.approx(1.5)
-    assert tuple(got["left", "i2"])[2:] == (1, 3.0, 3.0, 0.0, None)
-    assert got["left", "t1"]["se_delta"] == pytest.approx(2.5)
-    assert tuple(got["right", "z1"])[2:] == (0, None, None, None, None)
-    assert len(got) == 3 * 4
-
-
-def test_shifts_by_battery(hand):
-    got = {(r["level"], r["battery"]): tuple(r)[2:] for r in surveys.shift_by_battery(*hand, "ideology").collect()}
-    assert got["left", "b5"] == pytest.approx((2, 0.0, 0.25)) and got["left", "therm"] == pytest.approx((2, 0.05, 0.25))
-    assert got["right", "b5"] == (1, 0.375, None) and got["right", "therm"] == (1, -1.0, None)
-    assert got["(none)", "b5"] == (1, 0.125, None) and got["(none)", "therm"] == (1, 0.0, None)
-
-
-def test_levels_and_counts(hand):
-    dyads, status, asked = hand
-    assert {r["level"]: r["n_dyads"] for r in surveys.n_dyads(dyads, status, "ideology").collect()} == {"left": 2, "right": 1, "(none)": 1}
-    assert [tuple(r) for r in attempts.status_counts(status).collect()] == [("r", 3 + 1, 1, 0)]
-    every = {r["item_id"]: r for r in surveys.shift_by_item(dyads, status, asked).collect()}
-    assert every["i1"]["n"] == 4 and every["i1"]["mean_delta"] == pytest.approx(0.5) and every["i1"]["se_delta"] == pytest.approx(statistics.stdev([2, -1, 0, 1]) / 2)
-    again = {r["item_id"]: r["n"] for r in surveys.shift_by_item(dyads, status, asked, None, "readministered").collect()}
-    assert again == {"i1": 0}
-    firsts = dyads.sparkSession.createDataFrame([("left", 1), ("right", 2), ("(none)", 0)], "level string, first long")
-    order = lambda given: [r["level"] for r in summaries.ordered_levels(firsts, given).orderBy("place").collect()]
-    assert order(["right", "left"]) == ["right", "left", "(none)"] and order([None, "left"]) == ["left", "right", "(none)"] and order(None) == ["(none)", "left", "right"]
-
-
-@pytest.fixture(scope="session")
-def scored(spark):
-    rows = [("A", 1, 1, J1, 0.0, None), ("A", 2, 1, J1, 0.2, None), ("A", 2, 2, J1, 1.0, None), ("B", 1, 1, J1, 0.6, None), ("B", 1, 2, J1, None, None), ("B", 1, 2, J1, None, "judge down"), ("C", 1, 1, J1, 0.9, None), ("E", 1, 1, J1, 0.5, None), ("D", 1, 1, J1, 0.1, None), ("A", 2, 1, J2, 0.3, None), ("B", 1, 1, J2, 0.4, None)]
-    rows = [("r", d, a, t, "mentor", "alignment", j, s, e, i) for i, (d, a, t, j, s, e) in enumerate(rows)] + [("r", "A", 2, 1, "seeker", "prompt_to_line", J1, 0.7, None, 99)]
-    return spark.createDataFrame(rows, "run_id string, dyad_id string, attempt int, turn int, agent string, metric string, judge_sha256 string, score double, error string, pos long")
-
-
-def test_score_curves(hand, scored):
-    dyads, status, asked = hand
-    got = {(r["level"], r["turn"]): tuple(r)[2:] for r in scores.score_curves(dyads, status, scored, "ideology", judge="aaaa").collect()}
-    assert got["left", 1] == pytest.approx((2, 0.4, 0.2)) and got["left", 2] == (1, 1.0, None) and got["right", 1] == (1, 0.9, None) and got["(none)", 1] == (1, 0.5, None) and len(got) == 4
-    two = scores.score_curves(dyads, status, scored, judge="bbbb").collect()
-    assert len(two) == 1 and two[0]["mean"] == pytest.approx(0.35) and two[0]["se"] == pytest.approx(statistics.stdev([0.3, 0.4]) / math.sqrt(2))
-    assert scores.score_curves(dyads, status, scored, metric="prompt_to_line").collect()[0]["mean"] == 0.7
+def run(spark):
+    r = Run()
+    dyads = spark.createDataFrame([("r", d, a, {"climate": c} if c else {"other": "x"}, i) for i, (d, a, c) in enumerate(r.dyads)], "run_id string, dyad_id string, attempt int, condition map<string,string>, pos long")
+    status = spark.createDataFrame([("r", *s, i) for i, s in enumerate(r.status)], "run_id string, dyad_id string, attempt int, status string, pos long")
+    asked = spark.createDataFrame([("r", d, a, p, i, *ITEMS[i], v, o, n) for n, (d, a, p, i, v, o) in enumerate(r.answers)], "run_id string, dyad_id string, attempt int, phase string, item_id string, battery string, lo int, hi int, answer int, origin string, pos long")
+    scored = spark.createDataFrame([("r", d, a, t, "mentor", "alignment", j, v, e, i) for i, (d, a, t, j, v, e) in enumerate(r.scores)], "run_id string, dyad_id string, attempt int, turn int, agent string, metric string, judge_sha256 string, score double, error string, pos long")
+    return r, dyads, status, asked, scored
+
+
+def test_shifts_by_item(run):
+    r, dyads, status, asked, _ = run
+    for origin in ("run", "readministered"):
+        by = defaultdict(list)
+        for (d, a, item), (x, y) in r.pairs(origin).items():
+            by[r.counted()[d, a], item].append((x, y, y - x))
+        got = {(x["level"], x["item_id"]): tuple(x)[2:] for x in surveys.shift_by_item(dyads, status, asked, "climate", origin).collect()}
+        assert set(got) == {(level, item) for level in set(r.counted().values()) for item in ITEMS}
+        for key, figures in got.items():
+            x, y, d = zip(*by[key], strict=True) if by[key] else ((), (), ())
+            want = (len(d), *(fmean(v) if v else None for v in (x, y, d)), spread(d))
+            assert figures == pytest.approx(want), key
+
+
+def test_shifts_by_battery(run):
+    r, dyads, status, asked, _ = run
+    own, by = defaultdict(list), defaultdict(list)
+    for (d, a, item), (x, y) in r.pairs().items():
+        battery, lo, hi = ITEMS[item]
+        if hi > lo:
+            own[d, a, battery].append((y - x) / (hi - lo))
+    for (d, a, battery), shares in own.items():
+        by[r.counted()[d, a], battery].append(fmean(shares))
+    got = {(x["level"], x["battery"]): tuple(x)[2:] for x in surveys.shift_by_battery(dyads, status, asked, "climate").collect()}
+    assert set(got) == {(level, b) for level in set(r.counted().values()) for b in ("policy", "feeling")}
+    for key, figures in got.items():
+        assert figures == pytest.approx((len(by[key]), fmean(by[key]) if by[key] else None, spread(by[key]))), key
+
+
+def test_levels_and_counts(run):
+    r, dyads, status, asked, _ = run
+    counted = r.counted()
+    assert {x["level"]: x["n_dyads"] for x in surveys.n_dyads(dyads, status, "climate").collect()} == {level: list(counted.values()).count(level) for level in set(counted.values())}
+    (counts,) = attempts.status_counts(status).collect()
+    assert tuple(counts) == ("r", len(counted), 30 - len(counted), 0)
+    whole = {x["item_id"]: x["n"] for x in surveys.shift_by_item(dyads, status, asked).collect()}
+    assert whole == {item: sum(i == item for _, _, i in r.pairs()) for item in ITEMS}
+    firsts = dyads.sparkSession.createDataFrame([("mild", 1), ("dry", 2), ("(none)", 0)], "level string, first long")
+    order = lambda given: [x["level"] for x in summaries.ordered_levels(firsts, given).orderBy("place").collect()]
+    assert order(["dry", "mild"]) == ["dry", "mild", "(none)"] and order([None, "mild"]) == ["mild", "dry", "(none)"] and order(None) == ["(none)", "mild", "dry"]
+
+
+def test_score_curves(run):
+    r, dyads, status, asked, scored = run
+    for judge in (J1, J2):
+        last, by = {}, defaultdict(list)
+        for d, a, turn, j, v, error in r.scores:
+            if j == judge and (d, a) in r.counted() and not error and v is not None:
+                last[d, a, turn] = v
+        for (d, a, turn), v in last.items():
+            by[r.counted()[d, a], turn].append(v)
+        got = {(x["level"], x["turn"]): tuple(x)[2:] for x in scores.score_curves(dyads, status, scored, "climate", judge=judge[:4]).collect()}
+        assert set(got) == set(by)
+        for key, figures in got.items():
+            assert figures == pytest.approx((len(by[key]), fmean(by[key]), spread(by[key])))
     for prefix in (None, "zz", ""):
         with pytest.raises(ValueError, match="judges"):
             scores.score_curves(dyads, status, scored, judge=prefix)
     with pytest.raises(ValueError):
         composites.analyze_run(dyads, status, asked, scored, "no such factor", judge="aaaa")
-    assert set(composites.analyze_run(dyads, status, asked, scored, "ideology", judge="aaaa")) >= {"levels", "by_item", "curves"}
+    assert set(composites.analyze_run(dyads, status, asked, scored, "climate", judge="aaaa")) >= {"levels", "by_item", "curves"}
 
 
 def table(spark, rows):
@@ -105,7 +153,7 @@ def test_agreement(spark):
     rows = [("a", t, "mentor", "alignment", J1, s) for t, s in ((1, 0.1), (2, 0.5), (3, None), (4, 0.9))] + [("a", t, "mentor", "alignment", J2, s) for t, s in ((1, 0.2), (2, 0.4), (3, 0.3), (4, 0.6))]
     (r,) = scores.agreement(table(spark, rows)).collect()
     assert (r["judge_a"], r["judge_b"], r["n"]) == (J1, J2, 3) and r["mean_abs_diff"] == pytest.approx(0.5 / 3) and r["within"] == pytest.approx(2 / 3)
-    assert r["pearson_r"] == pytest.approx(statistics.correlation([0.1, 0.5, 0.9], [0.2, 0.4, 0.6]))
+    assert r["pearson_r"] == pytest.approx(correlation([0.1, 0.5, 0.9], [0.2, 0.4, 0.6]))
     flat = [("a", t, "mentor", "alignment", j, 0.5) for t in (1, 2) for j in (J1, J2)]
     assert scores.agreement(table(spark, flat)).collect()[0]["pearson_r"] is None
     assert scores.agreement(table(spark, rows[:4])).count() == 0
