@@ -1,14 +1,15 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The test windows become a hash set that travels with the plan as a literal while it has at most ``LITERAL_WINDOWS``
-entries; larger sets are joined, broadcast up to ``BROADCAST_WINDOWS`` and shuffled beyond. Each document is scanned
-once: word hashes are combined pairwise into hashes of 2, 4, 8 and 10 words, so a window costs a handful of hash steps
-whatever its length, and no text is shuffled. Windows whose hash is in the set are verified against the test words
-themselves before they count.
-
-Edge cases: null and empty texts have no words and are clean; items without words or without an id take no part; items of
-fewer words than a window are one window; repeated items and windows count once; rows that repeat an id are judged one
-by one; other columns are not looked at.
+The hashes of all test windows become one set of bits (each sets two) that travels with the plan as a literal of
+at most ``SET_BYTES``. Each document is scanned once: word hashes are combined pairwise into hashes of 2, 4, 8 and 10 words,
+so a window costs a handful of hash steps whatever its length, and windows that are not in the set are dropped inside the
+row: no text is shuffled. What is left is verified against the test words themselves in a join before it counts. The plan is
+the same for any number of test windows; a set that is too small for them lets more windows through to the join, which
+broadcasts the test windows only if their bytes, summed beforehand, are within ``BROADCAST_BYTES``.
+
+Edge cases: null and empty texts have no words and are clean; items without words take no part; the windows of an item
+without an id count as hits, only the item cannot be listed; items of fewer words than a window are one window; repeated
+items and windows count once; rows that repeat an id are judged one by one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import ascii_lower, materialize
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The same before lower-casing, for cutting spans out of the original text.
 WORD_AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LITERAL_WINDOWS = 50_000
-BROADCAST_WINDOWS = 2_000_000
+#: Bits of the set for each test window, and the bytes that it may take at most.
+BITS_EACH = 512
+SET_BYTES = 4 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -54,58 +57,73 @@ def _hash_columns(df: DataFrame, lengths: list[int]) -> tuple[DataFrame, dict[in
     return df, names
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(n, h, win, items): each distinct window of the test items with its length, hash and the ids that hold it."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), item_words(F.col(text_col)).alias("words")).where("item is not null and size(words) > 0")
+def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(n, win, h): each distinct window of the test items with its length and hash; and (n, win, item): who holds it."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), item_words(F.col(text_col)).alias("words")).where("size(words) > 0")
     n = F.least(F.size("words"), F.lit(window))
     wins = items.withColumn("n", n).select("item", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at"))
-    wins = wins.select("item", "n", F.slice("words", F.col("at"), F.col("n")).alias("words")).groupBy("n", "words").agg(F.collect_set("item").alias("items"))
-    wins = materialize(wins, "benchmark-windows")
-    lengths = [r["n"] for r in wins.select("n").distinct().collect()]  # 1 to window
-    hashed, names = _hash_columns(wins, sorted(lengths))
+    holds = materialize(wins.select("item", "n", F.slice("words", F.col("at"), F.col("n")).alias("words")).distinct(), "benchmark-windows")
+    lengths = sorted(r["n"] for r in holds.select("n").distinct().collect())  # 1 to window
+    hashed, names = _hash_columns(holds.select("n", "words").distinct(), lengths)
     h = F.coalesce(*[F.when(F.col("n") == n, F.element_at(F.col(name), 1)) for n, name in names.items()], F.lit(0).cast("long"))
-    return hashed.select("n", h.alias("h"), F.array_join("words", " ").alias("win"), "items")
+    win = F.array_join("words", " ").alias("win")
+    return hashed.select("n", win, h.alias("h")), holds.where("item is not null").select("n", win, "item")
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n_words, hits), a row for each row of ``docs``: the verified windows with their items.
+def _spots(h: Column, size: int) -> list[tuple[Column, Column]]:
+    """The (element, bit) of the two bits that a hash has in a set of ``size`` elements, a power of two."""
+    halves = [h, F.shiftrightunsigned(h, 32)]
+    return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
 
-    ``hits`` is an array of (at, n, items): the first word (from 0), the number of words, the ids of the test items.
+
+def _bit_set(hashes: DataFrame, size: int) -> Column:
+    """array<long> of ``size`` elements in which the bits of each hash ``h`` are set."""
+    spots = F.array(*[F.struct(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for at, bit in _spots(F.col("h"), size)])
+    found = hashes.select(F.explode(spots).alias("x")).groupBy("x.at").agg(F.bit_or("x.bit").alias("bits"))
+    found = {r["at"]: r["bits"] for r in found.toLocalIterator()}  # size rows at most
+    return F.from_json(F.lit("[" + ",".join(str(found.get(i, 0)) for i in range(size)) + "]"), "array<bigint>")
+
+
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, n_words, hits), a row for each row of ``docs``, and (uid, item), the test items found in it, each once.
+
+    ``hits`` is an array of (at, n), the verified windows: the first word (from 0) and the number of words.
     """
-    wins = materialize(benchmark_windows(benchmark, window, item_col, item_text_col), "benchmark-hashes")
+    wins, holds = benchmark_windows(benchmark, window, item_col, item_text_col)
+    wins = materialize(wins, "benchmark-hashes")
+    total = wins.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("win") + 48), F.lit(0)).alias("bytes")).first()
     lengths = [r["n"] for r in wins.select("n").distinct().orderBy("n").collect()]
-    n_windows = wins.count()
+    size = min(1 << (total["n"] * BITS_EACH // 64).bit_length(), SET_BYTES // 8)
+    known = _bit_set(wins, size)
     words = docs.select(F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("words"))
     hashed, names = _hash_columns(words, lengths)
 
     def starts(n: int, name: str) -> Column:
-        """array<struct<at, n, h>> of the windows of ``n`` words to verify."""
-        if n_windows > LITERAL_WINDOWS:
-            return F.transform(F.col(name), lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("h")))
-        known = [r["h"] for r in wins.where(F.col("n") == n).select("h").distinct().collect()]
-        found = F.transform(F.col(name), lambda h, i: F.when(h.isin(known), F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("h"))))
+        """array<struct<at, n>> of the windows of ``n`` words to verify."""
+        def is_set(spot: tuple[Column, Column]) -> Column:
+            return F.getbit(F.get(known, spot[0]), spot[1]) == 1
+
+        def one(h: Column, i: Column) -> Column:
+            first, second = _spots(h, size)
+            return F.when(is_set(first) & is_set(second), F.struct(i.alias("at"), F.lit(n).alias("n")))
+
+        found = F.transform(F.col(name), one)
         return F.filter(found, lambda x: x.isNotNull())
 
-    empty = F.array().cast("array<struct<at:int,n:int,h:bigint>>")
-    hits = F.concat(empty, *[starts(n, name) for n, name in names.items()])
-    if n_windows > LITERAL_WINDOWS:  # a set too large for a literal: the join decides before any text is cut out
-        rows = hashed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "words", hits.alias("hits"))
-        rows = materialize(rows, "decontam-windows")
-        seen = wins.select("n", "h").distinct()
-        seen = F.broadcast(seen) if n_windows <= BROADCAST_WINDOWS else seen
-        found = rows.select("uid", F.explode("hits").alias("x")).select("uid", "x.*").join(seen, ["n", "h"], "left_semi")
-        found = found.groupBy("uid").agg(F.collect_list(F.struct("at", "n", "h")).alias("hits"))
-        hashed = rows.drop("hits").join(found, "uid", "left").withColumn("hits", F.coalesce("hits", empty))
-    else:
-        hashed = hashed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "words", hits.alias("hits"))
+    hits = F.concat(F.array().cast("array<struct<at:int,n:int>>"), *[starts(n, name) for n, name in names.items()])
     cut = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("words", x["at"] + 1, x["n"]), " ").alias("win")))
+    hashed = hashed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "words", hits.alias("hits"))
     rows = materialize(hashed.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), cut.alias("hits")), "decontam-hits")
-    known = wins.select("n", "win", "items")
-    known = F.broadcast(known) if n_windows <= BROADCAST_WINDOWS else known
-    verified = rows.select("uid", F.explode("hits").alias("x")).select("uid", "x.*").join(known, ["n", "win"])
-    verified = verified.groupBy("uid").agg(F.collect_list(F.struct("at", "n", "items")).alias("hits"))
-    none = F.array().cast("array<struct<at:int,n:int,items:array<string>>>")
-    return rows.drop("hits").join(verified, "uid", "left").select("uid", "doc_id", "n_words", F.coalesce("hits", none).alias("hits"))
+    found = rows.select("uid", F.explode("hits").alias("x")).select("uid", "x.*")
+    verified = materialize(found.join(_bounded(wins.select("n", "win"), total["bytes"]), ["n", "win"]), "decontam-verified")
+    spots = verified.groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
+    items = verified.select("uid", "n", "win").distinct().join(holds, ["n", "win"]).select("uid", "item").distinct()
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    return rows.drop("hits").join(spots, "uid", "left").select("uid", "doc_id", "n_words", F.coalesce("hits", none).alias("hits")), items
 
 
 def covered(hits: Column) -> Column:
@@ -121,9 +139,10 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_hit, items): words inside test windows, and the test items found, sorted as strings."""
-    found = window_hits(docs, benchmark, **options)
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    return found.select("doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), items.alias("items"))
+    found, items = window_hits(docs, benchmark, **options)
+    items = items.groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = found.join(items, "uid", "left")
+    return out.select("doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _cut_words(text: Column, hits: Column) -> Column:
@@ -145,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
     keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    found = window_hits(keyed, benchmark, **options).where(F.size("hits") > 0).select("doc_id.id", "doc_id.th", "hits").dropDuplicates(["id", "th"])
+    found = window_hits(keyed, benchmark, **options)[0].where(F.size("hits") > 0).select("doc_id.id", "doc_id.th", "hits").dropDuplicates(["id", "th"])
     same = rows["id"].eqNullSafe(found["id"]) & (rows["th"] == found["th"])
     if remove == "documents":
         return rows.join(found, same, "left_anti").select("row.*")
