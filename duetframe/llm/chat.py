@@ -26,17 +26,24 @@ TYPES = {"string": "STRING", "integer": r"BIGINT|DECIMAL\([0-9]+,0\)", "number":
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of calls (call_id, after): 0 without a dependency, else one more than that call's; null in cycles.
 
-    Every call points at an ancestor and knows the distance; each round replaces the pointer by the ancestor's own. After
-    as many rounds as double past the number of calls, whoever still points anywhere hangs on a cycle.
+    Every open call points at an ancestor and knows the distance; each round replaces the pointer by the ancestor's own. A
+    call without a pointer is done and is not written again. Round r ends the calls of 2^(r-1) to 2^r - 1 levels, and levels
+    have no gaps, so after a round that ends none the rest hangs on cycles.
     """
     ids = calls.select(F.col("call_id").alias("at"))
-    state = materialize(calls.join(ids, calls["after"] == ids["at"], "left").select("call_id", "at", F.when(F.col("at").isNull(), 0).otherwise(1).alias("steps")), "call-levels")
-    total, reach = state.count(), 1
-    while reach <= total and not state.where("at is not null").isEmpty():
-        up = state.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        state = materialize(state.join(up, "at", "left").select("call_id", F.col("next").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "call-levels")
-        reach *= 2
-    return state.select("call_id", F.when(F.col("at").isNull(), F.col("steps")).cast("long").alias("level"))
+    start = calls.join(ids.hint("shuffle_hash"), calls["after"] == ids["at"], "left").select("call_id", "at", F.when(F.col("at").isNull(), 0).otherwise(1).alias("steps"))
+    start = materialize(start, "call-levels")
+    done, open_ = start.where("at is null"), start.where("at is not null")
+    left = open_.count()
+    while left:
+        up = done.unionByName(open_).select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        moved = open_.join(up.hint("shuffle_hash"), "at").select("call_id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"))
+        moved = materialize(moved, "call-levels")
+        done, open_ = done.unionByName(moved.where("at is null")), moved.where("at is not null")
+        before, left = left, open_.count()
+        if left == before:
+            break
+    return done.select("call_id", F.col("steps").cast("long").alias("level")).unionByName(open_.select("call_id", F.lit(None).cast("long").alias("level")))
 
 
 def _valid(types: Column, parameters: Column) -> Column:
@@ -62,7 +69,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     once = materialize(once, "calls")
     answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r")).select("call_id", F.col("r.content").alias("result"), F.lit(True).alias("answered"))
     tools = schemas.groupBy("name").agg(F.collect_set(F.struct("param", "type", "required")).alias("parameters"))
-    linked = once.join(levels(once), "call_id").join(answers, "call_id", "left")
+    linked = once.join(levels(once).hint("shuffle_hash"), "call_id").join(answers.hint("shuffle_hash"), "call_id", "left")
     linked = linked.unionByName(given.where("call_id is null"), allowMissingColumns=True).join(tools, "name", "left")
     parsed = linked.withColumn("json", F.try_parse_json("arguments"))
     types = F.transform_values(F.try_variant_get("json", "$", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
