@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -36,14 +36,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out third, the first in hash order.
+    """(place, text, label) of at most ``bound`` labelled documents outside the held-out third, the first in hash order.
 
-    The chosen ids are at most ``bound`` rows, which is what makes them fit to broadcast.
+    ``place`` is the hash that orders them. The chosen ids are at most ``bound`` rows, which is what makes them fit to
+    broadcast. Of several texts or labels of an id the smallest hash and the smallest label count, so that reruns agree.
     """
-    ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(materialize(ids, "labelled-ids")), "doc_id").dropDuplicates(["doc_id"])
+    ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    ids = ids.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(bound)
+    ids = materialize(ids.select("id", "label", F.xxhash64("id").alias("place")), "labelled-ids")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
+    return texts.groupBy("id", "place", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("place", "t.text", "label")
+
+
+#: Folds of a model's training rows, by their order; job ``FOLDS`` learns from all of them.
+FOLDS = 3
+
+
+def fit_jobs(rows: DataFrame, fit, schema: str) -> dict[int, Row]:
+    """One task for each fold, which learns from the others, and one for the final model, side by side; the result of each by number.
+
+    ``fit`` takes (job, its rows) as ``applyInPandas`` gives them; the bound of the sample bounds each task's input.
+    """
+    each = rows.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    return {r["job"]: r for r in each.groupBy("job").applyInPandas(lambda key, pdf: fit(int(key[0]), pdf.sort_values("place", kind="stable")), schema).collect()}
 
 
 SPAN = "struct<start:int,end:int,text:string>"

@@ -5,8 +5,12 @@ those of its two neighbours; the chain adds transitions. Scoring runs the exact
 of a text and takes the mean of the marginals, weighted by line length; a Platt line fitted on the training documents turns
 that mean into the score. Scoring is a map over documents in Arrow batches, without any shuffle.
 
-The chain learns from a bounded sample of labelled documents (``SAMPLE``), whose lines take their document's label; the
-features are made where the documents are, the fit runs in one task whose input the bound limits.
+The chain learns from a bounded sample of labelled documents (``SAMPLE``, and ``LINES`` of each). Only documents have labels,
+so those of lines are latent. A classifier of single lines first learns how likely a line by itself is to stand in a good
+document; its log odds, moved a little towards the document's label, are evidence about each line. The chain's likelihood is
+maximised over all label sequences under that evidence (forward-backward with and without it), so a bad document may have
+good lines, and the transitions see changes of state. Three folds, which calibrate the score on documents left out, and the
+final chain are fitted side by side, each in a task whose input the bounds limit.
 
 Edge cases: a null or empty text is one empty line and has a score; a text of empty lines weighs them alike; without labels
 of both kinds every score is the share of label 1 (0.5 without labels); repeated rows are scored one by one; other columns
@@ -25,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import FOLDS, fit_jobs, labelled_sample
 
 #: Labelled documents to learn from, at most.
-SAMPLE = 2_000
-#: Lines of a chain in training; longer texts are several chains there, never in scoring.
-CHAIN = 64
+SAMPLE = 1_500
+#: Lines of a chain in training, and of a document there at most (chains evenly spread over it); scoring takes all lines in one.
+CHAIN, LINES = 32, 512
+#: Log odds by which a document's label moves the evidence about each of its lines.
+DOCUMENT = 0.5
 
 _B = np.arange(256)
 _CLASSES = [np.isin(_B, list(chars)) for chars in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!?", b".,;:", b"(){}[]=_/\\@")] + [_B >= 128]
@@ -110,8 +116,7 @@ class Chain:
 
     def mean_good(self, text: bytes) -> float:
         x, length = line_features(text)
-        weight = length if length.any() else np.ones(len(length))
-        return float(self.marginals(x) @ weight / weight.sum())
+        return _mean(self.marginals(x), length)
 
     def score(self, text: bytes) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(self.mean_good(text)) + self.offset))))
@@ -122,42 +127,56 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fit_chain(x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, *, steps: int = 150, rate: float = 0.1, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Adam on the conditional likelihood of chains padded to one length; x is (chains, lines, features), y the chains' labels."""
-    n, t, _ = x.shape
+def _expectations(bad: np.ndarray, good: np.ndarray, tr: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals of "good" (chains, lines), and weighted sums of the pair marginals, by forward-backward."""
+    n, t = mask.shape
+    ahead = np.zeros((t, n, 2))
+    ahead[0] = np.stack([bad[:, 0], good[:, 0]], 1)
+    for i in range(1, t):
+        before = ahead[i - 1]
+        new = np.stack([np.logaddexp(before[:, 0] + tr[0, s], before[:, 1] + tr[1, s]) for s in (0, 1)], 1)
+        new[:, 0] += bad[:, i]
+        new[:, 1] += good[:, i]
+        ahead[i] = np.where(mask[:, i, None], new, before)
+    total = np.logaddexp(ahead[-1, :, 0], ahead[-1, :, 1])
+    back, marginal, pair = np.zeros((n, 2)), np.zeros((n, t)), np.zeros((2, 2))
+    for i in range(t - 1, -1, -1):
+        marginal[:, i] = np.exp(np.minimum(ahead[i, :, 1] + back[:, 1] - total, 0)) * mask[:, i]
+        if i:
+            here = np.stack([back[:, 0] + bad[:, i], back[:, 1] + good[:, i]], 1)
+            on = mask[:, i]
+            joint = np.exp(np.minimum(ahead[i - 1, :, :, None] + tr + here[:, None, :] - total[:, None, None], 0))
+            pair += np.einsum("n,nab->ab", weight * on, joint)
+            back = np.where(on[:, None], np.logaddexp(tr[None, :, 0] + here[:, 0, None], tr[None, :, 1] + here[:, 1, None]), back)
+    return marginal, pair
+
+
+def line_odds(own: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 12, ridge: float = 1e-3) -> np.ndarray:
+    """Log odds that single lines (own features, their documents' labels and weights) stand in a good document: logistic
+    regression by Newton steps."""
+    x = np.concatenate([own, np.ones((len(own), 1))], axis=1).astype(float)
+    beta, weight = np.zeros(x.shape[1]), weight / weight.sum()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -15, 15)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (weight * (p - y)) + ridge * beta), -3, 3)
+    return np.clip(x @ beta, -6, 6)
+
+
+def fit_chain(x: np.ndarray, mask: np.ndarray, evidence: np.ndarray, weight: np.ndarray, *, steps: int = 50, rate: float = 0.2, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on the likelihood of ``evidence``, log odds for each line to be good; x is (chains, lines, features), padded."""
     params = np.zeros(WIDTH + 4)
     m, v = np.zeros_like(params), np.zeros_like(params)
-    per_line = (weight / mask.sum(1))[:, None] * mask
-    per_line /= per_line.sum()
-    truth = np.broadcast_to(y[:, None], mask.shape)
-    pairs = mask[:, 1:] * mask[:, :-1]
+    mask = mask > 0
+    weight = weight / mask.sum(1)
+    weight = weight / (weight @ mask.sum(1))
+    zero = np.zeros(mask.shape)
     for step in range(1, steps + 1):
-        e = x @ params[:WIDTH]
-        tr = params[WIDTH:].reshape(2, 2)
-        a = np.zeros((t, n, 2))
-        a[0, :, 1] = e[:, 0]
-        for i in range(1, t):
-            new = np.logaddexp(a[i - 1, :, 0, None] + tr[0], a[i - 1, :, 1, None] + tr[1])
-            new[:, 1] += e[:, i]
-            a[i] = np.where(mask[:, i, None] > 0, new, a[i - 1])
-        z = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
-        back = np.zeros((n, 2))
-        marginal, pair = np.zeros((n, t)), np.zeros(4)
-        for i in range(t - 1, -1, -1):
-            on = mask[:, i] > 0
-            marginal[:, i] = np.exp(np.minimum(a[i, :, 1] + back[:, 1] - z, 0)) * on
-            if i:
-                here = np.stack([back[:, 0], back[:, 1] + e[:, i]], 1)
-                joint = a[i - 1, :, :, None] + tr + here[:, None, :]
-                both = (pairs[:, i - 1] > 0) * per_line[:, i]
-                pair += (np.exp(np.minimum(joint - z[:, None, None], 0)) * both[:, None, None]).sum(0).ravel()
-                back = np.where(on[:, None], np.logaddexp(tr[:, 0] + here[:, 0, None], tr[:, 1] + here[:, 1, None]), back)
-        push = ((truth - marginal) * per_line)
-        grad = np.concatenate([np.einsum("nt,ntf->f", push, x), -pair])
-        same = (pairs * per_line[:, 1:])
-        grad[WIDTH + 3] += same[y == 1].sum()
-        grad[WIDTH] += same[y == 0].sum()
-        grad -= ridge * params
+        e, tr = x @ params[:WIDTH], params[WIDTH:].reshape(2, 2)
+        free, free_pair = _expectations(zero, e, tr, mask, weight)
+        told, told_pair = _expectations(zero, e + evidence, tr, mask, weight)
+        push = (told - free) * weight[:, None]
+        grad = np.concatenate([np.tensordot(push, x, ([0, 1], [0, 1])), (told_pair - free_pair).ravel()]) - ridge * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return params[:WIDTH], params[WIDTH:].reshape(2, 2)
@@ -172,56 +191,74 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 6
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Chain:
-    """A chain model from (features, lengths) of each document and the documents' labels."""
+def _mean(marginals: np.ndarray, length: np.ndarray) -> float:
+    weight = length if length.any() else np.ones(len(length))
+    return float(marginals @ weight / weight.sum())
+
+
+def _parts(x: np.ndarray) -> list[np.ndarray]:
+    """The chains that a document trains: all of it, or ``LINES`` lines evenly spread."""
+    starts = list(range(0, len(x), CHAIN))
+    if len(x) > LINES:
+        starts = [starts[i * len(starts) // (LINES // CHAIN)] for i in range(LINES // CHAIN)]
+    return [x[i:i + CHAIN] for i in starts]
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray) -> Chain:
+    """A chain model from the lines' features of each document and the documents' labels; not calibrated."""
     chains, labels, weights = [], [], []
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    for (x, _), label, w in zip(docs, y, balance, strict=True):
-        parts = [x[i:i + CHAIN] for i in range(0, len(x), CHAIN)]
+    for x, label, w in zip(docs, y, balance, strict=True):
+        parts = _parts(x)
         chains += parts
         labels += [label] * len(parts)
         weights += [w / len(parts)] * len(parts)
     t = max(map(len, chains))
-    padded, mask = np.zeros((len(chains), t, WIDTH), np.float32), np.zeros((len(chains), t))
-    for i, c in enumerate(chains):
-        padded[i, :len(c)], mask[i, :len(c)] = c, 1
-    model = Chain(*fit_chain(padded, mask, np.array(labels), np.array(weights)))
-    means = []
-    for x, length in docs:
-        weight = length if length.any() else np.ones(len(length))
-        means.append(_logit(float(model.marginals(x) @ weight / weight.sum())))
-    model.slope, model.offset = _platt(np.array(means), y, np.ones(len(y)))
-    return model
+    padded, mask, evidence = np.zeros((len(chains), t, WIDTH), np.float32), np.zeros((len(chains), t)), np.zeros((len(chains), t))
+    size = np.array(list(map(len, chains)))
+    labels, weights = np.array(labels), np.array(weights)
+    odds = line_odds(np.concatenate([c[:, :OWN] for c in chains]), np.repeat(labels, size), np.repeat(weights / size, size))
+    for i, (c, own) in enumerate(zip(chains, np.split(odds, np.cumsum(size)[:-1]), strict=True)):
+        padded[i, :len(c)], mask[i, :len(c)], evidence[i, :len(c)] = c, 1, own + DOCUMENT * (2 * labels[i] - 1)
+    return Chain(*fit_chain(padded, mask, evidence, weights))
+
+
+def _fit(job: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Job ``FOLDS``: the chain from all documents. Another: log odds of the mean marginals of that fold's, from the others' chain."""
+    y, fold = pdf["label"].to_numpy(float), np.arange(len(pdf)) % FOLDS
+    train, test = np.flatnonzero(fold != job), np.flatnonzero(fold == job)
+    out = {"job": job, "emission": None, "transition": None, "good": y.mean(), "kinds": len(set(y)), "margin": np.zeros(len(test)).tobytes(), "y": y[test].tobytes()}
+    if len(set(y[train])) == 2:
+        docs = [np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32) for x in pdf["x"]]
+        model = fit([docs[i] for i in train], y[train])
+        lengths = [np.frombuffer(n, np.int32) for n in pdf["n"]]
+        out["margin"] = np.array([_logit(_mean(model.marginals(docs[i]), lengths[i])) for i in test]).tobytes()
+        if job == FOLDS:
+            out |= {"emission": model.emission.tobytes(), "transition": model.transition.tobytes()}
+    return pd.DataFrame([out])
+
+
+def _training_lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and lengths of the lines that a document trains with; the length of a chain's lines stays with them."""
+    x, length = line_features(text)
+    return np.concatenate(_parts(x)), np.concatenate(_parts(length))
 
 
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [line_features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.float16).tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in rows], pa.binary())], ["doc_id", "label", "x", "n"])
-
-
-def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [pdf for pdf in batches if len(pdf)]
-    if not parts:
-        return
-    pdf = pd.concat(parts).sort_values("doc_id")
-    y = pdf["label"].to_numpy(float)
-    if len(set(y)) < 2:
-        yield pd.DataFrame({"emission": [None], "transition": [None], "slope": [0.0], "at": [_logit(y.mean())]})
-        return
-    docs = [(np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32), np.frombuffer(n, np.int32)) for x, n in zip(pdf["x"], pdf["n"], strict=True)]
-    model = fit(docs, y)
-    yield pd.DataFrame({"emission": [model.emission.tobytes()], "transition": [model.transition.tobytes()], "slope": [model.slope], "at": [model.offset]})
+        rows = [_training_lines(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.float16).tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in rows], pa.binary())], ["place", "label", "x", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **columns) -> Chain:
     """The chain model; one that scores every text alike if the sample lacks one of the labels."""
-    chosen = labelled_sample(docs, labels, sample, **columns).select("doc_id", "text", "label")
-    rows = chosen.mapInArrow(_sample_lines, "doc_id long, label int, x binary, n binary")
-    got = rows.repartition(1).mapInPandas(_train, "emission binary, transition binary, slope double, at double").collect()
-    if not got or got[0]["emission"] is None:
-        return Chain(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, got[0]["at"] if got else 0.0)
-    return Chain(np.frombuffer(got[0]["emission"]), np.frombuffer(got[0]["transition"]).reshape(2, 2), got[0]["slope"], got[0]["at"])
+    chosen = labelled_sample(docs, labels, sample, **columns).select("place", "text", "label")
+    rows = chosen.mapInArrow(_sample_lines, "place long, label int, x binary, n binary")
+    got = fit_jobs(rows, _fit, "job int, emission binary, transition binary, good double, kinds int, margin binary, y binary")
+    if not got or got[FOLDS]["kinds"] < 2:
+        return Chain(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, _logit(got[FOLDS]["good"]) if got else 0.0)
+    margin, y = (np.concatenate([np.frombuffer(got[k][c]) for k in range(FOLDS)]) for c in ("margin", "y"))
+    return Chain(np.frombuffer(got[FOLDS]["emission"]), np.frombuffer(got[FOLDS]["transition"]).reshape(2, 2), *_platt(margin, y, np.ones(len(y))))
 
 
 def _score(model: Chain):
@@ -235,4 +272,5 @@ def _score(model: Chain):
 
 def score(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): from 0 to 1, higher for texts likelier to be labelled good."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_score(model), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")

@@ -1,8 +1,9 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression on hashed word and character n-grams.
 
 Texts are read once, in Arrow batches; each one's features, score and base figures are made together, so the job is a
-map over the documents with no shuffle. The regression learns from a bounded sample of labelled rows (``SAMPLE``), in one
-task whose input that bound limits; the driver sees only the weights.
+map over the documents with no shuffle. The regression learns from a bounded sample of labelled rows (``SAMPLE``): three
+folds, whose margins for the rows left out calibrate it, and the final weights are fitted side by side, each in a task whose
+input that bound limits; the driver sees only weights and the sample's margins.
 
 Edge cases: a null or empty text has no words and fails the base rules; without labels of both kinds the verdict is the
 base rules' alone; repeated rows are judged one by one; other columns are not looked at.
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import FOLDS, fit_jobs, labelled_sample
 
 #: Labelled documents to learn from, at most.
 SAMPLE = 3_000
-#: Buckets for each kind of feature: words, word pairs, runs of four bytes.
+#: Buckets for each kind of feature: words, word pairs, runs of four characters.
 BUCKETS = 1 << 14
 #: A document stays with a probability of good quality of at least this.
 THRESHOLD = 0.5
@@ -65,7 +66,7 @@ def base_figures(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, i
 def features(text: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers and their values: logarithms of counts, scaled to length one."""
     w = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    b = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     runs = (b[:-3] + b[1:-2] * np.uint32(257) + b[2:-1] * np.uint32(66_049) + b[3:] * np.uint32(16_974_593)) * np.uint32(2_654_435_761) if len(b) > 3 else b[:0]
     pairs = (w[:-1] * np.uint32(31) + w[1:]) * np.uint32(2_654_435_761)
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
@@ -123,29 +124,17 @@ def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float
     return float(beta[0]), float(beta[1])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
-    """Weights from all rows; the calibration from margins that three folds predict for each other."""
-    fold, margin = np.arange(len(y)) % 3, np.zeros(len(y))
-    for k in range(3):
-        train = np.flatnonzero(fold != k)
-        if len(set(y[train])) == 2:
-            w, b = fit_margin([rows[i] for i in train], y[train])
-            for i in np.flatnonzero(fold == k):
-                margin[i] = w[rows[i][0]] @ rows[i][1] + b
-    return Model(*fit_margin(rows, y), *calibrate(margin, y))
-
-
-def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows, y, ids = [], [], []
-    for pdf in batches:
-        ids += pdf["doc_id"].tolist()
-        y += pdf["label"].tolist()
-        rows += [(np.frombuffer(u, np.int32), np.frombuffer(v, np.float32)) for u, v in zip(pdf["used"], pdf["v"], strict=True)]
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    rows, y = [rows[i] for i in order], np.array(y, float)[order]
-    if len(set(y)) == 2:
-        m = fit(rows, y)
-        yield pd.DataFrame({"weights": [m.weights.astype(np.float32).tobytes()], "bias": [m.bias], "slope": [m.slope], "at": [m.offset]})
+def _fit(job: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Job ``FOLDS``: the weights from all rows. Another: the margins of the rows of that fold, from the others' weights."""
+    rows = [(np.frombuffer(u, np.int32), np.frombuffer(v, np.float32)) for u, v in zip(pdf["used"], pdf["v"], strict=True)]
+    y, fold = pdf["label"].to_numpy(float), np.arange(len(pdf)) % FOLDS
+    train, test = np.flatnonzero(fold != job), np.flatnonzero(fold == job)
+    weights, bias, margin = np.zeros(3 * BUCKETS), 0.0, np.zeros(len(test))
+    if len(set(y[train])) == 2:
+        weights, bias = fit_margin([rows[i] for i in train], y[train])
+        margin = np.array([weights[rows[i][0]] @ rows[i][1] + bias for i in test])
+    final = job == FOLDS
+    return pd.DataFrame({"job": [job], "weights": [weights.astype(np.float32).tobytes() if final else None], "bias": [bias], "kinds": [len(set(y))], "margin": [margin.tobytes()], "y": [y[test].tobytes()]})
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,15 +143,19 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             text = text or b""
             out.append(features(text, text.split()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([u.tobytes() for u, _ in out], pa.binary()), pa.array([v.tobytes() for _, v in out], pa.binary())], ["doc_id", "label", "used", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([u.tobytes() for u, _ in out], pa.binary()), pa.array([v.tobytes() for _, v in out], pa.binary())], ["place", "label", "used", "v"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **columns) -> Model | None:
     """The model, or None if the sample lacks one of the labels."""
-    chosen = labelled_sample(docs, labels, sample, **columns).select("doc_id", "text", "label")
-    rows = chosen.mapInArrow(_sample_features, "doc_id long, label int, used binary, v binary")
-    got = rows.repartition(1).mapInPandas(_train, "weights binary, bias double, slope double, at double").collect()
-    return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"], got[0]["slope"], got[0]["at"]) if got else None
+    chosen = labelled_sample(docs, labels, sample, **columns).select("place", "text", "label")
+    rows = chosen.mapInArrow(_sample_features, "place long, label int, used binary, v binary")
+    got = fit_jobs(rows, _fit, "job int, weights binary, bias double, kinds int, margin binary, y binary")
+    if not got or got[FOLDS]["kinds"] < 2:
+        return None
+    folds = [got[k] for k in range(FOLDS)]
+    line = calibrate(np.concatenate([np.frombuffer(r["margin"]) for r in folds]), np.concatenate([np.frombuffer(r["y"]) for r in folds]))
+    return Model(np.frombuffer(got[FOLDS]["weights"], np.float32), got[FOLDS]["bias"], *line)
 
 
 SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
