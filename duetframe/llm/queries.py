@@ -127,7 +127,7 @@ WITH split_docs AS (
   FROM documents),
 split_items AS (
   SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 sized AS (SELECT item, w, least(len(w), 10) AS n FROM split_items WHERE len(w) > 0),
 test AS (
   SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS win
@@ -138,7 +138,7 @@ train AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split_docs, lengths)),
 hits AS (SELECT t.doc_id, t.n, t.i, b.item FROM train t JOIN test b ON t.n = b.n AND t.win = b.win),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
        sha256(coalesce(f.items, '')) AS items_sha256, coalesce(s.n_hit, 0) > 0 AS contaminated
 FROM split_docs d LEFT JOIN spots s ON d.doc_id = s.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id

@@ -123,13 +123,13 @@ def item_words(text):
 
 
 def decontaminate(docs, items, window=10):
-    """doc_id to (words, hit, sorted items)."""
+    """doc_id to (words, hit, sorted items); items: (item_id, text) or a dictionary."""
     wins = defaultdict(set)
-    for item, text in items.items():
+    for item, text in items.items() if isinstance(items, dict) else items:
         w = item_words(text)
         n = min(len(w), window)
         for i in range(len(w) - n + 1 if n else 0):
-            wins[tuple(w[i:i + n])].add(str(item))
+            wins[tuple(w[i:i + n])] |= {str(item)} - {"None"}
     lengths = {len(w) for w in wins}
     out = {}
     for d, text in docs.items():

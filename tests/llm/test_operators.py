@@ -3,6 +3,7 @@
 import hashlib
 
 import brute
+from conftest import sentence
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,11 +178,30 @@ def test_marginals_are_exact():
 
 
 def test_chain_gradient_raises_likelihood():
-    good, bad = crf.line_features(b"a fine line of words here.\nanother fine line."), crf.line_features(b"### %%% $$$\n$$$ ***")
+    good, bad = crf.line_features(b"a fine line of words here.\nanother fine line.")[0], crf.line_features(b"### %%% $$$\n$$$ ***")[0]
     model = crf.fit([good, bad] * 5, np.array([1.0, 0.0] * 5))
     assert model.score(b"a fine line of words here.\nanother fine line.") > 0.5 > model.score(b"### %%% $$$\n$$$ ***")
 
 
+def test_lines_of_a_mixed_document_get_labels_of_their_own():
+    """Bad documents hold as many good lines as bad ones; the chain finds which are which."""
+    rng = np.random.default_rng(5)
+    fine = lambda: " ".join(rng.choice(["river", "stone", "garden", "letter", "market"], 9)) + "."
+    junk = lambda: "".join(rng.choice(list("#$%&*|<>"), 30))
+    texts = ["\n".join(fine() for _ in range(10)) for _ in range(40)]
+    texts += ["\n".join([fine() for _ in range(5)] + [junk() for _ in range(5)]) for _ in range(40)]
+    model = crf.fit([crf.line_features(t.encode())[0] for t in texts], np.repeat([1.0, 0.0], 40))
+    mixed = [fine(), fine(), junk(), junk(), junk(), fine(), fine()]
+    found = model.marginals(crf.line_features("\n".join(mixed).encode())[0])
+    assert [p > 0.5 for p in found] == [line.endswith(".") for line in mixed], found
+
+
+def test_chain_trains_on_bounded_lines():
+    x = np.arange(10_000)[:, None]
+    parts = crf._parts(x)
+    assert sum(map(len, parts)) <= crf.LINES and parts[-1][0, 0] > 9_000 and len(np.concatenate(crf._parts(x[:100]))) == 100
+
+
 def test_chain_scores_every_text(docs, texts, labels, empty):
     model = crf.train(docs, labels)
     found = rows(crf.score(docs, model))
@@ -250,18 +270,34 @@ def test_levels_of_a_long_chain(spark):
     assert {int(r["call_id"]): r["level"] for r in chat.levels(df).collect()} == {i: i for i in range(70)}
 
 
+def test_levels_beside_cycles(spark):
+    rows = [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("t1", "c3"), ("t2", "t1"), ("self", "self")] + [(f"a{i}", f"a{i - 1}") for i in range(12)]
+    got = {r["call_id"]: r["level"] for r in chat.levels(spark.createDataFrame(rows, "call_id string, after string")).collect()}
+    assert got == {c: int(c[1:]) if c[0] == "a" else None for c, _ in rows}
+
+
+def test_tool_calls_meet_in_hash_joins(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "search", "{}", None)], "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    plan = chat.link_tool_calls(calls, calls.select("call_id", "turn", F.lit("x").alias("content")), spark.createDataFrame([], "name string, param string, type string, required boolean"))
+    text = plan._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in text and "call_id" in text
+
+
 # --- decontamination
 
 
 ITEMS = {"a": "STONE quiet", "b": None, "c": "...", "d": "no such words as these in any of the texts at all"}
 
 
-@pytest.mark.parametrize("literals", [50_000, 0])
-def test_decontamination(spark, docs, texts, empty, literals, monkeypatch):
-    monkeypatch.setattr(decontam, "LITERAL_WINDOWS", literals)
+@pytest.mark.parametrize("limits", [(1 << 22, 1 << 26), (8, 0)])
+def test_decontamination(spark, docs, texts, empty, limits, monkeypatch):
+    for name, value in zip(("SET_BYTES", "BROADCAST_BYTES"), limits, strict=True):  # too little for any set or broadcast
+        monkeypatch.setattr(decontam, name, value)
     items = ITEMS | {"e": texts[21], "f": texts[21] + " and more", "g": "short", "h": "É é"}
-    bench = spark.createDataFrame([*items.items(), ("e", items["e"]), (None, "one")], "item_id string, text string")
+    items = [*items.items(), ("e", items["e"]), (None, "one"), (None, sentence(2, 12))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
     want = brute.decontaminate(texts, items)
+    assert want[7] == (1, 1, []) and want[8][1] >= 12  # what items without an id hold is hit, too
     found = rows(decontam.contamination(docs, bench))
     assert {d: (r["n_words"], r["n_hit"], r["items"]) for d, r in found.items()} == want
     kept = {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()}
@@ -273,6 +309,19 @@ def test_decontamination(spark, docs, texts, empty, literals, monkeypatch):
     assert decontam.decontaminate(docs, bench.where("item_id = 'none'")).count() == docs.count()
 
 
+def test_many_test_windows_do_not_let_more_text_through(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 200), i -> concat('w', pmod(xxhash64(id, i), 5000))), ' ')").alias("text"))
+    bench = spark.range(1000).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(1, 30), i -> concat('w', pmod(xxhash64(id, i, 7), 5000))), ' ')").alias("text"))
+    bench = bench.union(docs.where("doc_id < 5"))
+    written = {}
+    keep = decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    found = decontam.contamination(docs, bench).where("n_hit > 0").collect()
+    assert {(r["doc_id"], r["n_hit"]) for r in found} == {(i, 200) for i in range(5)}
+    let_through = written["decontam-hits"].select(F.sum(F.size("hits"))).first()[0]
+    assert 5 * 191 <= let_through < 5 * 191 + 40  # of 76,000 windows that are in no item
+
+
 # --- quality rules
 
 
