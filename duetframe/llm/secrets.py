@@ -1,9 +1,10 @@
 """Secrets by comparing two character Markov models, with DataFrame functions only.
 
-Base spans come from fixed patterns. Further candidates are long unbroken tokens with a digit in them. Two first-order
-models over characters, one of random strings and one of ordinary identifiers, give each candidate a log-likelihood
+Base spans come from fixed patterns. Further candidates are all unbroken tokens of 12 or more characters, with digits or
+without. Two first-order models over characters, one of random strings and one of ordinary identifiers, give each candidate a log-likelihood
 ratio; it is added if the ratio is high both in total and for each character. The models learn from labelled samples: the
-values of the base spans are random strings, the words of ``SAMPLE`` documents, the first in hash order, are ordinary.
+values of the base spans are random strings, the words of ``SAMPLE`` documents, the first in hash order, are ordinary (those
+as long as a candidate only if two texts have them, as a random string is not found twice).
 Learning is counting of character pairs: at most 128 * 128 counts of a model ever leave the executors.
 
 Edge cases: a null or empty text has no spans; without samples the ratio is zero and nothing is added; repeated rows are
@@ -24,7 +25,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 # a run of the right length is what is left of the whole runs once the short ones are dropped
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+MIN_TOKEN = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{4,}+"
 MIN_ASSIGN = 12
 #: Documents whose words stand for ordinary identifiers, at most.
@@ -94,8 +96,10 @@ def train(docs: DataFrame, found: DataFrame, *, sample: int = SAMPLE, id_col: st
     random = found.select(F.explode("base.text").alias("token"))
     chosen = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample).select("id").distinct()
     texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordinary = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
-    ordinary = ordinary.where(~F.col("token").rlike(f"^{TOKEN}$"))  # what may be random is no sample of the ordinary
+    ordinary = texts.select(F.xxhash64("text").alias("th"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
+    short = F.char_length("token") < MIN_TOKEN
+    again = ordinary.where(~short).groupBy("token").agg(F.count_distinct("th").alias("texts"), F.count("*").alias("n")).where("texts > 1")
+    ordinary = ordinary.where(short).select("token").unionByName(again.select("token", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("one")).select("token"))
     return log_ratios(_counts(random), _counts(ordinary))
 
 
