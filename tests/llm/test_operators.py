@@ -41,6 +41,44 @@ def test_pii_adds_spelled_out_addresses_but_no_failed_cards(spark):
     assert all(not found[200 + i]["added"] for i in range(10))
 
 
+def planted(rng, kind, i):
+    """(text, span): a base span of a kind, one that only the method can find, and a look-alike of it."""
+    card = next(c for c in iter(lambda: "4" + "".join(str(x) for x in rng.integers(0, 10, 15)), "") if brute.luhn(c))
+    group = lambda n, sep: sep.join(n[j:j + 4] for j in range(0, 16, 4))
+    octets = [10, *rng.integers(1, 255, 3).tolist()]
+    number = f"{rng.integers(100, 999)} {rng.integers(1000, 9999)}"
+    return {
+        "email": (f"email ann{i}@example.com now", f"email ann{i} [at] example [dot] com now", f"version 1.{i} (at) no.5{i} now"),
+        "ip": ("server {}.{}.{}.{} is up".format(*octets), "server {}[.]{}[.]{}[.]{} is up".format(*octets), "section 0[.]999[.]{}[.]{} is up".format(*octets[:2])),
+        "card": (f"visa {group(card, ' ')} paid", f"visa {group(card, '.')} paid", f"invoice {group(card[:-1] + str((int(card[-1]) + 1) % 10), '.')} paid"),
+        "phone": (f"call +49 30 {number} soon", f"call 0049 30 {number} soon", f"isbn 0000 30 {number} soon"),
+    }[kind]
+
+
+def test_pii_by_kind(spark):
+    """Of planted spans that no base pattern has, nearly all are added under the right kind; look-alikes are not."""
+    rng, texts, extra, decoys = np.random.default_rng(8), [], {}, {}
+    for kind in pii.KINDS:
+        for i in range(60):
+            base, more, decoy = planted(rng, kind, i)
+            texts.append((len(texts), base))
+            if i < 15:
+                extra[len(texts)] = kind
+                texts.append((len(texts), more))
+                decoys[len(texts)] = kind
+                texts.append((len(texts), decoy))
+    found = rows(pii.personal_data(spark.createDataFrame(texts, "doc_id long, text string")))
+    got = {kind: (sum(any(a["kind"] == kind for a in found[d]["added"]) for d, k in extra.items() if k == kind), sum(bool(found[d]["added"]) for d, k in decoys.items() if k == kind)) for kind in pii.KINDS}
+    assert all(hit >= 13 and wrong <= 1 for hit, wrong in got.values()), got
+
+
+def test_gazetteer_of_the_caller(spark):
+    docs = spark.createDataFrame([(i, f"mail ann{i}@host.corp") for i in range(3)], "doc_id long, text string")
+    votes = lambda g: pii.candidates(docs, gazetteer=g).first()["found"][0]["votes"][pii.LABELERS.index("gazetteer")]
+    table = spark.createDataFrame([("email", "corp", False), ("email", "host.corp", True)], "kind string, entry string, listed boolean")
+    assert (votes(None), votes(table), votes(table.where("not listed"))) == (1, 2, 0)
+
+
 def test_em_separates_good_from_bad_labelers():
     post = pii.reliabilities({("card", (2, 2, 2, 1, 2)): 60, ("card", (2, 0, 1, 1, 2)): 30, ("card", (2, 0, 0, 0, 0)): 20})
     assert post["card", (2, 2, 2, 1, 2)] > 0.9 and post["card", (2, 0, 0, 0, 0)] < 0.1
@@ -372,6 +410,18 @@ def test_markov_models_add_random_tokens(spark):
     assert not any(found[i]["added"] for i in range(200))
 
 
+def test_markov_models_add_letters_without_digits(spark):
+    import random
+
+    rng = random.Random(6)
+    secret = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + more) for _ in range(n))
+    texts = [(i, f"the quiet garden has token = {secret(32, '0123456789')} and {sentence(i, 30)} under the unquestionable circumstances") for i in range(200)]
+    texts += [(1000 + i, f"see {secret(24)} for the uncharacteristically quiet_garden") for i in range(20)]
+    found = rows(secrets.secrets(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert sum(any(s["start"] == 4 for s in found[1000 + i]["added"]) for i in range(20)) >= 17
+    assert not any(s["start"] != 4 for i in range(20) for s in found[1000 + i]["added"]) and not any(found[i]["added"] for i in range(200))
+
+
 # --- mixing
 
 
