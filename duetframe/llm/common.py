@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,32 @@ def fit_jobs(rows: DataFrame, fit, schema: str) -> dict[int, Row]:
     return {r["job"]: r for r in each.groupBy("job").applyInPandas(lambda key, pdf: fit(int(key[0]), pdf.sort_values("place", kind="stable")), schema).collect()}
 
 
+#: Bits of a set of hashes for each of them, and the bytes that a set may take at most.
+BITS_EACH, SET_BYTES = 512, 4 << 20
+
+
+def _spots(h: Column, size: int) -> list[tuple[Column, Column]]:
+    """The (element, bit) of the two bits that a hash has in a set of ``size`` elements, a power of two."""
+    halves = [h, F.shiftrightunsigned(h, 32)]
+    return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
+
+
+def among(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a hash may be one of ``hashes`` (h long); those that are always pass, and few others while the set has
+    room. The set travels with the plan as a literal of at most ``SET_BYTES``; with very many hashes it lets everything pass."""
+    size = min(1 << (hashes.count() * BITS_EACH // 64).bit_length(), SET_BYTES // 8)
+    spots = F.array(*[F.struct(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for at, bit in _spots(F.col("h"), size)])
+    found = hashes.select(F.explode(spots).alias("x")).groupBy("x.at").agg(F.bit_or("x.bit").alias("bits"))
+    found = {r["at"]: r["bits"] for r in found.toLocalIterator()}  # size rows at most
+    known = F.from_json(F.lit("[" + ",".join(str(found.get(i, 0)) for i in range(size)) + "]"), "array<bigint>")
+
+    def test(h: Column) -> Column:
+        first, second = (F.getbit(F.get(known, at), bit) == 1 for at, bit in _spots(h, size))
+        return first & second
+
+    return test
+
+
 SPAN = "struct<start:int,end:int,text:string>"
 
 

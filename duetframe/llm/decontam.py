@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The hashes of all test windows become one set of bits (each sets two) that travels with the plan as a literal of
-at most ``SET_BYTES``. Each document is scanned once: word hashes are combined pairwise into hashes of 2, 4, 8 and 10 words,
+at most ``common.SET_BYTES``. Each document is scanned once: word hashes are combined pairwise into hashes of 2, 4, 8 and 10 words,
 so a window costs a handful of hash steps whatever its length, and windows that are not in the set are dropped inside the
 row: no text is shuffled. What is left is verified against the test words themselves in a join before it counts. The plan is
 the same for any number of test windows; a set that is too small for them lets more windows through to the join, which
@@ -17,15 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import among, ascii_lower, materialize
 
 #: Not in a word, as a Java character class, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The same before lower-casing, for cutting spans out of the original text.
 WORD_AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits of the set for each test window, and the bytes that it may take at most.
-BITS_EACH = 512
-SET_BYTES = 4 << 20
+#: The test windows are broadcast up to so many bytes.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -70,20 +68,6 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col:
     return hashed.select("n", win, h.alias("h")), holds.where("item is not null").select("n", win, "item")
 
 
-def _spots(h: Column, size: int) -> list[tuple[Column, Column]]:
-    """The (element, bit) of the two bits that a hash has in a set of ``size`` elements, a power of two."""
-    halves = [h, F.shiftrightunsigned(h, 32)]
-    return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
-
-
-def _bit_set(hashes: DataFrame, size: int) -> Column:
-    """array<long> of ``size`` elements in which the bits of each hash ``h`` are set."""
-    spots = F.array(*[F.struct(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for at, bit in _spots(F.col("h"), size)])
-    found = hashes.select(F.explode(spots).alias("x")).groupBy("x.at").agg(F.bit_or("x.bit").alias("bits"))
-    found = {r["at"]: r["bits"] for r in found.toLocalIterator()}  # size rows at most
-    return F.from_json(F.lit("[" + ",".join(str(found.get(i, 0)) for i in range(size)) + "]"), "array<bigint>")
-
-
 def _bounded(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
@@ -97,19 +81,14 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_c
     wins = materialize(wins, "benchmark-hashes")
     total = wins.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("win") + 48), F.lit(0)).alias("bytes")).first()
     lengths = [r["n"] for r in wins.select("n").distinct().orderBy("n").collect()]
-    size = min(1 << (total["n"] * BITS_EACH // 64).bit_length(), SET_BYTES // 8)
-    known = _bit_set(wins, size)
+    known = among(wins.select("h"))
     words = docs.select(F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("words"))
     hashed, names = _hash_columns(words, lengths)
 
     def starts(n: int, name: str) -> Column:
         """array<struct<at, n>> of the windows of ``n`` words to verify."""
-        def is_set(spot: tuple[Column, Column]) -> Column:
-            return F.getbit(F.get(known, spot[0]), spot[1]) == 1
-
         def one(h: Column, i: Column) -> Column:
-            first, second = _spots(h, size)
-            return F.when(is_set(first) & is_set(second), F.struct(i.alias("at"), F.lit(n).alias("n")))
+            return F.when(known(h), F.struct(i.alias("at"), F.lit(n).alias("n")))
 
         found = F.transform(F.col(name), one)
         return F.filter(found, lambda x: x.isNotNull())
@@ -158,15 +137,19 @@ def _cut_words(text: Column, hits: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a test window, or with those windows cut out (``remove="spans"``).
 
-    Decisions are joined back by id and a hash of the text, so rows that share an id are told apart.
+    Decisions are joined back by id and a hash of the text, so rows that share an id are told apart. Documents that no
+    decision can be about do not move.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
     keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
     found = window_hits(keyed, benchmark, **options)[0].where(F.size("hits") > 0).select("doc_id.id", "doc_id.th", "hits").dropDuplicates(["id", "th"])
+    found = materialize(found, "decontam-found")
+    hit = among(found.select(F.xxhash64("id", "th").alias("h")))(F.xxhash64("id", "th"))
+    rows, clear = rows.where(hit), rows.where(~hit).select("row.*")
     same = rows["id"].eqNullSafe(found["id"]) & (rows["th"] == found["th"])
     if remove == "documents":
-        return rows.join(found, same, "left_anti").select("row.*")
+        return clear.unionByName(rows.join(found, same, "left_anti").select("row.*"))
     cut = rows.join(found, same, "left").withColumn("cut", F.when(F.col("hits").isNull(), F.col(f"row.`{text_col}`")).otherwise(_cut_words(rows["text"], F.col("hits"))))
-    return cut.select(*[F.col("cut").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return clear.unionByName(cut.select(*[F.col("cut").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
