@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import among, materialize
 
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 65_536
 #: Nodes that share a segment value before a second segment is looked up too.
 HOT_BUCKET = 1_000
 SEED = 42
+#: A fingerprint that has more than one of so many shares of all rows is hot.
+HOT_SHARE = 1_000
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -90,6 +92,16 @@ def _balls(radius: int, parts: int) -> list[int]:
     return [q if i <= a else q - 1 for i in range(parts)]
 
 
+def best_parts(nodes: int, radius: int, most: int = 8) -> int:
+    """The number of segments with the least work for so many distinct fingerprints: fewer segments mean more lookups of each,
+    more segments more candidates that agree in one by chance."""
+    def work(parts: int) -> float:
+        lookups = [(math.comb(w, k), w) for (_, w), ball in zip(_segments(64, parts), _balls(radius, parts), strict=True) for k in range(ball + 1)]
+        return sum(n * (1 + nodes / 2**w) for n, w in lookups)
+
+    return min(range(2, most + 1), key=work)
+
+
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(width), n)]
 
@@ -193,20 +205,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, parts: int = 3, hot_bucket: int = HOT_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, parts: int | None = None, hot_bucket: int = HOT_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link within ``radius``, directly or over others.
 
-    ``component_id`` is the smallest id of the group. Three segments of 21 or 22 bits suit up to some hundred million
-    distinct texts at radius 4; fewer parts make longer keys and larger balls for more.
+    ``component_id`` is the smallest id of the group. The number of segments (``parts``) follows from the number of distinct
+    fingerprints, if not given.
     """
     prints = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-nodes")
+    nodes_n = nodes.agg(F.count("*").alias("nodes"), F.sum("rows").alias("rows")).first()
+    parts = parts or best_parts(nodes_n["nodes"], radius)
     groups = connected_components(hamming_links(nodes.select(F.col("fp").alias("id"), "fp"), radius, parts, hot_bucket))
     linked = nodes.join(groups, nodes["fp"] == groups["node"]).select("fp", "first", "component")
     ids = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = linked.join(ids, "component").select("fp", "component_id")
-    ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = materialize(nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "first").alias("component_id")), "simhash-ids")
+    # fingerprints with more than a thousandth of the rows, fewer than a thousand then, do not meet their rows in one task
+    often = F.col("rows") > (nodes_n["rows"] or 0) / HOT_SHARE
+    hot = ids.where(often).select(F.col("fp").alias("hot"), F.col("component_id").alias("hot_id"))
+    split = prints.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left")
+    rest = split.where("hot is null").select("doc_id", "fp").join(ids.where(~often).select("fp", "component_id"), "fp")
+    return split.where("hot is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 #: Radii of the lookups that go before the exact search.
@@ -415,11 +434,15 @@ def near_duplicate_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: fl
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; columns as before.
 
-    Of rows that are equal in id and text, too, one stays: the one whose other columns have the smallest hash.
+    Of rows that are equal in id and text, too, one stays: the one whose other columns have the smallest hash. Rows that are
+    alone in their group do not move.
     """
     judged = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **options).select(F.col("row").alias("judged"), "keep", F.col("rows").alias("equal"))
+    judged = materialize(judged, "dedup-judged")
+    touched = among(judged.select(F.xxhash64("judged").alias("h")))(F.xxhash64("own"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th")).alias("own"))
+    alone, rows = rows.where(~touched), rows.where(touched)
     rows = rows.join(judged, F.col("own") == F.col("judged"), "left").where("judged is null or keep")
     once = rows.where("equal > 1").groupBy("own").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return rows.where("equal is null or equal = 1").select("row").unionByName(once.select("row")).select("row.*")
+    return alone.select("row").unionByName(rows.where("equal is null or equal = 1").select("row")).unionByName(once.select("row")).select("row.*")
