@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from .common import among, materialize
+
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, payload_digest string, payload_bytes long, refers_to string, headers map<string,string>, payload binary"
 #: Column to the WARC header that it shows.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -331,13 +333,16 @@ def page_of(record) -> F.Column:
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", smallest: int = SMALLEST_REVISIT) -> DataFrame:
     """The records to write: of equal payloads of at least ``smallest`` bytes, that of the smallest id is the response.
 
-    Digests are grouped first, without the pages, and only those that repeat are joined back; a digest that very many
-    pages share is one row there, and the join's page side can be split.
+    Digests are grouped first, without the pages, and only pages whose digest may repeat move to meet them; a digest that
+    very many pages share is one row there, and the join's page side can be split.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), body.alias("payload")).withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     firsts = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    joined = rows.join(firsts, "payload_digest", "left")
+    firsts = materialize(firsts, "warc-firsts")
+    h = F.xxhash64("payload_digest")
+    repeats = (F.col("payload_bytes") >= smallest) & among(firsts.select(h.alias("h")))(h)
+    joined = rows.where(repeats).join(firsts, "payload_digest", "left").unionByName(rows.where(~repeats).withColumn("first", F.lit(None).cast("long")))
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     return joined.select(
         record_id(F.col("id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",
