@@ -48,22 +48,23 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes]:
 
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "pos", "h"]
+        names = ["doc_id", "th", "pos", "h", "n_lines"]
 
         def full(rows: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names)
 
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for d, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
                 keys = line_keys(text, min_chars)
                 rows[0] += [d] * len(keys)
                 rows[1] += [th] * len(keys)
                 rows[2] += [at for at, _ in keys]
                 rows[3] += [xxhash.xxh3_128_digest(k) for _, k in keys]
+                rows[4] += [text.count(b"\n") + 1] * len(keys)
                 if len(rows[0]) >= BATCH:
                     yield full(rows)
-                    rows = [[], [], [], []]
+                    rows = [[], [], [], [], []]
             if rows[0]:
                 yield full(rows)
 
@@ -72,22 +73,22 @@ def _hash_lines(min_chars: int):
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hash, document, position) in; drops, heads and the tail out."""
-    schema = pa.schema([("tag", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.binary())])
+    schema = pa.schema([("tag", pa.int8()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.binary()), ("n_lines", pa.int32())])
     seen, first, heading = None, None, False
     for batch in batches:
         out = []
-        for d, th, at, h in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for d, th, at, h, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if h != seen:
                 heading = seen is None
                 seen, first = h, d
             if d != first:
-                out.append((DROP, d, th, at, None))
+                out.append((DROP, d, th, at, None, n))
             elif heading:
-                out.append((HEAD, d, th, at, h))
+                out.append((HEAD, d, th, at, h, n))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
     if seen is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((TAIL, first, None, None, seen), schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((TAIL, first, None, None, seen, None), schema, strict=True)], schema=schema)
 
 
 @F.udf(T.BinaryType(), useArrow=True)
@@ -113,18 +114,16 @@ def line_keep_bitmaps(docs: DataFrame, *, min_chars: int = 10, id_col: str = "do
     """(doc_id, th, n_lines, n_dropped, keep) for the documents that lose lines; ``th`` is ``xxhash64`` of the text."""
     spark = docs.sparkSession
     slim = _keyed(docs, id_col, text_col)
-    lines = slim.mapInArrow(_hash_lines(min_chars), "doc_id long, th long, pos int, h binary")
+    lines = materialize(slim.mapInArrow(_hash_lines(min_chars), "doc_id long, th long, pos int, h binary, n_lines int"), "line-hashes")  # sampled for the ranges, then read
     order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("pos")]
-    streamed = lines.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_first_seen, "tag byte, doc_id long, th long, pos int, h binary")
+    streamed = lines.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_first_seen, "tag byte, doc_id long, th long, pos int, h binary, n_lines int")
     found = materialize(streamed, "line-firsts")
     tails = found.where(F.col("tag") == TAIL).groupBy("h").agg(F.min("doc_id").alias("first"))
     heads = found.where(F.col("tag") == HEAD)
     late = heads.join(F.broadcast(tails), "h").where("first < doc_id or (doc_id is null and first is not null)")
-    drops = found.where(F.col("tag") == DROP).select("doc_id", "th", "pos").unionByName(late.select("doc_id", "th", "pos"))
-    lost = drops.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("dropped"))
-    counts = slim.select("doc_id", "th", (F.size(F.split("text", "\n", -1))).alias("n_lines")).distinct()
-    return (lost.join(counts, lost["doc_id"].eqNullSafe(counts["doc_id"]) & (lost["th"] == counts["th"]))
-            .select(lost["doc_id"], lost["th"], F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap("dropped", "n_lines").alias("keep")))
+    drops = found.where(F.col("tag") == DROP).select("doc_id", "th", "pos", "n_lines").unionByName(late.select("doc_id", "th", "pos", "n_lines"))
+    lost = drops.groupBy("doc_id", "th", "n_lines").agg(F.collect_set("pos").alias("dropped"))
+    return lost.select("doc_id", "th", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap("dropped", "n_lines").alias("keep"))
 
 
 def _apply(digest_only: bool):
