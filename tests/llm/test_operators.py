@@ -118,6 +118,19 @@ def test_lookups_find_every_pair(spark, radius, parts, hot):
     assert got == want
 
 
+def test_segments_follow_from_the_number_of_fingerprints():
+    assert [simhash.best_parts(n, 4) for n in (1_000, 200_000, 10**8, 10**10)] == sorted((simhash.best_parts(n, 4) for n in (1_000, 200_000, 10**8, 10**10)), reverse=True)
+    assert simhash.best_parts(10**8, 4) == 2
+
+
+def test_hot_fingerprints_join_like_others(spark, monkeypatch):
+    df = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one hot text of many copies").otherwise(F.concat(F.lit("word number "), F.col("id").cast("string"), F.lit(" x y"))).alias("text"))
+    want = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()}
+    monkeypatch.setattr(simhash, "HOT_SHARE", 0.5)  # none is hot
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()} == want and len(want) == 900
+    assert all(c == 0 for d, c in want if d % 3 == 0)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in simhash.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -329,8 +342,8 @@ ITEMS = {"a": "STONE quiet", "b": None, "c": "...", "d": "no such words as these
 
 @pytest.mark.parametrize("limits", [(1 << 22, 1 << 26), (8, 0)])
 def test_decontamination(spark, docs, texts, empty, limits, monkeypatch):
-    for name, value in zip(("SET_BYTES", "BROADCAST_BYTES"), limits, strict=True):  # too little for any set or broadcast
-        monkeypatch.setattr(decontam, name, value)
+    monkeypatch.setattr(common, "SET_BYTES", limits[0])  # 8 and 0 are too little for any set or broadcast
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limits[1])
     items = ITEMS | {"e": texts[21], "f": texts[21] + " and more", "g": "short", "h": "É é"}
     items = [*items.items(), ("e", items["e"]), (None, "one"), (None, sentence(2, 12))]
     bench = spark.createDataFrame(items, "item_id string, text string")
