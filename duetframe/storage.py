@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +28,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: The tables of each open ``temporary_tables``, innermost last.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are removed at the end, but for those that are kept: these belong to the scope around it.
+
+    What is lazy and reads them has to be written before the end.
+    """
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The lineage is cut at a table that outlives any executor, so a lost one costs a reread and nothing is computed twice.
+    Inside ``temporary_tables`` the table goes at the end, or with ``keep`` at the end of the scope around it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    scopes = _SCOPES.get()
+    if len(scopes) > keep:
+        scopes[-2 if keep else -1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Remove what this application has left in the shared folder; results that are not yet written elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}")

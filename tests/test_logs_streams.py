@@ -122,3 +122,17 @@ def test_scratch_tables_outlive_their_inputs_until_removed(spark):
     df = storage.materialize(spark.range(5).withColumnRenamed("id", "x"), "test")
     assert sorted(r["x"] for r in df.collect()) == [0, 1, 2, 3, 4]
     assert storage.scratch_path(spark, "a") != storage.scratch_path(spark, "a")
+
+
+def test_temporary_tables_go_but_for_those_kept(spark):
+    from duetframe import storage
+
+    df = spark.range(3).withColumnRenamed("id", "x")
+    with storage.temporary_tables(spark):
+        with storage.temporary_tables(spark):
+            gone, kept = storage.materialize(df, "gone"), storage.materialize(df, "kept", keep=True)
+        assert kept.count() == 3
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+            gone.collect()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        kept.collect()
