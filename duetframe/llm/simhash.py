@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import temporary_tables
 from .common import among, materialize
 
 #: Shingles whose bits are unpacked at a time.
@@ -388,8 +389,10 @@ def near_duplicate_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: fl
 
     def joined(stars: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b): each text of a group but the first, and the first, with the similar ones of ``pairs``."""
-        links = stars.unionByName(similar_links(slim, rows, pairs, shingle, min_similarity))
-        return materialize(connected_components(links).where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), "dedup-stars")
+        with temporary_tables(docs.sparkSession):
+            links = stars.unionByName(similar_links(slim, rows, pairs, shingle, min_similarity))
+            stars = connected_components(links).where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            return materialize(stars, "dedup-stars", keep=True)
 
     nodes = firsts.select("id", "fp", *WIDE)
     for radius in radii:
