@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +58,15 @@ FOLDS = 3
 def fit_jobs(rows: DataFrame, fit, schema: str) -> dict[int, Row]:
     """One task for each fold, which learns from the others, and one for the final model, side by side; the result of each by number.
 
-    ``fit`` takes (job, its rows) as ``applyInPandas`` gives them; the bound of the sample bounds each task's input.
+    ``fit`` takes (job, its rows in order); the bound of the sample bounds each task's input.
     """
-    each = rows.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
-    return {r["job"]: r for r in each.groupBy("job").applyInPandas(lambda key, pdf: fit(int(key[0]), pdf.sort_values("place", kind="stable")), schema).collect()}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        for job, pdf in pd.concat(parts).groupby("job") if parts else ():
+            yield fit(int(job), pdf.sort_values("place", kind="stable"))
+
+    each = materialize(rows, "sample").withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    return {r["job"]: r for r in each.repartitionByRange(FOLDS + 1, "job").mapInPandas(run, schema).collect()}  # by range: a task each
 
 
 #: Bits of a set of hashes for each of them, and the bytes that a set may take at most.

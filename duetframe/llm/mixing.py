@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize, words
 
 #: Documents of one (source, length) in a hash bucket, about.
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
 #: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this. It bounds the
 #: sums in reach and with them the lengths that take part, so that none has to be left out.
 KNAPSACK_WORDS = 20_000
