@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from duetframe.llm import decontam, line_dedup, mixing, quality_rules, simhash
 from duetframe.llm.common import materialize, table
+from duetframe.storage import temporary_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has written on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
