@@ -25,6 +25,8 @@ from .common import materialize, words
 
 #: Documents of one (source, length) in a hash bucket, about.
 BUCKET_ROWS = 256
+#: A length of a source that has more than one of so many shares of all documents is hot.
+HOT_SHARE = 1_000
 #: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this. It bounds the
 #: sums in reach and with them the lengths that take part, so that none has to be left out.
 KNAPSACK_WORDS = 20_000
@@ -130,7 +132,16 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share:
     bucket = F.shiftrightunsigned(h, 1) % F.ceil(F.col("n") / BUCKET_ROWS)
     place = F.struct(bucket.alias("bucket"), h.alias("h"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("row_number").alias("row_number"))
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length"))
-    cut = slim.join(plan.where("0 < extra and extra < n"), same).select("of", "length", "extra", place.alias("place"))
+    often = F.col("n") > sum(r["n"] for r in plan.agg(F.sum("n").alias("n")).collect() if r["n"]) / HOT_SHARE
+
+    def planned(plan: DataFrame) -> DataFrame:
+        """``slim`` with its rows of ``plan``, if any; lengths with more than a thousandth of the rows, fewer than a thousand
+        then, are broadcast, so that a hot one does not meet its documents in one task."""
+        split = slim.join(F.broadcast(plan.where(often)), same, "left")
+        rest = split.where("length is null").select(*slim.columns).join(plan.where(~often), same, "left")
+        return split.where("length is not null").unionByName(rest)
+
+    cut = planned(plan.where("0 < extra and extra < n")).where("length is not null").select("of", "length", "extra", place.alias("place"))
     counts = cut.groupBy("of", "length", "extra", F.col("place.bucket").alias("bucket")).agg(F.count("*").alias("here"))
     upto = Window.partitionBy("of", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0))).where("before < extra and extra <= before + here")
@@ -142,7 +153,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share:
 
     picked = (F.col("extra") > 0) & (F.col("last").isNull() | (place <= F.col("last")))
     copies = F.when(F.col("size") > 0, F.col("whole") + picked.cast("long")).otherwise(F.lit(0))
-    out = slim.join(plan, same, "left").withColumn("copies", copies).drop("of")
+    out = planned(plan).withColumn("copies", copies).drop("of")
     return out.join(by_source, out["source"].eqNullSafe(by_source["of"]), "left").select(
         *keep, "doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         (F.col("copies") * F.col("size")).alias("taken"), "copies", F.coalesce("source_taken", F.lit(0)).alias("source_taken"))
