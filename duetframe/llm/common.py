@@ -79,14 +79,23 @@ def _spots(h: Column, size: int) -> list[tuple[Column, Column]]:
     return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
 
 
-def among(hashes: DataFrame) -> Callable[[Column], Column]:
+def among(hashes: DataFrame, nested: bool = False) -> Callable[[Column], Column]:
     """A test whether a hash may be one of ``hashes`` (h long); those that are always pass, and few others while the set has
-    room. The set travels with the plan as a literal of at most ``SET_BYTES``; with very many hashes it lets everything pass."""
+    room. The set takes at most ``SET_BYTES``; with very many hashes it lets everything pass.
+
+    It is a table of one row that the plan reads as a subquery. Lambdas cannot hold one: for them (``nested``) the set is a
+    literal, which every copy of the plan's text repeats.
+    """
     size = min(1 << (hashes.count() * BITS_EACH // 64).bit_length(), SET_BYTES // 8)
     spots = F.array(*[F.struct(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")) for at, bit in _spots(F.col("h"), size)])
     found = hashes.select(F.explode(spots).alias("x")).groupBy("x.at").agg(F.bit_or("x.bit").alias("bits"))
-    found = {r["at"]: r["bits"] for r in found.toLocalIterator()}  # size rows at most
-    known = F.from_json(F.lit("[" + ",".join(str(found.get(i, 0)) for i in range(size)) + "]"), "array<bigint>")
+    if nested:
+        bits = {r["at"]: r["bits"] for r in found.toLocalIterator()}  # size rows at most
+        known = F.from_json(F.lit("[" + ",".join(str(bits.get(i, 0)) for i in range(size)) + "]"), "array<bigint>")
+    else:
+        every = hashes.sparkSession.range(size).select(F.col("id").cast("int").alias("at")).join(found, "at", "left")
+        whole = every.agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x"))  # size rows
+        known = materialize(whole.select(F.col("x.bits").alias("bits")), "hashes").scalar()
 
     def test(h: Column) -> Column:
         first, second = (F.getbit(F.get(known, at), bit) == 1 for at, bit in _spots(h, size))

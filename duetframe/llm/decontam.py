@@ -81,7 +81,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_c
     wins = materialize(wins, "benchmark-hashes")
     total = wins.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("win") + 48), F.lit(0)).alias("bytes")).first()
     lengths = [r["n"] for r in wins.select("n").distinct().orderBy("n").collect()]
-    known = among(wins.select("h"))
+    known = among(wins.select("h"), nested=True)
     words = docs.select(F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("words"))
     hashed, names = _hash_columns(words, lengths)
 
