@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, *, label_col
     return texts.groupBy("id", "place", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("place", "t.text", "label")
 
 
+def slices(batch: pa.RecordBatch, column: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose values of ``column`` (texts, binaries or lists) have ``most`` bytes or elements at most, or of one row."""
+    sizes = (pa.compute.list_value_length(column) if pa.types.is_list(column.type) else pa.compute.binary_length(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 #: Folds of a model's training rows, by their order; job ``FOLDS`` learns from all of them.
 FOLDS = 3
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch_path
-from . import chat, crf, decontam, line_dedup, mixing, pii, quality_rules, secrets, simhash, warc
-from .common import held_out, table
+from . import alignment, chat, crf, decontam, language, line_dedup, mixing, pii, quality_rules, secrets, simhash, warc, whitening
+from .common import held_out, materialize, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = materialize(alignment.align(table(spark, sf_dir, "documents"), row=F.struct("doc_id")), "aligned")
+    found = alignment.figures(aligned, alignment.pair_counts(aligned))
+    return found.select("row.doc_id", *found.columns[1:])
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.whole_numbers(table(spark, sf_dir, "embeddings"), row=F.struct("vec_id"))
+    found = whitening.whiten(x, whitening.fit(x))
+    return found.select("row.vec_id", *found.columns[1:])
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs), row=F.struct("doc_id"))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_warc, op4_line_crf, op5_line_dedup, op6_tool_calls, op7_decontamination, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_warc, op4_line_crf, op5_line_dedup, op6_tool_calls, op7_decontamination, op8_quality_rules, op9_secrets, op10_mixing, op11_token_alignment, op12_whitening, op13_language_id)}
 
 
 OP3_SQL = """
