@@ -34,8 +34,10 @@ from .common import slices
 #: Folder of the vocabulary files, and the two that the registered query aligns.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+# Fixed value: how a byte-level BPE with its own pattern cuts a text before anything merges.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that a slice of a batch holds at most (or one text), and its tokens when it is read again.
-SLICE_BYTES, SLICE_TOKENS = 2 << 20, 1 << 20
+SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 18
 
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 
@@ -52,47 +54,64 @@ def byte_level() -> dict[str, int]:
 WORD, WHOLE = re.compile(" +[^ ]+"), re.compile(r"[^\S ] | \Z")
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class ByteLevel:
     """A byte-level BPE in the JSON format of ``tokenizers``; special tokens in a text are ordinary text."""
 
-    #: Words that are encoded together.
-    RUN = 200
+    #: Characters of a word that is encoded together with others.
+    SHORT = 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        setup = json.loads(self.model.to_str())
-        before = setup["pre_tokenizer"] or {}
-        # words are split off before anything merges: a space never follows another character in a token
-        self.by_word = setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         vocabulary, byte = self.model.get_vocab(with_added_tokens=True), byte_level()
         self.table = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.table[i] = bytes(map(byte.get, entry)) if all(map(byte.__contains__, entry)) else entry.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of texts that begin with a space. Words are encoded many at a time, and their tokens told apart by their bytes."""
-        if not self.by_word:
+        self.lengths = np.array([len(x) for x in self.table], np.int64)
+        setup = json.loads(self.model.to_str())
+        before, merges = setup["pre_tokenizer"] or {}, setup["model"].get("merges", [])
+        # words are split off before anything merges: a space never follows another character in a token
+        self.by_word = setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        self.ranked = self._ranked(setup, made) if self.by_word and all(x < y for x, y in itertools.pairwise(made)) else None
+
+    def _ranked(self, setup: dict, made: list[int]):
+        """The same merges by rank, in the library that is quicker on words; ids rise in the order of the merges."""
+        import tiktoken
+
+        added = {x["id"] for x in setup["added_tokens"]}
+        ranks = {self.table[i]: i for i in range(len(self.table)) if i not in added}
+        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(made) else None
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has) of texts that begin with a space.
+
+        Short words are encoded as one text, and their tokens told apart by their bytes.
+        """
+        single = np.array([len(t) <= self.SHORT and WORD.fullmatch(t) is not None and not t[-1].isspace() for t in texts], bool) if self.ranked else np.zeros(len(texts), bool)
+        words = list(itertools.compress(texts, single))
+        ids = np.array(self.ranked.encode_ordinary("".join(words)) if words else [], np.int32)
+        ends, stops = np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])
+        at = np.searchsorted(ends, stops)
+        if len(words) and (at[-1] + 1 != len(ids) or (ends[at] != stops).any()):
             return self._each(texts)
-        single = [WORD.fullmatch(t) is not None and not t[-1].isspace() for t in texts]
-        words = [t for t, one in zip(texts, single, strict=True) if one]
-        runs = [words[i:i + self.RUN] for i in range(0, len(words), self.RUN)]
-        found: list[list[int]] = []
-        for run, ids in zip(runs, self._each(["".join(r) for r in runs]), strict=True):
-            ends = list(itertools.accumulate([len(self.table[i]) for i in ids], initial=0))
-            stops = list(itertools.accumulate([len(w.encode()) for w in run], initial=0))
-            at = {e: i for i, e in enumerate(ends)}
-            if ends[-1] == stops[-1] and all(map(at.__contains__, stops)):
-                found += [ids[at[i]:at[j]] for i, j in itertools.pairwise(stops)]
-            else:
-                found += self._each(run)
-        rest, each = iter(self._each([t for t, one in zip(texts, single, strict=True) if not one])), iter(found)
-        return [next(each) if one else next(rest) for one in single]
-
-    def _each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        rest, n_rest = self._each(list(itertools.compress(texts, ~single)))
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[single], sizes[~single] = np.diff(at, prepend=-1), n_rest
+        out = np.empty(len(ids) + len(rest), np.int32)
+        mine = np.repeat(single, sizes)
+        out[mine], out[~mine] = ids, rest
+        return out, sizes
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
 
 
 class Pieces:
@@ -103,12 +122,13 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.by_word = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        self.table = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = np.array([len(x) for x in self.table], np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of texts that begin with a space."""
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has) of texts that begin with a space."""
+        return _flat(self.model.encode([t[1:] for t in texts], num_threads=1))
 
 
 def load(path: str) -> ByteLevel | Pieces:
@@ -116,24 +136,32 @@ def load(path: str) -> ByteLevel | Pieces:
 
 
 class Encoder:
-    """Ids and bytes of words, kept from one slice to the next; so many words and characters of a word at most."""
+    """Ids of words, kept as bytes from one slice to the next; so many words and characters of a word at most."""
 
-    KEPT, LONGEST = 200_000, 64
+    KEPT, LONGEST = 100_000, 64
 
     def __init__(self, tokenizer: ByteLevel | Pieces) -> None:
-        self.tokenizer, self.kept = tokenizer, {}
-        self.lengths = np.array([len(x) for x in tokenizer.table], np.int64)
+        self.tokenizer, self.lengths = tokenizer, tokenizer.lengths
+        self.kept: dict[str, bytes] = {}  # empty: the tokens' bytes are not the word's
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, how many each has, whether its tokens' bytes are its own)."""
         missing = [w for w in words if w not in self.kept]
-        fresh = dict(zip(missing, self.tokenizer.encode(missing), strict=True))
-        fresh = {w: (i, b"".join([self.tokenizer.table[x] for x in i]) == w.encode()) for w, i in fresh.items()}
-        got = [self.kept.get(w) or fresh[w] for w in words]
+        fresh: dict[str, bytes] = {}
+        if missing:
+            ids, sizes = self.tokenizer.encode(missing)
+            table, raw, stop = self.tokenizer.table, ids.tobytes(), np.cumsum(sizes).tolist()
+            fresh = {w: raw[4 * i:4 * j] for w, i, j in zip(missing, [0, *stop], stop, strict=False)}
+            total = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+            own = np.diff(total[np.concatenate([[0], stop])]) == [len(w.encode()) for w in missing]
+            if not own.all() or b"".join([table[i] for i in ids.tolist()]) != "".join(missing).encode():
+                fresh = {w: x if b"".join([table[i] for i in np.frombuffer(x, np.int32).tolist()]) == w.encode() else b"" for w, x in fresh.items()}
+        got = [fresh[w] if w in fresh else self.kept[w] for w in words]
         if len(self.kept) > self.KEPT:
             self.kept.clear()
         self.kept.update((w, x) for w, x in fresh.items() if len(w) <= self.LONGEST)
-        return np.array([x for i, _ in got for x in i], np.int64), np.array([len(i) for i, _ in got], np.int64), np.array([ok for _, ok in got], bool)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        return np.frombuffer(b"".join(got), np.int32), sizes, sizes > 0
 
 
 def gallop(keys: np.ndarray, into: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -58,6 +58,7 @@ def aligned_texts(texts):
 def test_alignment_equals_a_plain_version(spark, texts, encoders, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 3_000)
     monkeypatch.setattr(alignment, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(alignment.Encoder, "KEPT", 50)
     every = aligned_texts(texts)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(every)], "doc_id long, text string, row string, n long").repartition(3)
     made = alignment.align(df, *PATHS, row=F.struct("doc_id", "row")).cache()
