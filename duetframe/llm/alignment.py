@@ -17,6 +17,7 @@ cost what their tokens cost; a table without rows gives none; other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -37,7 +38,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how a byte-level BPE with its own pattern cuts a text before anything merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that a slice of a batch holds at most (or one text), and its tokens when it is read again.
-SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 18
+SLICE_BYTES, SLICE_TOKENS = 1 << 18, 1 << 17
 
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 
@@ -66,29 +67,34 @@ class ByteLevel:
     SHORT = 64
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        vocabulary, byte = self.model.get_vocab(with_added_tokens=True), byte_level()
+        with open(path, encoding="utf-8") as f:
+            setup = json.load(f)
+        self.path, byte = path, byte_level()
+        vocabulary = setup["model"]["vocab"] | {x["content"]: x["id"] for x in setup["added_tokens"]}
         self.table = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.table[i] = bytes(map(byte.get, entry)) if all(map(byte.__contains__, entry)) else entry.encode()
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        setup = json.loads(self.model.to_str())
         before, merges = setup["pre_tokenizer"] or {}, setup["model"].get("merges", [])
         # words are split off before anything merges: a space never follows another character in a token
         self.by_word = setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
-        self.ranked = self._ranked(setup, made) if self.by_word and all(x < y for x, y in itertools.pairwise(made)) else None
+        own = {self.table[i]: i for i in range(len(self.table)) if i not in {x["id"] for x in setup["added_tokens"]}}
+        self.ranked = None
+        if self.by_word and len(own) == 256 + len(made) and all(x < y for x, y in itertools.pairwise(made)):
+            import tiktoken
 
-    def _ranked(self, setup: dict, made: list[int]):
-        """The same merges by rank, in the library that is quicker on words; ids rise in the order of the merges."""
-        import tiktoken
+            # the same merges by rank, as ids rise in their order, in the library that is quicker on words
+            self.ranked = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=own, special_tokens={})
+
+    @functools.cached_property
+    def model(self):
+        """The tokenizer itself, for texts that are no short words."""
+        from tokenizers import Tokenizer
 
-        added = {x["id"] for x in setup["added_tokens"]}
-        ranks = {self.table[i]: i for i in range(len(self.table)) if i not in added}
-        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(made) else None
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has) of texts that begin with a space.
@@ -111,7 +117,7 @@ class ByteLevel:
         return out, sizes
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        return _flat([e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
 
 
 class Pieces:
@@ -138,7 +144,7 @@ def load(path: str) -> ByteLevel | Pieces:
 class Encoder:
     """Ids of words, kept as bytes from one slice to the next; so many words and characters of a word at most."""
 
-    KEPT, LONGEST = 100_000, 64
+    KEPT, LONGEST = 60_000, 64
 
     def __init__(self, tokenizer: ByteLevel | Pieces) -> None:
         self.tokenizer, self.lengths = tokenizer, tokenizer.lengths
