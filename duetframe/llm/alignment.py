@@ -37,8 +37,8 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how a byte-level BPE with its own pattern cuts a text before anything merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text that a slice of a batch holds at most (or one text), and its tokens when it is read again.
-SLICE_BYTES, SLICE_TOKENS = 1 << 18, 1 << 17
+#: Bytes of text, and of links, that a slice of a batch holds at most (or one text).
+SLICE_BYTES, SLICE_LINKS = 1 << 18, 1 << 19
 
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
 
@@ -245,32 +245,32 @@ def _texts(column: pa.Array) -> list[str | None]:
     return out
 
 
-def _align(path_a: str, path_b: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Aligner:
+    """Both tokenizers of a task."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        both = [Encoder(load(path_a)), Encoder(load(path_b))]
-        by_word = all(e.tokenizer.by_word for e in both)
-        for batch in batches:
-            for part in slices(batch, batch.column(1), SLICE_BYTES):
-                texts = _texts(part.column(1))
-                words = [() if t is None else WORD.findall(t) if by_word and not WHOLE.search(t) else (t,) for t in texts]
-                place: dict[str, int] = {}
-                which = np.array([place.setdefault(w, len(place)) for text in words for w in text], np.int64)
-                text_of = np.repeat(np.arange(len(words)), [len(x) for x in words])
-                got = [e(list(place)) for e in both]
-                bad = np.zeros(len(words), bool)
-                bad[text_of[~(got[0][2] & got[1][2])[which]]] = True
-                which, text_of = which[~bad[text_of]], text_of[~bad[text_of]]
-                flat = [_repeated(ids, sizes, which) for ids, sizes, _ in got]
-                counts = [np.bincount(text_of, sizes[which], len(words)).astype(np.int64) for _, sizes, _ in got]
-                ends = [np.cumsum(e.lengths[ids]) for e, ids in zip(both, flat, strict=True)]
-                at_a, at_b = common_ends(*ends, *(np.concatenate([[0], np.cumsum(n)]) for n in counts))
-                groups = np.bincount(np.searchsorted(np.cumsum(counts[0]), at_a, "right"), minlength=len(words))
-                # every text's last tokens end together, so ranks of the text before it are where the next one's begin
-                sizes = [np.diff(np.concatenate([[-1], at])) for at in (at_a, at_b)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(flat[0], counts[0]), _lists(flat[1], counts[1]), _lists(sizes[0], groups), _lists(sizes[1], groups)], ["row", "a_ids", "b_ids", "a_sizes", "b_sizes"])
-
-    return run
+        self.both = [Encoder(load(path_a)), Encoder(load(path_b))]
+        self.by_word = all(e.tokenizer.by_word for e in self.both)
+
+    def __call__(self, column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(ids of A and B, how many each text has, how many each group has, how many groups each text has)."""
+        texts = _texts(column)
+        words = [() if t is None else WORD.findall(t) if self.by_word and not WHOLE.search(t) else (t,) for t in texts]
+        place: dict[str, int] = {}
+        which = np.array([place.setdefault(w, len(place)) for text in words for w in text], np.int64)
+        text_of = np.repeat(np.arange(len(words)), [len(x) for x in words])
+        got = [e(list(place)) for e in self.both]
+        bad = np.zeros(len(words), bool)
+        bad[text_of[~(got[0][2] & got[1][2])[which]]] = True
+        which, text_of = which[~bad[text_of]], text_of[~bad[text_of]]
+        flat = [_repeated(ids, sizes, which) for ids, sizes, _ in got]
+        counts = [np.bincount(text_of, sizes[which], len(words)).astype(np.int64) for _, sizes, _ in got]
+        ends = [np.cumsum(e.lengths[ids]) for e, ids in zip(self.both, flat, strict=True)]
+        at_a, at_b = common_ends(*ends, *(np.concatenate([[0], np.cumsum(n)]) for n in counts))
+        groups = np.bincount(np.searchsorted(np.cumsum(counts[0]), at_a, "right"), minlength=len(words))
+        # every text's last tokens end together, so ranks of the text before it are where the next one's begin
+        return flat, counts, [np.diff(np.concatenate([[-1], at])) for at in (at_a, at_b)], groups
 
 
 def align(docs: DataFrame, path_a: str = f"{TOKENIZERS}/{BYTE_BPE}", path_b: str = f"{TOKENIZERS}/{PIECE_BPE}", *, row: Column | None = None, text_col: str = "text") -> DataFrame:
@@ -278,90 +278,104 @@ def align(docs: DataFrame, path_a: str = f"{TOKENIZERS}/{BYTE_BPE}", path_b: str
 
     ``row`` is what to carry along, all columns by default. The files must be there on every executor.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(path_a, path_b)
+        for batch in batches:
+            for part in slices(batch, batch.column(1), SLICE_BYTES):
+                (a, b), (n_a, n_b), (size_a, size_b), groups = aligner(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(a, n_a), _lists(b, n_b), _lists(size_a, groups), _lists(size_b, groups)], ["row", "a_ids", "b_ids", "a_sizes", "b_sizes"])
+
     rows = docs.select((F.struct("*") if row is None else row).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_align(path_a, path_b), f"row {rows.schema['row'].dataType.simpleString()}, {ALIGNED}")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {ALIGNED}")
+
+
+LINKED = "n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 
 
-def _columns(part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(values, sizes) of the four lists of ``ALIGNED``, the last columns of a batch."""
-    return [(c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(c.offsets.to_numpy()).astype(np.int64)) for c in part.columns[-4:]]
+def linked(docs: DataFrame, path_a: str = f"{TOKENIZERS}/{BYTE_BPE}", path_b: str = f"{TOKENIZERS}/{PIECE_BPE}", *, row: Column | None = None, text_col: str = "text") -> DataFrame:
+    """(row, n_a, n_b, n_groups, groups_sha256, links) of each row: what counting over all texts needs of ``align``.
+
+    The digest is of the groups as ``a1,a2|b1;a3|b2``, empty for a text without tokens. ``links`` has the pair of ids that
+    ends each group, a whole number of 4 bytes (or 8, if the vocabularies need it): the id of A shifted by the bits of those
+    of B, plus the id of B.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(path_a, path_b)
+        size_of = [len(e.tokenizer.table) for e in aligner.both]
+        shift = (size_of[1] - 1).bit_length()
+        kind = "<u4" if (size_of[0] - 1).bit_length() + shift <= 32 else "<u8"
+        # decimal ids, each with what may follow it: another of its group, or the end of the group's part
+        names = np.array([f"{i}{end}" for size, mark in zip(size_of, "|;", strict=True) for i in range(size) for end in (",", mark)], object)
+        for batch in batches:
+            for part in slices(batch, batch.column(1), SLICE_BYTES):
+                (a, b), (n_a, n_b), (size_a, size_b), groups = aligner(part.column(1))
+                end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+                last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                last_a[end_a - 1], last_b[end_b - 1] = 1, 1
+                order = np.empty(len(a) + len(b), np.int64)  # a group's tokens of A, then those of B
+                order[np.arange(len(a)) + np.repeat(end_b - size_b, size_a)] = 2 * a.astype(np.int64) + last_a
+                order[np.arange(len(b)) + np.repeat(end_a, size_b)] = 2 * size_of[0] + 2 * b.astype(np.int64) + last_b
+                until = np.cumsum(n_a + n_b)
+                digests = [hashlib.sha256("".join(names[order[e - n:e]])[:-1].encode()).hexdigest() if n else "" for e, n in zip(until.tolist(), (n_a + n_b).tolist(), strict=True)]
+                links = (a[end_a - 1].astype(np.int64) << shift | b[end_b - 1]).astype(kind)
+                stops = np.cumsum(groups)
+                each = [links[e - n:e].tobytes() for e, n in zip(stops.tolist(), groups.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (n_a, n_b, groups)), pa.array(digests, pa.string()), pa.array(each, pa.binary())], ["row", *(x.split()[0] for x in LINKED.split(", "))])
+
+    rows = docs.select((F.struct("*") if row is None else row).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {LINKED}")
 
 
-def _linked(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that end each group."""
-    (a, _), (b, _), (size_a, _), (size_b, _) = lists
-    return a[np.cumsum(size_a) - 1], b[np.cumsum(size_b) - 1]
+def _links(column: pa.Array, groups: np.ndarray) -> np.ndarray:
+    """The links of a slice's texts, one after the other; a link has 4 or 8 bytes."""
+    raw = b"".join(column.cast(pa.binary()).to_pylist())
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * groups.sum() else "<u8").astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        for part in slices(batch, batch.column(0), SLICE_TOKENS):
-            a, b = _linked(_columns(part))
-            here, times = np.unique(a << 32 | b, return_counts=True)
+        for part in slices(batch, batch.column(1), SLICE_LINKS):
+            here, times = np.unique(_links(part.column(1), part.column(0).to_numpy()), return_counts=True)
             codes, at = np.unique(np.concatenate([codes, here]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, times]), len(codes)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a_id", "b_id", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["link", "n"])
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(a_id, b_id, n, best): how many groups of all texts the two ids end, and whether no other ``a_id`` ends more with ``b_id``."""
-    each = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(_count, "a_id int, b_id int, n long")
-    pairs = each.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+def pair_counts(found: DataFrame, path_b: str = f"{TOKENIZERS}/{PIECE_BPE}") -> DataFrame:
+    """(a_id, b_id, n, best, link) out of ``linked``: how many groups of all texts the two ids end, and whether no other
+    ``a_id`` ends more with ``b_id``."""
+    shift = (len(load(path_b).table) - 1).bit_length()
+    pairs = found.select("n_groups", "links").mapInArrow(_count, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(F.shiftright("link", shift).cast("int").alias("a_id"), F.col("link").bitwiseAND(F.lit((1 << shift) - 1)).cast("int").alias("b_id"), "n", "link")
     top = pairs.groupBy("b_id").agg(F.max("n").alias("top"))
-    return pairs.join(top, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("top")).alias("best"))
+    return pairs.join(top, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("top")).alias("best"), "link")
 
 
 FIGURES = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _figures(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, times, best = known.value
-        a_last, b_last = int((codes >> 32).max(initial=0)), 0
-        names: list[np.ndarray] = []
-
-        def sums(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(values)])
-            end = np.cumsum(groups)
-            return total[end] - total[end - groups]
-
-        for batch in batches:
-            for part in slices(batch, batch.column(1), SLICE_TOKENS):
-                lists = _columns(part)
-                (a, n_a), (b, n_b), (size_a, groups), (size_b, _) = lists
-                top_a, top_b = int(a.max(initial=a_last)), int(b.max(initial=b_last))
-                if not names or top_a > a_last or top_b > b_last:  # decimal ids, each with what may follow it
-                    a_last, b_last = top_a, top_b
-                    names = [np.array([f"{i}{end}" for i in range(last + 1) for end in (",", mark)], object) for last, mark in ((a_last, "|"), (b_last, ";"))]
-                    texts = np.concatenate(names)
-                end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-                last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-                last_a[end_a - 1], last_b[end_b - 1] = 1, 1
-                order = np.empty(len(a) + len(b), np.int64)  # a group's tokens of A, then those of B
-                order[np.arange(len(a)) + np.repeat(end_b - size_b, size_a)] = 2 * a + last_a
-                order[np.arange(len(b)) + np.repeat(end_a, size_b)] = len(names[0]) + 2 * b + last_b
-                until = np.cumsum(n_a + n_b)
-                digests = [hashlib.sha256("".join(texts[order[e - n:e]])[:-1].encode()).hexdigest() if n else "" for e, n in zip(until.tolist(), (n_a + n_b).tolist(), strict=True)]
-                i, j = _linked(lists)
-                at = np.searchsorted(codes, i << 32 | j)
-                out = [n_a, n_b, groups, groups, sums(best[at].astype(np.int64), groups), sums(times[at], groups)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out), pa.array(digests, pa.string())], ["row", *(x.split()[0] for x in FIGURES.split(", "))])
-
-    return run
-
-
-def figures(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``aligned``.
+def figures(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``linked``.
 
     ``pairs`` are its ``pair_counts``, which the vocabularies bound. Tokens that end a group are linked; each has bytes, so
     a group is one link.
     """
-    got = pairs.select((F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("code"), "n", "best").toArrow()
-    columns = [got.column(k).to_numpy() for k in ("code", "n", "best")]
+    got = pairs.select("link", "n", "best").toArrow()
+    columns = [got.column(k).to_numpy() for k in ("link", "n", "best")]
     order = np.argsort(columns[0])
-    known = aligned.sparkSession.sparkContext.broadcast(tuple(c[order] for c in columns))
-    return aligned.mapInArrow(_figures(known), f"row {aligned.schema['row'].dataType.simpleString()}, {FIGURES}")
+    known = found.sparkSession.sparkContext.broadcast(tuple(c[order] for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, times, best = known.value
+        for batch in batches:
+            for part in slices(batch, batch.column(5), SLICE_LINKS):
+                groups = part.column(3).to_numpy()
+                at, end = np.searchsorted(codes, _links(part.column(5), groups)), np.cumsum(groups)
+                n_best, count_sum = (np.diff(np.concatenate([[0], np.cumsum(v[at])])[np.concatenate([[0], end])]) for v in (best.astype(np.int64), times))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], part.column(3), pa.array(n_best), pa.array(count_sum), part.column(4)], ["row", *(x.split()[0] for x in FIGURES.split(", "))])
+
+    return found.select("row", "n_a", "n_b", "n_groups", "groups_sha256", "links").mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, {FIGURES}")
 
 
 def id_map(pairs: DataFrame) -> DataFrame:

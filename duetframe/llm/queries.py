@@ -72,8 +72,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = materialize(alignment.align(table(spark, sf_dir, "documents"), row=F.struct("doc_id")), "aligned")
-    found = alignment.figures(aligned, alignment.pair_counts(aligned))
+    linked = materialize(alignment.linked(table(spark, sf_dir, "documents"), row=F.struct("doc_id")), "links")
+    found = alignment.figures(linked, alignment.pair_counts(linked))
     return found.select("row.doc_id", *found.columns[1:])
 
 

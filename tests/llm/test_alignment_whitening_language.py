@@ -57,11 +57,11 @@ def aligned_texts(texts):
 
 def test_alignment_equals_a_plain_version(spark, texts, encoders, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 3_000)
-    monkeypatch.setattr(alignment, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(alignment, "SLICE_LINKS", 500)
     monkeypatch.setattr(alignment.Encoder, "KEPT", 50)
     every = aligned_texts(texts)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(every)], "doc_id long, text string, row string, n long").repartition(3)
-    made = alignment.align(df, *PATHS, row=F.struct("doc_id", "row")).cache()
+    made, found = alignment.align(df, *PATHS, row=F.struct("doc_id", "row")), alignment.linked(df, *PATHS, row=F.struct("doc_id", "row")).cache()
     want = [plain_groups(encoders, t) for t in every]
     for r in made.collect():
         groups, x, y = [], 0, 0
@@ -72,21 +72,22 @@ def test_alignment_equals_a_plain_version(spark, texts, encoders, monkeypatch):
     links = [[(a[-1], b[-1]) for a, b in g] for g in want]
     counts = Counter(x for g in links for x in g)
     top = {b: max(n for (_, y), n in counts.items() if y == b) for _, b in counts}
-    pairs = alignment.pair_counts(made)
+    pairs = alignment.pair_counts(found)
     assert {(r["a_id"], r["b_id"]): (r["n"], r["best"]) for r in pairs.collect()} == {k: (n, n == top[k[1]]) for k, n in counts.items()}
-    for r in alignment.figures(made, pairs).collect():
+    for r in alignment.figures(found, pairs).collect():
         i = r["row"]["doc_id"]
         text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want[i])
         assert tuple(r)[1:] == (sum(len(a) for a, _ in want[i]), sum(len(b) for _, b in want[i]), len(want[i]), len(want[i]), sum(counts[x] == top[x[1]] for x in links[i]), sum(counts[x] for x in links[i]), hashlib.sha256(text.encode()).hexdigest() if text else "")
     best = {r["b_id"]: (r["a_id"], r["n"]) for r in alignment.id_map(pairs).collect()}
     assert best == {b: (min(a for (a, y), m in counts.items() if y == b and m == n), n) for b, n in top.items()}
-    made.unpersist()
+    found.unpersist()
 
 
 def test_alignment_of_empty_tables(spark, empty):
-    made = alignment.align(empty, *PATHS)
-    assert alignment.figures(made, alignment.pair_counts(made)).count() == 0
-    nothing = alignment.align(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), *PATHS)
+    assert alignment.align(empty, *PATHS).count() == 0
+    found = alignment.linked(empty, *PATHS)
+    assert alignment.figures(found, alignment.pair_counts(found)).count() == 0
+    nothing = alignment.linked(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), *PATHS)
     assert [tuple(r)[1:] for r in alignment.figures(nothing, alignment.pair_counts(nothing)).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
