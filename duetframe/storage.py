@@ -45,7 +45,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.reset(token)
         for path in made:
-            _remove(spark, path)
+            remove_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -63,11 +63,12 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder with all that is in it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Remove what this application has left in the shared folder; results that are not yet written elsewhere go with it."""
-    _remove(spark, f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}")
+    remove_path(spark, f"{shared_dir(spark)}/duetframe-{spark.sparkContext.applicationId}")
