@@ -80,6 +80,19 @@ def canonical_digest(entries: Column) -> Column:
     return sha256(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries)))))
 
 
+def canonical_json(text: Column) -> Column:
+    """SC-12: a JSON text with sorted keys at every depth and no space between; null if it is none.
+
+    Variants keep the fields of an object by name, so writing one is canonical. Repeated keys are no valid variant.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def canonical_json_digest(text: Column) -> Column:
+    """SC-12: a digest of a JSON text of any depth that depends on neither the order of keys nor on white space."""
+    return sha256(canonical_json(text))
+
+
 def speaker_rank(agent: Column) -> Column:
     """Within a turn the seeker speaks first."""
     return F.when(agent == SEEKER, 0).otherwise(1)

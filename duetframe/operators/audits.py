@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,10 @@ def manifest_rows(manifest: DataFrame) -> DataFrame:
 
 
 def conditions_outside(manifest: DataFrame, levels: DataFrame, control: str = "none") -> DataFrame:
-    """JN-8, DQ-2: rows whose condition is no cell of the grid, with the reason; levels: (factor, level)."""
+    """JN-8, DQ-2: rows whose condition is no cell of the grid, with the reason; levels: (factor, level).
+
+    A manifest that was read with its lines (``logs.read_planned``) says which line it is.
+    """
     known = {r["factor"]: r["levels"] for r in levels.groupBy("factor").agg(F.collect_set("level").alias("levels")).collect()}  # a row for each factor
     c = lambda k: F.col("condition")[k]
     is_control = c("ideology").eqNullSafe(F.lit(control))
@@ -38,7 +43,7 @@ def conditions_outside(manifest: DataFrame, levels: DataFrame, control: str = "n
               .when(is_control & (c("openness").isNotNull() | c("role").isNotNull()), "control with openness or role").when(is_control, None)
               .when(~F.coalesce(c("ideology").isin(known.get("ideology", [])), F.lit(False)), "ideology not in the grid")
               .when(~F.coalesce(c("openness").isin(known.get("openness", [])), F.lit(False)), "openness not in the grid").when(F.coalesce(c("role"), F.lit("")) == "", "treated row without a role"))
-    return manifest.withColumn("reason", reason).where("reason is not null").select("run_id", "dyad_id", "reason")
+    return manifest.withColumn("reason", reason).where("reason is not null").select("run_id", "dyad_id", *(["line"] if "line" in manifest.columns else []), "reason")
 
 
 def catalogue_gaps(parents: DataFrame, topics: DataFrame, variants: DataFrame, anchors: DataFrame, most: int) -> DataFrame:
@@ -72,12 +77,83 @@ def open_slots(rows: DataFrame) -> DataFrame:
     return slots.groupBy("template", "slot").agg(F.count("*").alias("n"), F.min("dyad_id").alias("example"))
 
 
-def unused_slots(design: Design, slots: DataFrame) -> DataFrame:
-    """DQ-5: slots (slot, source) that no template uses, and names that two sources give."""
-    used = {s for t in (design.persona, design.reminder, *design.derived.values()) for s in template_slots(t)}
-    unused = slots.where(~F.col("slot").isin(sorted(used))).select("slot", F.lit("never used").alias("reason")).distinct()
-    clash = slots.distinct().groupBy("slot").count().where("count > 1").select("slot", F.lit("given by several sources").alias("reason"))
-    return unused.unionByName(clash)
+def slot_sources(design: Design) -> DataFrame:
+    """DQ-5: (slot, source, cells): who gives a slot, in treated and in control cells.
+
+    A control has its ``by`` factors with their levels' slots, and of the derived texts, in their order, those whose template
+    uses nothing else. Levels, variants and tables stay tables; templates are a design's few texts.
+    """
+    spark = next(iter(design.factors.values())).sparkSession
+    fixed, parts = [(k, f"factor:{k}", "treated") for k in design.factors], []
+    names = lambda rows, source: rows.select(F.explode(F.map_keys("slots")).alias("slot")).distinct().select("slot", F.lit(source).alias("source"))
+    for k, levels in design.factors.items():
+        parts.append(names(levels, f"level:{k}").withColumn("cells", F.lit("treated")))
+    if design.nested:
+        fixed.append((design.nested[0], f"nested:{design.nested[0]}", "treated"))
+        parts.append(names(design.nested[2], f"variant:{design.nested[0]}").withColumn("cells", F.lit("treated")))
+    for name, (_, _, item, rows) in design.tables.items():
+        fixed.append((name, f"table:{name}", "treated"))
+        if item:
+            most = rows.agg(F.coalesce(F.max(F.size("items")), F.lit(0)).alias("n"))
+            parts.append(most.where("n > 0").select(F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(F.concat(F.lit(item), F.col("i").cast("string")).alias("slot"), F.lit(f"table:{name}").alias("source"), F.lit("treated").alias("cells")))
+    fixed += [(name, "derived", "treated") for name in design.derived]
+    if design.control:
+        by = [k for k in design.factors if k in design.control["by"]]
+        fixed += [(k, f"factor:{k}", "control") for k in by]
+        given = [names(design.factors[k], f"level:{k}") for k in by]
+        parts += [g.withColumn("cells", F.lit("control")) for g in given]
+        known = {*by, *(r["slot"] for r in reduce(DataFrame.unionByName, given).select("slot").distinct().collect())} if by else set()  # names of slots
+        for name, template in design.derived.items():
+            if {*template_slots(template)} <= known:
+                known.add(name)
+                fixed.append((name, "derived", "control"))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame(fixed, "slot string, source string, cells string"))
+
+
+def _template_slots(design: Design) -> DataFrame:
+    """(template, cells, place, slot): the slots that templates use; ``place`` counts the derived ones, which see only earlier ones."""
+    spark = next(iter(design.factors.values())).sparkSession
+    texts = [(f"derived.{name}", "treated", i, text) for i, (name, text) in enumerate(design.derived.items())]
+    last = len(texts)
+    texts += [("templates.persona", "treated", last, design.persona), ("templates.reminder", "treated", last, design.reminder)]
+    if design.control:
+        texts += [("control.persona", "control", last, design.control["persona"]), ("control.reminder", "control", last, design.control["reminder"])]
+    rows = [(template, cells, i, slot) for template, cells, i, text in texts for slot in template_slots(text)]
+    return spark.createDataFrame(rows, "template string, cells string, place int, slot string")
+
+
+def unused_slots(design: Design) -> DataFrame:
+    """DQ-5: (slot, source) that no template uses. Factors and the nested key may go unused; a table is used if its name or one of its items is."""
+    given = slot_sources(design).where("cells = 'treated'").where(~F.col("source").startswith("factor:") & ~F.col("source").startswith("nested:"))
+    used = _template_slots(design).select("slot").distinct().withColumn("used", F.lit(True))
+    marked = given.join(F.broadcast(used), "slot", "left")  # the slots of a design's few templates
+    is_table = F.col("source").startswith("table:")
+    tables = marked.where(is_table).groupBy("source").agg(F.bool_or(F.coalesce("used", F.lit(False))).alias("used")).where("not used").select(F.substring_index("source", ":", -1).alias("slot"), "source")
+    return marked.where(~is_table & F.col("used").isNull()).select("slot", F.col("source")).distinct().unionByName(tables)
+
+
+def clashing_slots(design: Design) -> DataFrame:
+    """DQ-5: (slot, sources) of the names that more than one source gives to treated cells."""
+    return slot_sources(design).where("cells = 'treated'").groupBy("slot").agg(F.array_sort(F.collect_set("source")).alias("sources")).where("size(sources) > 1")
+
+
+def unavailable_slots(design: Design) -> DataFrame:
+    """DQ-5: (template, slot, reason) of the slots that a template uses and its cells do not have.
+
+    A derived text sees what is no derived text, and those before it. What is wrong with a derived text is said once, not
+    again for the control's templates that use it.
+    """
+    order = {name: i for i, name in enumerate(design.derived)}
+    given = slot_sources(design)
+    rank = F.coalesce(F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("slot")], F.lit(-1)) if order else F.lit(-1)
+    sees = given.select("cells", "slot", F.when(F.col("source") == "derived", rank).otherwise(-1).alias("from")).groupBy("cells", "slot").agg(F.min("from").alias("from"))
+    used = _template_slots(design)
+    known = used.join(sees, ["cells", "slot"], "left")
+    missing = known.where(F.col("from").isNull() | (F.col("from") >= F.col("place")))
+    broken = missing.where(F.col("template").startswith("derived.")).select(F.substring_index("template", ".", -1).alias("slot"), F.lit("control").alias("cells")).distinct()
+    out = missing.join(broken, ["slot", "cells"], "left_anti")
+    reason = F.when(F.col("cells") == "control", "not available in the control").when(F.col("template").startswith("derived."), "not defined by anything before").otherwise("not defined")
+    return out.select("template", "slot", reason.alias("reason")).distinct()
 
 
 def design_rules(levels: DataFrame, variants: DataFrame, n_per_cell: int, control_level: str | None) -> DataFrame:

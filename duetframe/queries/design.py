@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import derived_seed, survey_turn
 from ..operators import assignment, audits, serving, summaries
+from ..sources import logs
 from ..sources.projections import RUN_SEED
+from ..storage import scratch_path
 from .base import Registry, Tables
 
 R = Registry()
@@ -177,6 +180,41 @@ def _(t: Tables):
     return audits.open_slots(assignment.manifest(d, SEED))
 
 
+def flawed(t: Tables) -> assignment.Design:
+    """A design with slots that are given twice, unused, out of order, or hidden from the control."""
+    d = design(t)
+    d.factors["openness"] = d.factors["openness"].withColumn("slots", F.create_map(F.lit("mood"), "level", F.concat(F.lit("only_"), F.lower("level")), "level"))
+    d.factors["topic"] = d.factors["topic"].withColumn("slots", F.create_map(F.lit("short"), "code", F.lit("name"), "code"))  # variants have a name as well
+    d.tables["extra"] = (("topic",), ", ", "extra_", d.tables["sources"][3])
+    d.derived = {"later": "{opening} {mood}", "opening": OPENING, "known": "{short}, {topic}"}
+    d.persona += " {missing} {mood}"
+    d.control["persona"] = "You want advice on {known}. {opening} {mood} {later}"
+    return d
+
+
+@add("dq05_unused_slots", """SELECT 'only_' || lower(openness) AS slot, 'level:openness' AS source FROM opens UNION ALL SELECT 'extra', 'table:extra' UNION ALL SELECT 'later', 'derived' WHERE false""")
+def _(t: Tables):
+    return audits.unused_slots(flawed(t))
+
+
+@add("dq05_clashing_slots", "SELECT 'name' AS slot, 'level:topic,variant:role' AS sources FROM (SELECT count(*) AS n FROM topics) x WHERE n > 0")
+def _(t: Tables):
+    return audits.clashing_slots(flawed(t)).withColumn("sources", F.array_join("sources", ","))
+
+
+@add("dq05_unavailable_slots", """SELECT * FROM (VALUES ('derived.later', 'opening', 'not defined by anything before'), ('templates.persona', 'missing', 'not defined'), ('control.persona', 'mood', 'not available in the control')) v(template, slot, reason) WHERE (SELECT count(*) FROM opens) > 0""")
+def _(t: Tables):
+    return audits.unavailable_slots(flawed(t))
+
+
+@add("dq05_slot_sources", """SELECT 'topic' AS slot, 'factor:topic' AS source, 'treated' AS cells UNION ALL SELECT 'ideology', 'factor:ideology', 'treated' UNION ALL SELECT 'openness', 'factor:openness', 'treated' UNION ALL SELECT 'role', 'nested:role', 'treated' UNION ALL SELECT 'name', 'variant:role', 'treated'
+UNION ALL SELECT 'mood', 'level:openness', 'treated' UNION ALL SELECT 'only_' || lower(openness), 'level:openness', 'treated' FROM opens UNION ALL SELECT s, 'level:topic', c FROM (VALUES ('short'), ('name')) a(s), (VALUES ('treated'), ('control')) b(c)
+UNION ALL SELECT n || x, 'table:' || n, 'treated' FROM (VALUES ('sources'), ('extra')) a(n), (SELECT '' AS x) b UNION ALL SELECT replace(n, 'sources', 'source') || '_' || i, 'table:' || n, 'treated' FROM (VALUES ('sources'), ('extra')) a(n), (SELECT unnest(range(1, (SELECT max(len(items)) FROM sources) + 1)) AS i) r
+UNION ALL SELECT s, 'derived', 'treated' FROM (VALUES ('later'), ('opening'), ('known')) a(s) UNION ALL SELECT 'topic', 'factor:topic', 'control' UNION ALL SELECT s, 'derived', 'control' FROM (VALUES ('opening'), ('known')) a(s)""")
+def _(t: Tables):
+    return audits.slot_sources(flawed(t))
+
+
 @add("dq06_design_rules", """, v AS (SELECT ideology AS parent, variant FROM variants)
 SELECT ideology AS key, 'rows do not split evenly over variants' AS reason FROM ideologies UNION ALL SELECT 'openness/' || openness, 'control level is a treated level' FROM opens WHERE openness = 'F'""")
 def _(t: Tables):
@@ -208,9 +246,11 @@ def _(t: Tables):
     return assignment.manifest(design(t), SEED).select("dyad_id", "cell", "kind", "persona_mode", "seed", "n_turns", F.sha2(F.col("persona_text").cast("binary"), 256).alias("persona"))
 
 
-@R.add("jn08_conditions_outside", "manifest", "SELECT run_id, dyad_id, 'ideology not in the grid' AS reason FROM manifest WHERE ideology = 'far_out'")
+@R.add("jn08_conditions_outside", "manifest", ", numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, dyad_id, run_id, seed) AS line FROM manifest) SELECT run_id, dyad_id, line, 'ideology not in the grid' AS reason FROM numbered WHERE ideology = 'far_out'")
 def _(t: Tables):
-    return audits.conditions_outside(t.manifest, _grid(t))
+    path = scratch_path(t.spark, "planned")
+    t.manifest.repartitionByRange(5, "conv_id").sortWithinPartitions("conv_id", "dyad_id", "run_id", "seed").select("run_id", "dyad_id", "condition", "persona_mode", "seed", "n_turns").write.json(path)
+    return audits.conditions_outside(logs.read_planned(t.spark, path), _grid(t))
 
 
 def _grid(t: Tables) -> DataFrame:
@@ -244,6 +284,32 @@ def _(t: Tables):
     return audits.wrong_seeds(t.turns, t.dyads, RUN_SEED).select("run_id", "dyad_id", "attempt", "turn", "agent", "expected")
 
 
+SEED_OF = f"cast('0x' || substr(sha256('{RUN_SEED}|' || d.seed || '|' || x.dyad_id || '|' || x.attempt || '|' || {{}} || '|' || {{}}), 1, 8) AS bigint)"
+SURVEY_SEED = SEED_OF.format("CASE phase WHEN 'pre' THEN 0 ELSE d.n_turns + 1 END", "'survey:' || phase || ':' || item_id")
+SCORE_SEED = SEED_OF.format("x.turn", "'judge:' || agent || ':' || metric")
+
+
+def logged_seeds(rows: DataFrame, dyads: DataFrame, turn, tag) -> DataFrame:
+    """``rows`` with the seed that their log should have, one off where ``pos`` is a multiple of 13."""
+    given = dyads.select("run_id", "dyad_id", "attempt", F.col("seed").alias("dyad_seed"), "n_turns")
+    right = derived_seed(F.lit(RUN_SEED), F.col("dyad_seed"), F.col("dyad_id"), F.col("attempt"), turn, tag)
+    return rows.join(given, ["run_id", "dyad_id", "attempt"]).withColumn("turn", turn).withColumn("seed", right + (F.col("pos") % 13 == 0).cast("int")).drop("dyad_seed", "n_turns")
+
+
+@R.add("dq09_survey_seeds", "surveys survey_dyads", f"SELECT x.run_id, x.dyad_id, x.attempt, item_id, phase, x.pos, {SURVEY_SEED} AS expected FROM surveys x JOIN survey_dyads d USING (run_id, dyad_id, attempt) WHERE x.pos % 13 = 0")
+def _(t: Tables):
+    tag = F.concat(F.lit("survey:"), F.col("phase"), F.lit(":"), F.col("item_id"))
+    rows = logged_seeds(t.surveys, t.survey_dyads, survey_turn(F.col("phase"), F.col("n_turns")), tag)
+    return audits.wrong_seeds(rows, t.survey_dyads, RUN_SEED, tag).select("run_id", "dyad_id", "attempt", "item_id", "phase", "pos", "expected")
+
+
+@R.add("dq09_score_seeds", "scores dyads", f"SELECT x.run_id, x.dyad_id, x.attempt, x.turn, agent, metric, x.pos, {SCORE_SEED} AS expected FROM scores x JOIN (SELECT DISTINCT run_id, dyad_id, attempt, seed FROM dyads) d USING (run_id, dyad_id, attempt) WHERE x.pos % 13 = 0")
+def _(t: Tables):
+    tag = F.concat_ws(":", F.lit("judge"), "agent", "metric")
+    rows = logged_seeds(t.scores, t.dyads.select("run_id", "dyad_id", "attempt", "seed", "n_turns").distinct(), F.col("turn"), tag)
+    return audits.wrong_seeds(rows, t.dyads, RUN_SEED, tag).select("run_id", "dyad_id", "attempt", "turn", "agent", "metric", "pos", "expected")
+
+
 @R.add("dq10_run_records", "runs", "SELECT run_id, 'changed tree' AS reason FROM runs WHERE dirty UNION ALL SELECT run_id, 'unknown commit' FROM runs WHERE harness_commit IS NULL UNION ALL SELECT run_id, 'another date than most runs' FROM runs WHERE now <> '2026-01-01'")
 def _(t: Tables):
     return audits.run_records(t.runs)

@@ -275,6 +275,20 @@ def _(t: Tables):
     return both.agg(F.count_distinct("d").alias("n"))
 
 
+NESTED = """SELECT dyad_id, attempt, run_id, sha256('{"a":' || seed || ',"b":{"x":[1,{"p":' || CASE WHEN role IS NULL THEN 'null' ELSE '"' || role || '"' END || ',"q":true}],"y":{"i":"' || dyad_id || '","j":[]}}}') AS digest FROM dyads"""
+
+
+@R.add("sc12_nested_json", "dyads", NESTED)
+def _(t: Tables):
+    role = F.coalesce(F.concat(F.lit('"'), F.col("condition")["role"], F.lit('"')), F.lit("null"))
+    inner = lambda a, b: F.when(F.col("seed") % 2 == 0, F.concat(a, F.lit(" ,\n"), b)).otherwise(F.concat(b, F.lit(","), a))
+    deep = inner(F.concat(F.lit('"p": '), role), F.lit('"q" : true'))
+    y = inner(F.concat(F.lit('"i":"'), F.col("dyad_id"), F.lit('"')), F.lit('"j":[ ]'))
+    b = inner(F.concat(F.lit('"x": [1, {'), deep, F.lit("}]")), F.concat(F.lit('"y":{'), y, F.lit("}")))
+    whole = F.concat(F.lit("{"), inner(F.concat(F.lit('"b":{'), b, F.lit("}")), F.concat(F.lit('"a": '), F.col("seed").cast("string"))), F.lit("}"))
+    return t.dyads.select("dyad_id", "attempt", "run_id", scalars.canonical_json_digest(whole).alias("digest"))
+
+
 @R.add("sc13_agent_lines", "turns", "SELECT run_id, dyad_id, attempt, agent, count(*) AS n_messages, arg_max(text, turn * 10000000000000 + pos) AS last_line, sha256(string_agg(text, '|' ORDER BY turn, pos)) AS lines FROM turns GROUP BY ALL")
 def _(t: Tables):
     return transcripts.agent_lines(t.turns).withColumn("lines", F.sha2(F.array_join("lines", "|").cast("binary"), 256))

@@ -10,7 +10,7 @@ from ..plans import composites
 from ..schemas import SCHEMAS
 from ..sources import logs, sinks
 from ..storage import scratch_path
-from ..streaming import live
+from ..streaming import growing, live
 from .base import Registry, Tables
 from .design import SEED, SQL, design
 from .dialogue import OK, RATES, judge
@@ -25,8 +25,8 @@ def as_log(df: DataFrame, kind: str) -> DataFrame:
     return df.select("pos", *[c for c in names if c in df.columns])
 
 
-#: Rows of a log file that is digested whole.
-FILE_ROWS = 100_000
+#: Rows of a log file that is digested.
+FILE_ROWS = 50_000
 
 
 def written(t: Tables, kind: str, df: DataFrame, files: int = 4, most_rows: int = 0) -> str:
@@ -105,6 +105,41 @@ def _(t: Tables):
     return logs.read_grid(t.spark, path).select("factor", "level")
 
 
+@R.add("src07_catalogue_variants", "", """SELECT o_orderpriority AS parent, place, 'c' || o_custkey AS variant, 'Customer ' || o_custkey AS name, CASE WHEN o_custkey % 2 = 0 THEN 'Even.' END AS backstory
+FROM (SELECT o_orderpriority, o_custkey, cast(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS int) AS place FROM (SELECT DISTINCT o_orderpriority, o_custkey FROM orders) x) y""")
+def _(t: Tables):
+    return logs.read_catalogue(t.spark, catalogue_file(t))[0].select("parent", "place", "variant", F.col("slots")["name"].alias("name"), F.col("slots")["backstory"].alias("backstory"))
+
+
+@R.add("src07_catalogue_anchors", "", "SELECT o_orderpriority AS parent, o_orderstatus AS topic, count(DISTINCT o_custkey % 7) AS n, min(o_custkey % 7) AS least FROM orders GROUP BY ALL")
+def _(t: Tables):
+    return logs.read_catalogue(t.spark, catalogue_file(t))[1].select("parent", "topic", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0)).cast("long").alias("least"))
+
+
+def catalogue_file(t: Tables) -> str:
+    """A catalogue of the customers of each priority, with anchors by order state, as one object."""
+    path = scratch_path(t.spark, "catalogue")
+    parent, slug = F.col("o_orderpriority").alias("parent"), F.col("o_custkey")
+    role = F.struct(slug.alias("place"), F.concat(F.lit("c"), slug).alias("slug"), F.concat(F.lit("Customer "), slug).alias("name"), F.when(slug % 2 == 0, "Even.").alias("backstory"), F.lit("Stay.").alias("reminder_self"))
+    roles = t.orders.select(parent, role.alias("r")).distinct().groupBy("parent").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.dropFields("place")).alias("v"))
+    anchors = t.orders.groupBy(parent, F.col("o_orderstatus").alias("topic")).agg(F.array_sort(F.collect_set((slug % 7).cast("string"))).alias("items"))
+    by = anchors.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("topic", "items"))).alias("a"))
+    whole = roles.join(by, "parent").agg(F.map_from_entries(F.collect_list(F.struct("parent", "v"))).alias("roles"), F.map_from_entries(F.collect_list(F.struct("parent", "a"))).alias("anchors"))
+    whole.write.json(path)
+    return path
+
+
+@R.add("src07_study_levels", "", """SELECT 'status' AS factor, cast(row_number() OVER (ORDER BY s) - 1 AS int) AS place, s AS level, CASE WHEN s = 'F' THEN 'F' ELSE 'code_' || s END AS code, n FROM (SELECT o_orderstatus AS s, cast(count(*) AS varchar) AS n FROM orders GROUP BY 1) o
+UNION ALL SELECT 'lang', cast(row_number() OVER (ORDER BY l) - 1 AS int), l, 'code_' || l, n FROM (SELECT lang AS l, cast(count(*) AS varchar) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1) d""")
+def _(t: Tables):
+    path = scratch_path(t.spark, "study")
+    levels = t.orders.select(F.lit("status").alias("key"), F.col("o_orderstatus").alias("id")).unionAll(t.documents.where("lang is not null").select(F.lit("lang"), "lang"))
+    level = F.struct("id", F.when(F.col("id") != "F", F.concat(F.lit("code_"), "id")).alias("code"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("slots"))
+    factors = levels.groupBy("key", "id").agg(F.count("*").alias("n")).select("key", level.alias("l")).groupBy("key").agg(F.array_sort(F.collect_list("l"), lambda a, b: F.when(a["id"] < b["id"], -1).otherwise(1)).alias("levels"))
+    factors.agg(F.collect_list(F.struct("key", "levels")).alias("factors")).write.json(path)
+    return logs.read_study(t.spark, path).select("factor", "place", "level", "code", F.col("slots")["n"].alias("n"))
+
+
 @R.add("src08_benchmark_files", "streams", "SELECT model, n, prefill FROM (SELECT model, count(*) AS n, cast(sum(prompt_tokens) AS bigint) AS prefill FROM streams GROUP BY 1) x")
 def _(t: Tables):
     path = scratch_path(t.spark, "bench")
@@ -133,17 +168,31 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch_path(t.spark, "manifest")
     sinks.write_manifest(assignment.manifest(design(t), SEED), path)
-    rows = t.spark.read.json(f"{path}/manifest")
-    return rows.select("dyad_id", "persona_mode", "seed", "n_turns")
+    return logs.read_planned(t.spark, f"{path}/manifest").select("line", "dyad_id", "persona_mode", "seed", "n_turns")
+
+
+R.sql["snk03_manifest_files"] = SQL + "SELECT row_number() OVER (ORDER BY shuffle_key) AS line, dyad_id, persona_mode, seed, 40 AS n_turns FROM planned"
+
+
+@R.add("snk03_assignment_file", "", None)
+def _(t: Tables):
+    path = scratch_path(t.spark, "manifest")
+    sinks.write_manifest(assignment.manifest(design(t), SEED), path)
+    lines = logs.numbered_lines(t.spark, f"{path}/assignment")
+    return lines.select("line", F.from_json("value", "grouping string, key string, n bigint").alias("r")).select("line", "r.*")
 
 
-R.sql["snk03_manifest_files"] = SQL + "SELECT dyad_id, persona_mode, seed, cast(40 AS bigint) AS n_turns FROM planned"
+R.sql["snk03_assignment_file"] = SQL + """SELECT row_number() OVER (ORDER BY "grouping", key) AS line, "grouping", key, n FROM (SELECT 'cell' AS "grouping", cell AS key, count(*) AS n FROM planned GROUP BY cell UNION ALL SELECT 'cell/variant', cell || coalesce('/' || variant, ''), count(*) FROM planned GROUP BY cell, variant UNION ALL SELECT 'mode', persona_mode, count(*) FROM planned GROUP BY persona_mode) g"""
 
 
-@R.add("snk04_digests", "", None)
+@R.add("snk04_digests", "turns", f"SELECT sha256(string_agg(line, '' ORDER BY pos)) AS sha256, cast(sum(octet_length(encode(line))) AS bigint) AS bytes FROM (SELECT run_id, pos // {FILE_ROWS} AS part, pos, run_id || '|' || dyad_id || '|' || attempt || '|' || turn || '|' || agent || '|' || coalesce(text, '') || chr(10) AS line FROM turns) x GROUP BY run_id, part")
 def _(t: Tables):
-    path = written(t, "turns", t.turns, files=max(1, -(-t.turns.count() // FILE_ROWS)), most_rows=FILE_ROWS)
-    return sinks.file_digests(t.spark, path).where("bytes > 0").select("sha256", "bytes")
+    path = scratch_path(t.spark, "digested")
+    part = F.floor(F.col("pos") / FILE_ROWS).alias("part")
+    line = F.concat_ws("|", "run_id", "dyad_id", "attempt", "turn", "agent", F.coalesce("text", F.lit("")))
+    rows = t.turns.select("run_id", part, "pos", line.alias("value")).repartition("run_id", "part").sortWithinPartitions("run_id", "part", "pos")
+    rows.select("run_id", "part", "value").write.partitionBy("run_id", "part").text(path)
+    return sinks.file_digests(t.spark, path).where(F.col("file").startswith("part-")).select("sha256", "bytes")
 
 
 @R.add("snk05_run_records", "runs", "SELECT run_id FROM runs WHERE run_id = 'r2'")
@@ -183,20 +232,69 @@ def _(t: Tables):
     return streamed(t, "status", t.status, live.resume_index, ["run_id", "dyad_id"])
 
 
-STATES = ", counts AS (SELECT run_id, count(DISTINCT dyad_id || '/' || attempt) AS begun, count(DISTINCT CASE WHEN status IN ('complete', 'failed') THEN dyad_id || '/' || attempt END) AS finished FROM status WHERE dyad_id IS NOT NULL AND attempt IS NOT NULL AND status IS NOT NULL GROUP BY 1) SELECT run_id, CASE WHEN {} THEN 'stalled' WHEN begun > finished THEN 'running' ELSE 'finished' END AS state, finished, begun - finished AS running FROM counts"
+@R.add("st01_growing_files", "turns", "SELECT run_id, agent, count(*) AS n, cast(sum(seed) AS bigint) AS seeds FROM turns GROUP BY ALL")
+def _(t: Tables):
+    """The stream is stopped and started again; the second start finds what the first has left, and more files."""
+    path, out, checkpoint = scratch_path(t.spark, "growing"), scratch_path(t.spark, "view"), scratch_path(t.spark, "checkpoint")
+    rows = as_log(t.turns, "turns").repartitionByRange(4, "pos").sortWithinPartitions("pos").drop("pos")
+    for half in (F.col("turn") <= 1, F.col("turn") > 1):
+        rows.where(half).write.mode("append").json(path)
+        stream = growing.tail_growing(t.spark, path, "turns", "part-*.json", task_bytes=1 << 20).select("run_id", "agent", "seed")
+        query = live.run_live(stream, out, [], checkpoint, "append", every="0 seconds")
+        query.processAllAvailable()
+        query.stop()
+    return live.view(t.spark, out, []).groupBy("run_id", "agent").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"))
+
+
+@R.add("st02_progress_by_file", "turns", "SELECT run_id, dyad_id, attempt, cast(count(*) FILTER (WHERE agent = 'mentor' AND finish_reason <> 'error') AS bigint) AS turns_done, max(ts) AS last_ts FROM turns GROUP BY ALL")
+def _(t: Tables):
+    out, keys = scratch_path(t.spark, "view"), ["file", "generation", *ATTEMPT]
+    stream = growing.tail_growing(t.spark, written(t, "turns", t.turns, files=5), "turns", "part-*.json")
+    query = live.run_live(live.progress_by_file(stream), out, keys, scratch_path(t.spark, "checkpoint"), every="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    return live.current_progress(live.view(t.spark, out, keys))
+
+
+STATES = ", counts AS (SELECT run_id, count(DISTINCT dyad_id || '/' || attempt) AS begun, count(DISTINCT CASE WHEN status IN ('complete', 'failed') THEN dyad_id || '/' || attempt END) AS finished FROM status WHERE dyad_id IS NOT NULL AND attempt IS NOT NULL AND status IS NOT NULL {} GROUP BY 1), plan AS (SELECT run_id, count(*) * 2 AS planned FROM manifest GROUP BY 1) SELECT run_id, CASE WHEN {} THEN 'stalled' WHEN begun > finished THEN 'running' WHEN finished < coalesce(planned, 0) THEN 'pending' ELSE 'finished' END AS state, coalesce(finished, 0) AS finished, coalesce(begun - finished, 0) AS running FROM counts FULL JOIN plan USING (run_id)"
+LEFT = "(begun IS NULL AND planned > 0 OR begun > finished OR finished < coalesce(planned, 0))"
 ATTEMPT = ["run_id", "dyad_id", "attempt"]
 
 
-@R.add("st05_liveness", "status", STATES.format("false"))
+def planned_twice(t: Tables) -> DataFrame:
+    """Twice as many attempts as the manifest has rows, so that runs without an open attempt are pending."""
+    return t.manifest.groupBy("run_id").agg((F.count("*") * 2).alias("planned"))
+
+
+@R.add("st05_liveness", "status manifest", STATES.format("AND run_id IN ('r1', 'r2')", "begun IS NULL"))
+def _(t: Tables):
+    """Two of the runs that are planned have begun, and their last rows have just come."""
+    states = streamed(t, "status", t.status, live.attempt_states, ATTEMPT).where("run_id in ('r1', 'r2')")
+    return live.liveness(states, planned_twice(t), now=F.lit("1970-01-01").cast("timestamp"))
+
+
+@R.add("st05_pending", "status manifest", STATES.format("AND status IN ('complete', 'failed')", "begun IS NULL"))
 def _(t: Tables):
-    states = streamed(t, "status", t.status, live.attempt_states, ATTEMPT)
-    return live.liveness(states, planned=1, now=F.lit("1970-01-01").cast("timestamp"))
+    """Of the ledger only what has ended: nothing runs, and what is left of the plan is pending."""
+    states = streamed(t, "status", t.status.where("status in ('complete', 'failed')"), live.attempt_states, ATTEMPT)
+    return live.liveness(states, planned_twice(t), now=F.lit("1970-01-01").cast("timestamp"))
 
 
-@R.add("st05_stalled", "status", STATES.format("begun > finished"))
+@R.add("st05_stalled", "status manifest", STATES.format("", LEFT))
 def _(t: Tables):
-    states = streamed(t, "status", t.status, live.attempt_states, ATTEMPT)
-    return live.liveness(states, planned=1, now=F.lit("2100-01-01").cast("timestamp"))
+    """The alarms of a stream to which nothing is added: timers fire, and the view says so."""
+    conf, name = t.spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = scratch_path(t.spark, "view")
+    try:
+        stream = live.alarms(live.tail(t.spark, written(t, "status", t.status, files=2), "status", files_per_trigger=2), stall_seconds=2)
+        query = live.run_live(stream, out, ATTEMPT, scratch_path(t.spark, "checkpoint"), every="1 second")
+        live.await_silence(t.spark, query, out, ATTEMPT)
+        query.stop()
+    finally:
+        conf.set(name, before)
+    return live.liveness(live.view(t.spark, out, ATTEMPT), planned_twice(t))
 
 
 @R.add("pf09_role_info", "runs", "SELECT run_id, seeker_path AS model_path FROM runs")

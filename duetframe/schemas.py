@@ -13,6 +13,7 @@ SCHEMAS = {
     "flags": "run_id string, dyad_id string, attempt int, ideology string, topic string, openness string, role string, persona_mode string, metric string, threshold double, run_length int, rule string, judge_sha256 string, flagged boolean, first_flag_turn int, scored_turns int, unscored_turns int, turns_under int, min_score double, mean_score double, final_turn int, harness_commit string, ts string",
 }
 MANIFEST = "run_id string, started_at string, seeker struct<model_path:string,model_sha256:string,alias:string,family:string>, mentor struct<model_path:string,model_sha256:string,alias:string,family:string>, judge struct<model_path:string,model_sha256:string,alias:string,family:string>, config map<string,string>, input_manifest struct<path:string,sha256:string>, harness_commit string, dirty boolean"
+PLANNED = "run_id string, dyad_id string, condition map<string,string>, persona_text string, persona_reminder string, persona_mode string, seed bigint, n_turns int"
 INSTRUMENT = "version string, items array<struct<id:string,battery:string,scale:struct<min:int,max:int>,text:string>>"
 BENCH = "model string, backend string, run string, depth int, n_parallel int, kv string, ctx_total int, load_s double, streams_ok int, cold_wall_s double, cold_pp_tokens bigint, cold_agg_prefill_tps double, warm_wall_s double, warm_gen_tokens bigint, warm_agg_tps double, warm_per_stream_tps double, warm_prefill_per_turn double, gtt_gib double, note string"
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import status_label
 from ..operators.attempts import clean_ledger
-from ..schemas import BENCH, INSTRUMENT, MANIFEST, SCHEMAS
+from ..schemas import BENCH, INSTRUMENT, MANIFEST, PLANNED, SCHEMAS
+from ..storage import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -43,6 +44,29 @@ def read_log(spark: SparkSession, path: str, kind: str, strict: bool = True) ->
     return rows.select("r.*", "pos").drop(CORRUPT)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a text, numbered from 1 over its files by name, empty ones counted.
+
+    Tasks count the lines of their blocks; what comes before a block is a sum over these counts, a row for each block, and
+    a line's number is that plus its place in the block. No task holds more than a block.
+    """
+    lines = materialize(with_place(spark.read.text(path)), "lines")
+    blocks = lines.groupBy("pos.file", "pos.start").agg(F.min("pos.row").alias("first"), F.count("*").alias("n")).collect()  # a row for each block of the scan
+    before, rows = 0, []
+    for b in sorted(blocks, key=lambda b: (b["file"], b["start"])):
+        rows.append((b["file"], b["start"], before - b["first"] + 1))
+        before += b["n"]
+    shift = spark.createDataFrame(rows, "file string, start long, shift long")
+    placed = lines.join(F.broadcast(shift), (F.col("pos.file") == F.col("file")) & (F.col("pos.start") == F.col("start")))
+    return placed.select((F.col("pos.row") + F.col("shift")).alias("line"), "value")
+
+
+def read_planned(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an input manifest with the number of their ``line`` (JN-8); lines that are no JSON object have null fields."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    return rows.select("line", F.from_json("value", PLANNED).alias("r")).select("line", "r.*")
+
+
 def read_rows_of(spark: SparkSession, path: str, kind: str, dyad_id: str) -> DataFrame:
     """SRC-3: one dyad's rows: lines that hold the id are parsed, the others are not."""
     lines = spark.read.text(path).where(F.contains("value", F.lit(f'"{dyad_id}"')))

@@ -21,18 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..schemas import SCHEMAS
+from ..sources.files import open_store
 
 #: Bytes of a file that a trigger reads, of which a task takes so many; bytes that are read at once.
 READ_BYTES, TASK_BYTES, CHUNK = 256 << 20, 32 << 20, 1 << 20
 LINES = "file string, generation int, at long, value string"
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
-
-
 def _line_end(f, start: int, limit: int, size: int) -> int:
     """Where the last whole line of [start, limit) ends; if none does, where the first one after it ends, or ``start``."""
     stop = limit
@@ -89,7 +84,7 @@ class GrowingFilesReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         from pyarrow import fs
 
-        store, base = _store(self.path)
+        store, base = open_store(self.path)
         files = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, self.pattern)]
         restarted, out = self.seen is None, dict(self.seen or {})
         for info in sorted(files, key=lambda i: i.path):
@@ -122,7 +117,7 @@ class GrowingFilesReader(DataSourceStreamReader):
         pass
 
     def read(self, r: Range) -> Iterator[tuple]:
-        store, _ = _store(self.path)
+        store, _ = open_store(self.path)
         if self._identity(store, r.file) != r.identity:
             return  # replaced since: its new generation is read instead
         with store.open_input_file(r.file) as f:

@@ -7,6 +7,7 @@ restart go on where it ended.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -118,6 +119,25 @@ def liveness(states: DataFrame, planned: DataFrame | int, now: Column | None = N
     return by.select("run_id", state.alias("state"), "finished", "running")
 
 
+def await_silence(spark: SparkSession, query: StreamingQuery, path: str, keys: list[str], seconds: float = 300) -> None:
+    """Wait until the view of ``alarms`` has attempts, and nothing but silent ones; an error after so many seconds, or if the query ends.
+
+    (A stream with timers always has a next batch, so it cannot be waited for until all is processed.)
+    """
+    until = time.monotonic() + seconds
+
+    def silent() -> bool:
+        if not any(_parts(spark, path)):
+            return False
+        found = view(spark, path, keys).agg(F.count("*").alias("n"), F.count_if("silent").alias("silent")).first()
+        return 0 < found["n"] == found["silent"]
+
+    while not silent():
+        if time.monotonic() > until or not query.isActive:
+            raise RuntimeError(f"attempts are not silent yet: {query.exception() or query.lastProgress}")
+        query.awaitTermination(1)
+
+
 def progress_by_file(turns: DataFrame) -> DataFrame:
     """ST-2 over ``growing.tail_growing``: as ``progress``, for each file and its generation."""
     done = F.count_if((F.col("agent") == "mentor") & ~F.col("finish_reason").eqNullSafe(F.lit("error")))
