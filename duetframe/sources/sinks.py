@@ -32,8 +32,13 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """SNK-4: (file, bytes, sha256) of the files under ``path``, of any size: a task reads a file piece by piece, no row holds one."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    listed = found.repartition(spark.sparkContext.defaultParallelism * 4, "path").select("path")  # the listing reads no content
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    walk, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while walk.hasNext():  # a scan would leave out empty files
+        at = walk.next().getPath()
+        if not at.getName().startswith((".", "_")):
+            found.append((at.toString(),))
+    listed = spark.createDataFrame(found, "path string").repartition(max(1, len(found)), "path")
     return listed.mapInArrow(digests, "path string, bytes long, sha256 string").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "path")
 
 

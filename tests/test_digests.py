@@ -1,7 +1,6 @@
 """Digests of a log that is larger than one file should be."""
 
 import hashlib
-import json
 from pathlib import Path
 
 from duetframe.queries import base, logs
@@ -15,11 +14,11 @@ class Source:
 def test_logs_are_digested_in_bounded_files(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(logs, "FILE_ROWS", 100, raising=False)
     monkeypatch.setattr(logs, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
-    turns = spark.range(950).selectExpr("id as pos", "'r1' as run_id", "concat('d', id) as dyad_id")
+    turns = spark.range(950).selectExpr("id as pos", "'r1' as run_id", "concat('d', id) as dyad_id", "1 as attempt", "2 as turn", "'mentor' as agent", "'é' as text")
     monkeypatch.setattr(base, "Tables", lambda spark, sf_dir: Source(spark, turns))
     got = {(r["sha256"], r["bytes"]) for r in logs.R.queries["snk04_digests"](spark, "").collect()}
-    files = [f.read_bytes() for f in Path(tmp_path).rglob("*.json")]
+    files = [f.read_bytes() for f in Path(tmp_path).rglob("part-*")]
     files = [f for f in files if f]
     assert got == {(hashlib.sha256(f).hexdigest(), len(f)) for f in files}
     assert max(f.count(b"\n") for f in files) <= 100 and len(files) >= 10
-    assert sorted(json.loads(x)["dyad_id"] for f in files for x in f.splitlines()) == sorted(f"d{i}" for i in range(950))
+    assert sorted(x.decode().split("|")[1] for f in files for x in f.splitlines()) == sorted(f"d{i}" for i in range(950))
