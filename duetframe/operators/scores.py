@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attempt_or_first, in_subsample, metric_rank, speaker_rank, standard_error
@@ -150,9 +150,14 @@ def metrics_present(scores: DataFrame) -> DataFrame:
     return firsts.select("run_id", "metric", F.row_number().over(Window.partitionBy("run_id").orderBy(metric_rank(F.col("metric")), "first")).alias("place"))
 
 
+def message_order() -> list[Column]:
+    """SO-2: by message, then by the metrics' order."""
+    return [*map(F.col, RUN_KEY), F.col("turn"), speaker_rank(F.col("agent")), metric_rank(F.col("metric")), F.col("pos")]
+
+
 def in_message_order(scores: DataFrame) -> DataFrame:
     """SO-2: scores by message, then by the metrics' order."""
-    return scores.orderBy(*RUN_KEY, "turn", speaker_rank(F.col("agent")), metric_rank(F.col("metric")), "pos")
+    return scores.orderBy(*message_order())
 
 
 def score_series(scores: DataFrame) -> DataFrame:

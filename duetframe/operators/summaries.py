@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import attempt_or_first, instant, level_label, status_label
 from ..schemas import NONE_LEVEL, RUN_KEY
 from .attempts import DYAD, clean_ledger, last_row, latest_complete, latest_status, seen_attempts
+from .ordering import with_places
 
 
 def turns_done(turns: DataFrame) -> DataFrame:
@@ -85,13 +86,13 @@ def chosen_attempt(dyads: DataFrame, status: DataFrame, attempt: int | None = No
 
 
 def runs_overview(manifest: DataFrame, status: DataFrame, dyads: DataFrame) -> DataFrame:
-    """RP-2, by run: planned and known dyads and their states, newest activity first (SO-5)."""
+    """RP-2, by run: planned and known dyads and their states; ``place`` counts from the newest activity (SO-5)."""
     counts = latest_status(status).groupBy("run_id").agg(*[F.count_if(status_label(F.col("status")) == s).alias(s) for s in ("complete", "failed", "running")])
     planned = manifest.groupBy("run_id").agg(F.count("*").alias("planned"))
     known = dyads.groupBy("run_id").agg(F.count_distinct("dyad_id").alias("dyads"))
     last = status.groupBy("run_id").agg(F.max("ts").alias("last_ts"))
     out = planned.join(counts, "run_id", "full").join(known, "run_id", "left").join(last, "run_id", "left")
-    return out.na.fill(0, ["planned", "complete", "failed", "running", "dyads"]).orderBy(F.desc("last_ts"), "run_id")
+    return with_places(out.na.fill(0, ["planned", "complete", "failed", "running", "dyads"]), F.desc("last_ts"), F.col("run_id"))
 
 
 def quality_rates(turns: DataFrame, scores: DataFrame) -> DataFrame:

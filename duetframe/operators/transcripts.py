@@ -31,6 +31,67 @@ def histories(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"earlier": own, "partner": partner})
 
 
+#: Turns of a block. A dialogue that is much longer than usual is worked on in blocks, each in a task of its own.
+BLOCK_TURNS = 64
+
+
+def block_of(turns: int = BLOCK_TURNS) -> Column:
+    return F.floor(F.col("turn") / turns).alias("block")
+
+
+def history_places(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """WN-3 to WN-5 for dialogues of any length: each message's ``place`` and ``partner`` line, and where its speaker's earlier
+    lines are: all of the blocks before ``block``, and the first ``nth`` of that block, ``n_earlier`` together, in
+    ``agent_line_blocks``. No history is copied, and a task sorts a block of a dialogue, not all of it.
+    """
+    rows = turns.withColumn("block", block_of(block_turns))
+    order = [F.col("turn"), speaker_rank(F.col("agent")), F.col("pos")]
+    mine, both = Window.partitionBy(*RUN_KEY, "block", "agent").orderBy(*order), Window.partitionBy(*RUN_KEY, "block").orderBy(*order)
+    line = lambda agent: F.when(F.col("agent") == agent, F.col("text"))
+    last = lambda agent: F.last(line(agent), ignorenulls=True).over(both.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_nth": F.row_number().over(both), "nth": F.count("text").over(mine.rowsBetween(Window.unboundedPreceding, -1)), "_seeker": last(SEEKER), "_mentor": last(MENTOR)})
+    # a row for each block: what it has, then what the blocks before it have
+    latest = lambda agent: F.max_by("text", F.when(line(agent).isNotNull(), F.struct(*order)))
+    sums = turns.withColumn("block", block_of(block_turns)).groupBy(*RUN_KEY, "block").agg(F.count("*").alias("n"), F.count(line(SEEKER)).alias("n_seeker"), F.count(line(MENTOR)).alias("n_mentor"), latest(SEEKER).alias("seeker"), latest(MENTOR).alias("mentor"))
+    earlier = Window.partitionBy(*RUN_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    sums = sums.select(*RUN_KEY, "block", total("n").alias("_n"), total("n_seeker").alias("_n_seeker"), total("n_mentor").alias("_n_mentor"), F.last("seeker", ignorenulls=True).over(earlier).alias("_old_seeker"), F.last("mentor", ignorenulls=True).over(earlier).alias("_old_mentor"))
+    out = rows.join(sums, [*RUN_KEY, "block"])
+    own = F.when(F.col("agent") == SEEKER, F.col("_n_seeker")).otherwise(F.col("_n_mentor"))
+    partner = F.when(F.col("agent") == SEEKER, F.coalesce("_mentor", "_old_mentor")).otherwise(F.coalesce("_seeker", "_old_seeker"))
+    return out.select(*turns.columns, "block", (F.col("_n") + F.col("_nth")).alias("place"), "nth", (own + F.col("nth")).alias("n_earlier"), partner.alias("partner"))
+
+
+def agent_line_blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """SC-13: the lines of each agent in order, a row for each block of a dialogue: (block, lines)."""
+    rows = F.sort_array(F.collect_list(F.struct("turn", "pos", "text")))
+    return turns.where("text is not null").groupBy(*RUN_KEY, "agent", block_of(block_turns)).agg(F.transform(rows, lambda x: x["text"]).alias("lines"))
+
+
+def agent_totals(turns: DataFrame) -> DataFrame:
+    """SC-13: by dialogue and agent, the number of messages and the last line; nothing is gathered."""
+    return turns.groupBy(*RUN_KEY, "agent").agg(F.count("*").alias("n_messages"), F.max_by("text", F.struct("turn", "pos")).alias("last_line"))
+
+
+def view_blocks(turns: DataFrame, dyads: DataFrame, agent: str, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """SC-8 for dialogues of any length: ``views`` cut into rows (block, messages), to be read one after the other.
+
+    The persona comes in a block before the first, the reminder in one after the last.
+    """
+    role = F.when(F.col("agent") == agent, "assistant").otherwise("user")
+    said = F.array_sort(F.collect_list(F.struct("turn", speaker_rank(F.col("agent")).alias("rank"), "pos", role.alias("role"), F.col("text").alias("content"))))
+    out = turns.groupBy(*RUN_KEY, block_of(block_turns)).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    if agent != SEEKER:
+        return out
+    persona = last_row(dyads.select(*RUN_KEY, "persona_text", "persona_reminder", "persona_mode", "pos"), RUN_KEY)
+    ends = turns.groupBy(*RUN_KEY).agg(F.min("turn").alias("_a"), F.max("turn").alias("_b")).join(persona, RUN_KEY, "left")
+    edge = lambda c, turn, by: F.struct((F.floor(F.col(turn) / block_turns) + by).alias("block"), F.coalesce(F.col(c), F.lit("")).alias("content"))
+    remind = (F.col("persona_mode") == "reinforced") & (F.coalesce("persona_reminder", F.lit("")) != "")
+    both = F.array(edge("persona_text", "_a", -1), F.when(remind, edge("persona_reminder", "_b", 1)))
+    system = ends.select(*RUN_KEY, F.explode(F.filter(both, lambda x: x.isNotNull())).alias("e"))
+    return out.unionByName(system.select(*RUN_KEY, "e.block", F.array(F.struct(F.lit("system").alias("role"), F.col("e.content").alias("content"))).alias("messages")))
+
+
 def cache_losses(turns: DataFrame, limit: int) -> DataFrame:
     """WN-9: messages past an agent's first that prefilled far more than expected."""
     again = F.row_number().over(message_window("agent")) > 1
@@ -122,14 +183,23 @@ def score_worklist(turns: DataFrame, dyads: DataFrame, status: DataFrame, scores
 
 
 def survey_worklist(turns: DataFrame, dyads: DataFrame, status: DataFrame, items: DataFrame, run_seed: int) -> DataFrame:
-    """RP-8: questions to ask again after the dialogue, for each attempt that counts and item of the instrument."""
-    seen = views(only_latest_complete(turns, status), dyads, MENTOR)
+    """RP-8: questions to ask again after the dialogue, for each attempt that counts and item of the instrument.
+
+    A question goes after the dialogue's ``n_messages - 1`` messages as the mentor sees them: ``view_blocks`` has these once
+    for all items, ``survey_requests`` puts both together.
+    """
+    seen = only_latest_complete(turns, status).groupBy(*RUN_KEY).agg((F.count("*") + 1).alias("n_messages"))
     spec = last_row(dyads.select(*RUN_KEY, F.col("seed").alias("dyad_seed"), "n_turns", "pos"), RUN_KEY).drop("pos")
     turn = survey_turn(F.lit("post"), F.col("n_turns"))
     seed = derived_seed(F.lit(run_seed), F.col("dyad_seed"), F.col("dyad_id"), F.col("attempt"), turn, F.concat(F.lit("survey:post:"), F.col("item_id")))
-    asked = F.concat("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
     attempts = latest_complete(status).join(spec, RUN_KEY).join(seen, RUN_KEY)
-    return attempts.crossJoin(F.broadcast(items)).select(*RUN_KEY, "item_id", turn.alias("turn"), seed.alias("seed"), F.size(asked).cast("long").alias("n_messages"), asked.alias("messages"))  # items: the instrument, a dozen rows
+    return attempts.crossJoin(F.broadcast(items)).select(*RUN_KEY, "item_id", turn.alias("turn"), seed.alias("seed"), "n_messages", F.col("text").alias("question"))  # items: the instrument, a dozen rows
+
+
+def survey_requests(worklist: DataFrame, turns: DataFrame, dyads: DataFrame) -> DataFrame:
+    """The rows of ``survey_worklist`` with all messages to send; each holds its whole dialogue, so choose the rows first."""
+    asked = F.concat("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))))
+    return worklist.join(views(turns, dyads, MENTOR), RUN_KEY).withColumn("messages", asked)
 
 
 def judge_conflicts(runs: DataFrame, judges: DataFrame) -> DataFrame:

@@ -56,6 +56,29 @@ same_as("rp09_wrong_seeds", design.R, "dq09_wrong_seeds")(lambda t: audited(t, "
 same_as("rp09_records", design.R, "dq10_run_records")(lambda t: audited(t, "records"))
 same_as("rp09_unfinished", ledger.R, "dq11_unfinished")(lambda t: audited(t, "unfinished"))
 
+same_as("rp02_runs", ledger.R, "so05_runs_newest_first")(lambda t: summarised(t, "runs"))
+
+
+@R.add("rp03_attempt", "dyads status", LATEST.format("status") + """, seen AS (SELECT run_id, dyad_id, max(attempt) AS highest FROM (SELECT run_id, dyad_id, attempt FROM dyads UNION SELECT run_id, dyad_id, attempt FROM status) x WHERE dyad_id = 'd7' GROUP BY ALL)
+SELECT s.run_id, s.dyad_id, coalesce(c.attempt, highest) AS attempt FROM seen s LEFT JOIN complete c USING (run_id, dyad_id)""")
+def _(t: Tables):
+    return composites.dyad_detail(t.dyads, t.status, t.turns, t.surveys, t.scores, "d7")["attempt"].select("run_id", "dyad_id", "attempt")
+
+
+@R.add("rp03_series", "scores status", LATEST.format("status") + """ SELECT metric, judge_sha256, count(*) AS n, round(sum(score), 6) AS total, min(turn) AS first_turn, max(turn) AS last_turn FROM scores JOIN complete USING (run_id, dyad_id, attempt) WHERE dyad_id = 'd7' AND (error IS NULL OR error = '') AND score IS NOT NULL GROUP BY ALL""")
+def _(t: Tables):
+    rows = composites.dyad_detail(t.dyads, t.status, t.turns, t.surveys, t.scores, "d7")["series"]
+    total = F.aggregate("series", F.lit(0.0), lambda a, x: a + x["score"])
+    return rows.select("metric", "judge_sha256", F.size("series").cast("long").alias("n"), total.alias("total"), F.get("series", F.lit(0))["turn"].alias("first_turn"), F.element_at("series", -1)["turn"].alias("last_turn"))
+
+
+@R.add("rp03_battery_means", "surveys survey_status survey_dyads", ledger.V + " SELECT battery, count(*) AS n_items, round(avg((post - pre) / cast(hi - lo AS double)), 6) AS mean_share FROM pairs WHERE dyad_id = (SELECT min(dyad_id) FROM survey_dyads) AND pre IS NOT NULL AND post IS NOT NULL AND hi <> lo GROUP BY battery")
+def _(t: Tables):
+    one = t.survey_dyads.agg(F.min("dyad_id").alias("d")).first()["d"]
+    rows = composites.dyad_detail(t.survey_dyads, t.survey_status, t.turns, t.surveys, t.scores, one)["battery_means"]
+    return rows.select("battery", "n_items", "mean_share")
+
+
 JUDGES = "SELECT run_id, judge_sha256 AS value, cast(row_number() OVER (PARTITION BY run_id ORDER BY min(pos)) AS int) AS place FROM scores WHERE judge_sha256 IS NOT NULL GROUP BY run_id, judge_sha256"
 R.add("rp01_judges", "scores", JUDGES)(lambda t: score_analysis(t, "judges"))
 R.add("rp02_judges", "scores", JUDGES)(lambda t: summarised(t, "judges"))

@@ -30,13 +30,15 @@ def _levels(df: DataFrame, column: str) -> DataFrame:
 
 
 def _variants(t: Tables) -> DataFrame:
-    """Three customers of each priority, by number."""
+    """The design's rule: the variants of a priority are its first three customers by number."""
     each = t.orders.select(F.col("o_orderpriority").alias("parent"), "o_custkey").distinct()
     rank = F.row_number().over(Window.partitionBy("parent").orderBy("o_custkey"))
-    return each.withColumn("place", rank - 1).where("place < 3").select("parent", F.concat(F.lit("v"), "o_custkey").alias("variant"), "place", F.create_map(F.lit("name"), F.concat(F.lit("Customer "), "o_custkey")).alias("slots"))
+    first = each.withColumn("rank", rank).where("rank <= 3").withColumn("place", F.col("rank") - 1)  # each task keeps its first three
+    return first.select("parent", F.concat(F.lit("v"), "o_custkey").alias("variant"), "place", F.create_map(F.lit("name"), F.concat(F.lit("Customer "), "o_custkey")).alias("slots"))
 
 
 def _sources(t: Tables) -> DataFrame:
+    """The design's rule: the lines looked up for a topic are the first three sources of its language."""
     return t.documents.where("lang is not null and source is not null").groupBy(F.col("lang").alias("topic")).agg(F.slice(F.array_sort(F.collect_set("source")), 1, 3).alias("items"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scalars
-from ..operators import scores, summaries, transcripts
+from ..operators import ordering, scores, summaries, transcripts
 from ..sources.projections import RUN_SEED
 from .base import Registry, Tables
 from .ledger import LATEST, S
@@ -114,9 +114,9 @@ def _(t: Tables):
     return scores.flagged_rates(scores.flags(t.dyads, t.status, t.scores, 0.6, run_length=2, judge=judge(t)), "ideology", "persona_mode")
 
 
-@R.add("so08_flags", "scores status dyads", RATES + " SELECT run_id, dyad_id, attempt, ideology, persona_mode, flagged FROM counted_flags")
+@R.add("so08_flags", "scores status dyads", RATES + " SELECT run_id, dyad_id, attempt, ideology, persona_mode, flagged, row_number() OVER (ORDER BY dyad_id, attempt, run_id) AS place FROM counted_flags")
 def _(t: Tables):
-    return scores.flags(t.dyads, t.status, t.scores, 0.6, run_length=2, judge=judge(t)).select("run_id", "dyad_id", "attempt", "ideology", "persona_mode", "flagged").orderBy("dyad_id", "attempt")
+    return scores.flags(t.dyads, t.status, t.scores, 0.6, run_length=2, judge=judge(t)).select("run_id", "dyad_id", "attempt", "ideology", "persona_mode", "flagged").transform(ordering.with_places, "dyad_id", "attempt", "run_id")
 
 
 @R.add("ag08_agreement", "scores", SHARED + " SELECT judge_sha256 AS judge_a, judge_b, count(*) AS n, round(avg(abs(score - score_b)), 6) AS mean_abs_diff, round(CASE WHEN stddev_pop(score) > 0 AND stddev_pop(score_b) > 0 THEN corr(score, score_b) END, 6) AS pearson_r, round(avg(CASE WHEN abs(score - score_b) <= 0.1 + 1e-9 THEN 1 ELSE 0 END), 6) AS within FROM pairs GROUP BY ALL")
@@ -172,10 +172,9 @@ def _(t: Tables):
 
 @R.add("so02_score_order", "scores", "SELECT run_id, metric, cast(row_number() OVER (PARTITION BY run_id ORDER BY dyad_id, attempt, turn, CASE agent WHEN 'seeker' THEN 0 ELSE 1 END, CASE metric WHEN 'prompt_to_line' THEN 0 WHEN 'line_to_line' THEN 1 ELSE 2 END, pos) AS bigint) AS place, dyad_id, pos FROM scores")
 def _(t: Tables):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy("dyad_id", "attempt", "turn", scalars.speaker_rank(F.col("agent")), scalars.metric_rank(F.col("metric")), "pos")
-    return scores.in_message_order(t.scores).withColumn("place", F.row_number().over(order).cast("long")).select("run_id", "metric", "place", "dyad_id", "pos")
+    placed = ordering.with_places(t.scores, *scores.message_order())
+    first = placed.groupBy("run_id").agg(F.min("place").alias("first"))  # a row for each run
+    return placed.join(F.broadcast(first), "run_id").select("run_id", "metric", (F.col("place") - F.col("first") + 1).alias("place"), "dyad_id", "pos")
 
 
 @R.add("wn04_earlier_lines", "turns", f"SELECT run_id, dyad_id, attempt, turn, agent, count(*) OVER w AS n_earlier, sha256(coalesce(string_agg(text, '|') OVER w, '')) AS earlier FROM turns WINDOW w AS (PARTITION BY run_id, dyad_id, attempt, agent {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -253,7 +252,7 @@ ITEMS = ", items AS (SELECT event_type AS item_id, 'How much do you agree about
 @R.add("rp08_survey_worklist", "turns dyads status", LATEST.format("status") + ITEMS + f", sizes AS (SELECT run_id, dyad_id, attempt, count(*) AS n FROM turns GROUP BY ALL) SELECT c.run_id, c.dyad_id, c.attempt, item_id, d.n_turns + 1 AS turn, cast('0x' || substr(sha256('{RUN_SEED}|' || d.seed || '|' || c.dyad_id || '|' || c.attempt || '|' || (d.n_turns + 1) || '|survey:post:' || item_id), 1, 8) AS bigint) AS seed, n + 1 AS n_messages FROM complete c JOIN dyads d USING (run_id, dyad_id, attempt) JOIN sizes USING (run_id, dyad_id, attempt) CROSS JOIN items")
 def _(t: Tables):
     items = t.events.select(F.col("event_type").alias("item_id")).distinct().withColumn("text", F.concat(F.lit("How much do you agree about "), "item_id", F.lit("?")))
-    return transcripts.survey_worklist(t.turns, t.dyads, t.status, items, RUN_SEED).drop("messages")
+    return transcripts.survey_worklist(t.turns, t.dyads, t.status, items, RUN_SEED).drop("question")
 
 
 @R.add("sc09_survey_turns", "dyads", f"SELECT run_id, dyad_id, attempt, phase, cast(CASE phase WHEN 'pre' THEN 0 ELSE n_turns + 1 END AS int) AS turn FROM dyads, (SELECT unnest(['pre', 'post']) AS phase) p")
@@ -294,6 +293,30 @@ def _(t: Tables):
     return transcripts.agent_lines(t.turns).withColumn("lines", F.sha2(F.array_join("lines", "|").cast("binary"), 256))
 
 
+@R.add("wn04_history_places", "turns", f"SELECT run_id, dyad_id, attempt, turn, agent, pos, turn // 2 AS block, count(text) OVER w AS n_earlier, row_number() OVER (PARTITION BY run_id, dyad_id, attempt {ORDER}) AS place, count(text) OVER (PARTITION BY run_id, dyad_id, attempt, agent, turn // 2 {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth FROM turns WINDOW w AS (PARTITION BY run_id, dyad_id, attempt, agent {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def _(t: Tables):
+    return transcripts.history_places(t.turns, 2).select("run_id", "dyad_id", "attempt", "turn", "agent", "pos", "block", "n_earlier", "place", "nth")
+
+
+@R.add("sc13_line_blocks", "turns", "SELECT run_id, dyad_id, attempt, agent, turn // 2 AS block, sha256(string_agg(text, '|' ORDER BY turn, pos)) AS lines FROM turns WHERE text IS NOT NULL GROUP BY ALL")
+def _(t: Tables):
+    return transcripts.agent_line_blocks(t.turns, 2).withColumn("lines", F.sha2(F.array_join("lines", "|").cast("binary"), 256))
+
+
+@R.add("sc13_agent_totals", "turns", "SELECT run_id, dyad_id, attempt, agent, count(*) AS n_messages, arg_max(text, turn * 10000000000000 + pos) AS last_line FROM turns GROUP BY ALL")
+def _(t: Tables):
+    return transcripts.agent_totals(t.turns)
+
+
+@R.add("sc08_view_blocks", "turns dyads", """, said AS (SELECT run_id, dyad_id, attempt, turn // 2 AS block, string_agg(CASE agent WHEN 'seeker' THEN 'assistant:' ELSE 'user:' END || text, '|' ORDER BY turn, CASE agent WHEN 'seeker' THEN 0 ELSE 1 END, pos) AS m FROM turns GROUP BY ALL),
+ends AS (SELECT s.*, persona_text, persona_reminder, persona_mode FROM (SELECT run_id, dyad_id, attempt, min(block) - 1 AS a, max(block) + 1 AS b FROM said GROUP BY ALL) s LEFT JOIN dyads d USING (run_id, dyad_id, attempt))
+SELECT run_id, dyad_id, attempt, block, sha256(m) AS view FROM said UNION ALL SELECT run_id, dyad_id, attempt, a, sha256('system:' || coalesce(persona_text, '')) FROM ends
+UNION ALL SELECT run_id, dyad_id, attempt, b, sha256('system:' || persona_reminder) FROM ends WHERE persona_mode = 'reinforced' AND coalesce(persona_reminder, '') <> ''""")
+def _(t: Tables):
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return transcripts.view_blocks(t.turns, t.dyads, "seeker", 2).select("run_id", "dyad_id", "attempt", "block", F.sha2(text.cast("binary"), 256).alias("view"))
+
+
 @R.add("sc03_parsed_answers", "surveys", """SELECT pos, method, value FROM (SELECT pos, lo, hi, pos % 8 AS k, pos % 7 AS j, pos % 5 + 1 AS v5, pos % 6 AS v6, pos % 12 AS v12,
   CASE pos % 8 WHEN 0 THEN pos % 7 WHEN 1 THEN pos % 5 + 1 WHEN 2 THEN pos % 5 + 1 WHEN 4 THEN pos % 6 WHEN 5 THEN pos % 12 WHEN 6 THEN 4 END AS given,
   CASE WHEN pos % 8 = 0 THEN 'json' WHEN pos % 8 IN (1, 4) OR pos % 8 = 2 AND hi = 5 THEN 'labelled' ELSE 'bare' END AS kind FROM surveys) p,

@@ -213,7 +213,7 @@ def _(t: Tables):
 
 
 @R.add("so05_runs_newest_first", "manifest status dyads", LATEST.format("status") + """, counts AS (SELECT run_id, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'started') AS running FROM latest GROUP BY 1)
-SELECT run_id, planned, complete, failed, running, dyads, last_ts FROM (SELECT run_id, count(*) AS planned FROM manifest GROUP BY 1) m JOIN counts USING (run_id) JOIN (SELECT run_id, count(DISTINCT dyad_id) AS dyads FROM dyads GROUP BY 1) d USING (run_id) JOIN (SELECT run_id, max(ts) AS last_ts FROM status GROUP BY 1) s USING (run_id)""")
+SELECT run_id, planned, complete, failed, running, dyads, last_ts, row_number() OVER (ORDER BY last_ts DESC, run_id) AS place FROM (SELECT run_id, count(*) AS planned FROM manifest GROUP BY 1) m JOIN counts USING (run_id) JOIN (SELECT run_id, count(DISTINCT dyad_id) AS dyads FROM dyads GROUP BY 1) d USING (run_id) JOIN (SELECT run_id, max(ts) AS last_ts FROM status GROUP BY 1) s USING (run_id)""")
 def _(t: Tables):
     return summaries.runs_overview(t.manifest, t.status, t.dyads)
 

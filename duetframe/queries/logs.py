@@ -306,8 +306,7 @@ def _(t: Tables):
 
 @R.add("rp01_analysis_curves", "scores status dyads", LATEST.format("status") + f", last AS (SELECT run_id, dyad_id, attempt, turn, agent, arg_max(score, pos) AS score FROM scores WHERE metric = 'alignment' AND {OK} AND score IS NOT NULL AND judge_sha256 = sha256('judge-1') GROUP BY ALL) SELECT 'all' AS level, turn, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score) / sqrt(count(*)), 6) AS se FROM last JOIN complete USING (run_id, dyad_id, attempt) GROUP BY turn")
 def _(t: Tables):
-    surveys = t.surveys.where("pos < 0")  # these dialogues have no surveys of their own
-    return composites.analyze_run(t.dyads, t.status, surveys, t.scores, None, "alignment", judge(t))["curves"]
+    return composites.analyze_run(t.dyads, t.status, t.surveys, t.scores, None, "alignment", judge(t))["curves"]
 
 
 @R.add("rp02_run_summary", "manifest status", "SELECT run_id, planned, seen FROM (SELECT run_id, count(*) AS planned FROM manifest GROUP BY 1) m JOIN (SELECT run_id, count(DISTINCT dyad_id) AS seen FROM status GROUP BY 1) s USING (run_id)")
