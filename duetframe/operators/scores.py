@@ -11,6 +11,7 @@ from .attempts import last_row, latest_complete, levels, with_treatment
 
 TARGET = [*RUN_KEY, "turn", "agent"]
 CADENCE = 4
+# How near two judges must be to agree, and the name of the flag rule.
 WITHIN = 0.1 + 1e-9
 RULE = "consecutive scored seeker turns"
 

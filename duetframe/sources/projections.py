@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_SEED = 7
+# The levels strong_left, lean_left, moderate, lean_right and strong_right, and the control's none, are fixed values of the design.
 
 
 @dataclass(frozen=True)

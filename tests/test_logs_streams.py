@@ -124,6 +124,17 @@ def test_scratch_tables_outlive_their_inputs_until_removed(spark):
     assert storage.scratch_path(spark, "a") != storage.scratch_path(spark, "a")
 
 
+def test_remove_scratch_takes_all_that_an_application_has_left(spark):
+    from duetframe import storage
+
+    df = storage.materialize(spark.range(3), "left")
+    assert df.count() == 3
+    storage.remove_scratch(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        df.collect()
+    assert storage.materialize(spark.range(2), "again").count() == 2
+
+
 def test_temporary_tables_go_but_for_those_kept(spark):
     from duetframe import storage
 
