@@ -457,6 +457,35 @@ def test_mixing(docs, texts, empty):
     assert repeated.columns == docs.columns and repeated.count() == sum(r["copies"] for r in got)
 
 
+def plain_targets(sizes):
+    """Targets by raising a level until all is given: a source's is its weight times the level, or twice its size."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    whole, low, high = 1.5 * sum(sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[s] * level, 2 * sizes[s]) for s in names) < whole else (low, level)
+    return {s: min(weight[s] * high, 2 * sizes[s]) for s in names}
+
+
+def test_mix_has_the_targets_of_a_plain_version(spark):
+    from duetframe.llm.queries import op10_mixing
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text").collect()
+    sizes, taken = {}, {}
+    for r in docs:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(brute.words(r["text"]))
+    want, source = plain_targets(sizes), {r["doc_id"]: r["source"] for r in docs}
+    got = op10_mixing(spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s], rel=1e-6, abs=1e-6) and r["taken"] <= 2 * r["size"]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= max(5, 0.001 * want[s]) for s in want)
+
+
 def test_targets_share_what_caps_leave():
     got = mixing.source_targets({"a": 10, "b": 1000, None: 90, "c": 0})
     assert got["a"] == 20 and got["c"] == 0 and abs(sum(got.values()) - 1650) < 1e-9 and all(got[s] <= 2 * n + 1e-9 for s, n in (("b", 1000), (None, 90)))
