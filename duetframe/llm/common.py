@@ -118,6 +118,8 @@ def among(hashes: DataFrame, nested: bool = False) -> Callable[[Column], Column]
 
 
 SPAN = "struct<start:int,end:int,text:string>"
+#: Matches that are placed one after the other.
+RUN = 256
 
 
 def find_spans(text: Column, pattern: str, *, group: int | None = None) -> Column:
@@ -131,11 +133,30 @@ def find_spans(text: Column, pattern: str, *, group: int | None = None) -> Colum
     if group is not None:
         parts = F.zip_with(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p, g: F.struct(g.alias("text"), p["gap"].alias("gap"), p["n"].alias("n")))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        return F.struct((start + p["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["text"].alias("text")))).alias("out"))
+    def placed(run: Column, at: Column) -> Column:
+        def step(s: Column, p: Column) -> Column:
+            start = s["at"] + p["gap"]
+            return F.struct((start + p["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["text"].alias("text")))).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda s: s["out"])
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda s: s["out"])
+
+    def in_runs(p: Column) -> Column:
+        # adding to an array copies it, so many matches are placed in runs, and only the lengths of runs are added up along the text
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, RUN))
+
+        def along(rs: Column) -> Column:
+            lengths = F.transform(rs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["gap"] + x["n"]))
+            begins = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+            return F.flatten(F.zip_with(rs, F.slice(begins, 1, F.size(rs)), placed))
+
+        return bound(runs, along)
+
+    return bound(parts, lambda p: F.when(F.size(p) <= RUN, placed(p, F.lit(0))).otherwise(in_runs(p)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def span_list(spans: Column, kinds: list[str], by_kind: bool) -> Column:
