@@ -3,12 +3,12 @@
 Base spans come from fixed patterns. Further candidates are all unbroken tokens of 12 or more characters, with digits or
 without. Two first-order models over characters, one of random strings and one of ordinary identifiers, give each candidate a log-likelihood
 ratio; it is added if the ratio is high both in total and for each character. The models learn from labelled samples: the
-values of the base spans are random strings, the words of ``SAMPLE`` documents, the first in hash order, are ordinary (those
-as long as a candidate only if two texts have them, as a random string is not found twice).
-Learning is counting of character pairs: at most 128 * 128 counts of a model ever leave the executors.
+values of the base spans are random strings, the words of all documents are ordinary (those as long as a candidate only if
+two texts have them, as a random string is not found twice; those that are a base span's value not at all).
+Learning is counting: words first, then their character pairs; at most 128 * 128 counts of a model ever leave the executors.
 
 Edge cases: a null or empty text has no spans; without samples the ratio is zero and nothing is added; repeated rows are
-judged one by one; other columns are not looked at. Offsets are code points.
+judged one by one; other columns are not looked at. A text is searched whole, whatever its length. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ MIN_TOKEN = 12
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{4,}+"
 MIN_ASSIGN = 12
-#: Documents whose words stand for ordinary identifiers, at most.
-SAMPLE = 2_000
 CODES = 128
 SMOOTHING = 0.5
 #: Weight of the single characters' shares beside a pair's own count.
@@ -64,10 +62,10 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_id", "base", free.alias("tokens"))
 
 
-def _counts(tokens: DataFrame) -> dict[int, int]:
-    """Pair to count; 128 * 128 at most."""
-    each = tokens.select(F.explode(pairs(F.col("token"))).alias("pair")).where(F.col("pair") < CODES * CODES)
-    return {r["pair"]: r["count"] for r in each.groupBy("pair").count().toLocalIterator()}
+def _counts(tokens: DataFrame, weight: Column) -> dict[int, int]:
+    """Pair to count, each token counted ``weight`` times; 128 * 128 at most."""
+    each = tokens.select(weight.alias("weight"), F.explode(pairs(F.col("token"))).alias("pair")).where((F.col("pair") < CODES * CODES) & (F.col("weight") > 0))
+    return {r["pair"]: r["count"] for r in each.groupBy("pair").agg(F.sum("weight").alias("count")).toLocalIterator()}
 
 
 def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
@@ -92,21 +90,24 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
     return [a - b for a, b in zip(logs(random), logs(ordinary), strict=True)]
 
 
-def train(docs: DataFrame, found: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    random = found.select(F.explode("base.text").alias("token"))
-    chosen = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample).select("id").distinct()
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordinary = texts.select(F.xxhash64("text").alias("th"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token"))
-    short = F.char_length("token") < MIN_TOKEN
-    again = ordinary.where(~short).groupBy("token").agg(F.count_distinct("th").alias("texts"), F.count("*").alias("n")).where("texts > 1")
-    ordinary = ordinary.where(short).select("token").unionByName(again.select("token", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("one")).select("token"))
-    return log_ratios(_counts(random), _counts(ordinary))
+def train(docs: DataFrame, found: DataFrame, *, text_col: str = "text") -> list[float]:
+    """The ratios of both models: base spans' values as found, ordinary words of all documents by how often each occurs.
+
+    Words are counted before pairs are, so what moves is each distinct word once from each task.
+    """
+    random = found.select(F.explode("base.text").alias("token"), F.lit(None).cast("long").alias("th"), F.lit(1).alias("secret"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(F.xxhash64(text).alias("th"), F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("token")).select("token", "th", F.lit(0).alias("secret"))
+    each = random.unionByName(words).groupBy("token").agg(F.sum("secret").alias("as_secret"), F.count("th").alias("as_word"), (F.min("th") < F.max("th")).alias("again"))
+    each = materialize(each, "secret-words")
+    known = (F.col("as_secret") == 0) & ((F.char_length("token") < MIN_TOKEN) | F.col("again"))
+    return log_ratios(_counts(each, F.col("as_secret")), _counts(each, F.when(known, F.col("as_word")).otherwise(F.lit(0))))
 
 
-def secrets(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end) for each row of ``docs``."""
     found = materialize(candidates(docs, id_col=id_col, text_col=text_col), "secret-candidates")
-    model = literal_doubles(train(docs, found, sample=sample, id_col=id_col, text_col=text_col))
+    model = literal_doubles(train(docs, found, text_col=text_col))
     ratio = lambda s: F.aggregate(pairs(s["text"]), F.lit(0.0), lambda a, p: a + F.get(model, p))
     liked = F.filter("tokens", lambda s: ratio(s) >= F.greatest(F.lit(MIN_TOTAL), MIN_EACH * F.char_length(s["text"])))
     slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
