@@ -10,7 +10,8 @@
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; size 0 takes nothing; rows that
 repeat an id or have none are documents of their own, in the order of their texts' hashes; an empty table gives an empty
-result.
+result. The length of a text does not matter: only its number of words moves. Columns named like the operator's own do not
+clash, as those of the input are read by the names given and stay inside ``row``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import materialize, words
 BUCKET_ROWS = 256
 #: A length of a source that has more than one of so many shares of all documents is hot.
 HOT_SHARE = 1_000
-#: Budget, in words, that is left to the knapsack: eight of the longest documents, but no more than this. It bounds the
-#: sums in reach and with them the lengths that take part, so that none has to be left out.
+#: Budget, in words, that proportional shares leave to the knapsack: eight of the longest documents, but no more than this.
+#: The knapsack is exact for what is left: a document longer than twice that could only lead away from it, all others take part.
 KNAPSACK_WORDS = 20_000
 
 
@@ -70,7 +71,7 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
     spare = [i for i in sorted(range(len(lengths)), key=lambda i: lengths[i]) if take[i] < counts[i]]
     if not spare or left <= 0:
         return take
-    top = left + lengths[spare[0]]  # beyond it a nearer sum would drop its smallest document
+    top = 2 * left  # beyond it no sum is nearer than none at all
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for i in spare:
         room, size = min(counts[i] - take[i], top // lengths[i]), 1
