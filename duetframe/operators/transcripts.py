@@ -159,9 +159,11 @@ def target_histories(targets: DataFrame, rows: DataFrame) -> DataFrame:
     before = message_window().rowsBetween(Window.unboundedPreceding, -1)
     last = lambda agent: F.last(F.when(F.col("agent") == agent, F.col("text")), ignorenulls=True).over(before)
     partner = F.when(F.col("agent") == SEEKER, last(MENTOR)).otherwise(last(SEEKER))
-    placed = rows.withColumns({"nth": F.count("text").over(message_window("agent").rowsBetween(Window.unboundedPreceding, -1)), "partner": partner})
+    spoken = lambda agent: F.count(F.when(F.col("agent") == agent, F.col("text"))).over(before)
+    nth = F.when(F.col("agent") == SEEKER, spoken(SEEKER)).otherwise(spoken(MENTOR))
+    placed = rows.withColumns({"nth": nth, "partner": partner})
     placed = targets.select(*TARGET, "pos", "metric").join(placed, [*TARGET, "pos"])
-    asked = placed.where("metric = 'line_to_line'").select(*RUN_KEY, "agent").distinct()
+    asked = targets.where("metric = 'line_to_line'").select(*RUN_KEY, "agent").distinct()
     order = F.struct("turn", speaker_rank(F.col("agent")).alias("rank"), "pos", "text")
     lines = rows.join(asked, [*RUN_KEY, "agent"], "left_semi").where("text is not null").groupBy(*RUN_KEY, "agent").agg(F.array_sort(F.collect_list(order)).alias("lines"))
     mine = placed.join(lines, [*RUN_KEY, "agent"], "left").withColumn("earlier", F.when(F.col("metric") == "line_to_line", F.transform(F.slice("lines", F.lit(1), F.col("nth").cast("int")), lambda x: x["text"])))
