@@ -9,7 +9,8 @@ bounds what is broadcast). What comes out is a compressed keep bitmap for each d
 
 Edge cases: null and empty texts are one empty line; a null id counts as the largest id, and all null ids as one document;
 rows that repeat an id keep what their document keeps (bitmaps are kept by id and a hash of the text); other columns are
-not looked at.
+not looked at. Ids are integers (others end in Spark's cast error). A text of any length is split in one task; its lines are
+rows of their own from then on.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, shuffle_partitions
+from .common import among, materialize, shuffle_partitions
 
 #: Rows of an Arrow batch that the operators give back at a time.
 BATCH = 20_000
@@ -91,11 +92,16 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((TAIL, first, None, None, seen, None), schema, strict=True)], schema=schema)
 
 
-@F.udf(T.BinaryType(), useArrow=True)
-def _bitmap(dropped: list[int], n_lines: int) -> bytes:
-    keep = np.ones(n_lines, np.uint8)
-    keep[np.asarray(dropped, np.int64)] = 0
-    return zlib.compress(np.packbits(keep).tobytes(), 6)
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, n_lines, dropped positions) in; the compressed bitmap and how many lines go out."""
+    for batch in batches:
+        keeps = []
+        for n, dropped in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            keep = np.ones(n, np.uint8)
+            keep[np.asarray(dropped, np.int64)] = 0
+            keeps.append(zlib.compress(np.packbits(keep).tobytes(), 6))
+        sizes = pa.compute.list_value_length(batch.column(3)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), sizes, pa.array(keeps, pa.binary())], ["doc_id", "th", "n_lines", "n_dropped", "keep"])
 
 
 def read_bitmap(bitmap: bytes | None, n_lines: int) -> np.ndarray:
@@ -123,7 +129,7 @@ def line_keep_bitmaps(docs: DataFrame, *, min_chars: int = 10, id_col: str = "do
     late = heads.join(F.broadcast(tails), "h").where("first < doc_id or (doc_id is null and first is not null)")
     drops = found.where(F.col("tag") == DROP).select("doc_id", "th", "pos", "n_lines").unionByName(late.select("doc_id", "th", "pos", "n_lines"))
     lost = drops.groupBy("doc_id", "th", "n_lines").agg(F.collect_set("pos").alias("dropped"))
-    return lost.select("doc_id", "th", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap("dropped", "n_lines").alias("keep"))
+    return lost.mapInArrow(_bitmaps, "doc_id long, th long, n_lines long, n_dropped long, keep binary")
 
 
 def _apply(digest_only: bool):
@@ -147,11 +153,19 @@ def _apply(digest_only: bool):
 
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, digest_only: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_lines, n_dropped, kept) for each row of ``docs``: ``row`` holds its other columns, ``kept`` the lines that stay or their SHA-256."""
+    """(row, n_lines, n_dropped, kept) for each row of ``docs``: ``row`` holds its other columns, ``kept`` the lines that stay or their SHA-256.
+
+    Only documents that may have a bitmap move; the others are read where they are.
+    """
+    bitmaps = materialize(bitmaps, "line-bitmaps")
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if not digest_only else [F.col(id_col)]
     rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    joined = rows.join(bitmaps, rows["doc_id"].eqNullSafe(bitmaps["doc_id"]) & (rows["th"] == bitmaps["th"]), "left").select("row", "text", "keep")
+    key = F.xxhash64("doc_id", "th")
+    loses = among(bitmaps.select(key.alias("h")))(key)
+    some = rows.where(loses)
+    joined = some.join(bitmaps, some["doc_id"].eqNullSafe(bitmaps["doc_id"]) & (some["th"] == bitmaps["th"]), "left").select("row", "text", "keep")
+    joined = joined.unionByName(rows.where(~loses).select("row", "text", F.lit(None).cast("binary").alias("keep")))
     return joined.mapInArrow(_apply(digest_only), f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
