@@ -46,6 +46,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         _SCOPES.reset(token)
         for path in made:
             remove_path(spark, path)
+        spark._jvm.System.gc()  # Spark removes the files of a shuffle once the driver's collector has found that nothing refers to it
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
