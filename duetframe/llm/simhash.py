@@ -182,28 +182,30 @@ def hamming_links(nodes: DataFrame, radius: int, parts: int, hot_bucket: int = H
     return out
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each ``a`` of the ``edges`` (a, b), b < a, has one ``b``, which is no ``a`` itself; edges may repeat."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).alias("to")))
+    nodes = ends.groupBy("node").agg(F.min("to").alias("least"), F.max("to").alias("most"), F.count_if(F.col("to").isNull()).alias("above"))
+    return not nodes.where("least is not null").agg(F.bool_or(F.expr("least != most or above > 0")).alias("left")).first()["left"]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node of ``links`` (a, b) can reach.
 
-    Alternating large and small stars until nothing changes; a round is a few joins of slim rows, and the number of rounds
-    grows with the logarithm of the longest chain.
+    Alternating large and small stars until only stars are left; a round is two joins of slim rows, and the number of rounds
+    grows with the logarithm of the longest chain. A round shuffles three times: its small stars find all of a node's edges in
+    one place, so repeats go there too, and what they leave is written with its repeats, as many rows as came in at most.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components")
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    while before[0]:
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), "components")
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a != b").distinct(), "components")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+        large = both.hint("merge").join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.repartition("a").distinct()
+        small = large.hint("merge").join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        edges = materialize(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")), "components")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
 def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4, parts: int | None = None, hot_bucket: int = HOT_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,3 +76,28 @@ def test_common_passages_and_large_groups(spark, monkeypatch, sample):
             w[at] = f"v{rng.integers(0, 1_000_000)}"
         texts[100 + i] = " ".join(w)
     assert found(spark, texts) == losers(texts)
+
+
+def test_components_stop_when_only_stars_are_left(spark, monkeypatch):
+    made, materialize = [], simhash.materialize
+
+    def counted(df, name, **options):
+        made.append(df)
+        return materialize(df, name, **options)
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    stars = [(a, a % 7) for a in range(7, 200)] * 2
+    got = simhash.connected_components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(a, a % 7) for a in range(200)]
+    assert len(made) == 1  # no round
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (400, 2))] + [(0, a) for a in range(1000, 1300)] + [(5000, a) for a in range(2000, 2300)] + [(a, a + 1) for a in range(3000, 3060)]
+    near = {frozenset(x) for x in links}
+    of = {a: a for x in links if x[0] != x[1] for a in x}
+    while (new := {a: min([of[a], *(of[b] for x in near if a in x for b in x)]) for a in of}) != of:
+        of = new
+    made.clear()
+    got = simhash.connected_components(spark.createDataFrame(links * 2, "a long, b long"))
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") for df in made[1:]]
+    assert sorted(map(tuple, got.collect())) == sorted(of.items())
+    assert shuffles and max(shuffles) <= 6  # three; the plan has each twice before it reuses them
