@@ -14,12 +14,13 @@ def open_store(path: str):
     """(file system, path in it) of a path or URI; ``file:/x`` as well, the way Spark spells it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path[5:]
+    return fs.FileSystem.from_uri(path)
 
 
-def digest(path: str) -> tuple[int, str]:
+def digest(store, path: str) -> tuple[int, str]:
     """Bytes and SHA-256 of a file of any size, in the memory of one piece."""
-    store, path = open_store(path)
     total, h = 0, hashlib.sha256()
     with store.open_input_stream(path) as f:
         while part := f.read(CHUNK):
@@ -48,10 +49,35 @@ def create_once(path: str, content: bytes) -> bool:
         os.unlink(draft)
 
 
-def digests(paths: Iterator) -> Iterator:
-    """For ``mapInArrow``: (path) to (path, bytes, sha256)."""
-    import pyarrow as pa
+def inside(root: str):
+    """For ``mapInArrow``: the ``path`` of folders below ``root`` to (path, bytes) of what is in each; folders have no bytes."""
+    def run(folders: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
 
-    for batch in paths:
-        found = [digest(p) for p in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())], ["path", "bytes", "sha256"])
+        store, base = open_store(root)
+        for batch in folders:
+            for folder in batch.column("path").to_pylist():
+                here = store.get_file_info(f"{base}{folder}")
+                if here.is_file:  # the root itself
+                    yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([here.size], pa.int64())], ["path", "bytes"])
+                    continue
+                found = store.get_file_info(fs.FileSelector(f"{base}{folder}"))
+                names, sizes = [f"{folder}/{x.base_name}" for x in found], [None if x.type == fs.FileType.Directory else x.size for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return run
+
+
+def digests(root: str):
+    """For ``mapInArrow``: the ``path`` of files below ``root`` to (path, bytes, sha256)."""
+    def run(paths: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        store, base = open_store(root)
+        for batch in paths:
+            names = batch.column("path").to_pylist()
+            found = [digest(store, f"{base}{x}") for x in names]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}{x}" for x in names], pa.string()), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())], ["path", "bytes", "sha256"])
+
+    return run

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.assignment import summary
 from ..operators.audits import config_conflicts
-from .files import create_once, digests
+from ..storage import materialize
+from .files import create_once, digests, inside
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -30,16 +31,34 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     summary(rows).orderBy("grouping", "key").coalesce(1).write.mode("errorifexists").json(f"{path}/assignment")
 
 
+#: Files, and bytes on the average, that one task digests.
+TASK_FILES, TASK_BYTES = 500, 128 << 20
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes) of all files below ``root``, with paths that begin there: tasks list folders, a level after the other."""
+    few = spark.sparkContext.defaultParallelism * 2
+    folders, files = spark.createDataFrame([("",)], "path string"), spark.createDataFrame([], "path string, bytes long")
+    while n := folders.count():
+        found = materialize(folders.repartition(min(n, few), "path").mapInArrow(inside(root), "path string, bytes long"), "listed")
+        folders, files = found.where("bytes is null"), files.unionByName(found.where("bytes is not null"))
+    return files
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SNK-4: (file, bytes, sha256) of the files under ``path``, of any size: a task reads a file piece by piece, no row holds one."""
+    """SNK-4: (file, bytes, sha256, path) of the files under ``path``, of any size and number.
+
+    A task reads its files piece by piece, and no row holds one. The number of tasks follows from the files and their bytes; what
+    there is to read is never on the driver.
+    """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    walk, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
-    while walk.hasNext():  # a scan would leave out empty files
-        at = walk.next().getPath()
-        if not at.getName().startswith((".", "_")):
-            found.append((at.toString(),))
-    listed = spark.createDataFrame(found, "path string").repartition(max(1, len(found)), "path")
-    return listed.mapInArrow(digests, "path string, bytes long, sha256 string").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "path")
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    files = listed_files(spark, root)
+    files = files.where(~F.element_at(F.split(F.concat(F.lit(root), "path"), "/"), -1).rlike("^[._]"))
+    n = files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(n["files"] // TASK_FILES, (n["bytes"] or 0) // TASK_BYTES, min(n["files"], spark.sparkContext.defaultParallelism * 2), 1)
+    found = files.repartition(tasks, "path").mapInArrow(digests(root), "path string, bytes long, sha256 string")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "path")
 
 
 def create_in_store(spark: SparkSession, path: str, content: bytes) -> bool:
