@@ -108,25 +108,35 @@ def _(t: Tables):
 @R.add("src07_catalogue_variants", "", """SELECT o_orderpriority AS parent, place, 'c' || o_custkey AS variant, 'Customer ' || o_custkey AS name, CASE WHEN o_custkey % 2 = 0 THEN 'Even.' END AS backstory
 FROM (SELECT o_orderpriority, o_custkey, cast(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS int) AS place FROM (SELECT DISTINCT o_orderpriority, o_custkey FROM orders) x) y""")
 def _(t: Tables):
-    return logs.read_catalogue(t.spark, catalogue_file(t))[0].select("parent", "place", "variant", F.col("slots")["name"].alias("name"), F.col("slots")["backstory"].alias("backstory"))
+    return logs.read_catalogue(t.spark, catalogue_files(t), lines=True)[0].select("parent", "place", "variant", F.col("slots")["name"].alias("name"), F.col("slots")["backstory"].alias("backstory"))
 
 
 @R.add("src07_catalogue_anchors", "", "SELECT o_orderpriority AS parent, o_orderstatus AS topic, count(DISTINCT o_custkey % 7) AS n, min(o_custkey % 7) AS least FROM orders GROUP BY ALL")
 def _(t: Tables):
-    return logs.read_catalogue(t.spark, catalogue_file(t))[1].select("parent", "topic", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0)).cast("long").alias("least"))
+    return logs.read_catalogue(t.spark, catalogue_files(t), lines=True)[1].select("parent", "topic", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0)).cast("long").alias("least"))
 
 
-def catalogue_file(t: Tables) -> str:
-    """A catalogue of the customers of each priority, with anchors by order state, as one object."""
+#: Customer keys of a line of the catalogue, and so its variants at most.
+LINE_VARIANTS = 1_000
+
+
+def catalogue_files(t: Tables) -> str:
+    """A catalogue of the customers of each priority, with anchors by order state, as lines of bounded size.
+
+    Variants are sorted by range, so that lines follow each other in their order, by file and in it.
+    """
     path = scratch_path(t.spark, "catalogue")
     parent, slug = F.col("o_orderpriority").alias("parent"), F.col("o_custkey")
     role = F.struct(slug.alias("place"), F.concat(F.lit("c"), slug).alias("slug"), F.concat(F.lit("Customer "), slug).alias("name"), F.when(slug % 2 == 0, "Even.").alias("backstory"), F.lit("Stay.").alias("reminder_self"))
-    roles = t.orders.select(parent, role.alias("r")).distinct().groupBy("parent").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.dropFields("place")).alias("v"))
-    anchors = t.orders.groupBy(parent, F.col("o_orderstatus").alias("topic")).agg(F.array_sort(F.collect_set((slug % 7).cast("string"))).alias("items"))
-    by = anchors.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("topic", "items"))).alias("a"))
-    whole = roles.join(by, "parent").agg(F.map_from_entries(F.collect_list(F.struct("parent", "v"))).alias("roles"), F.map_from_entries(F.collect_list(F.struct("parent", "a"))).alias("anchors"))
-    whole.write.json(path)
-    return path
+    block = F.floor(slug / LINE_VARIANTS).alias("block")  # a key comes once for each priority, so a line has that many at most
+    rows = t.orders.select(parent, block, slug).distinct().select("parent", "block", role.alias("r"))
+    roles = rows.groupBy("parent", "block").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.dropFields("place")).alias("v"))
+    roles = roles.repartitionByRange("parent", "block").sortWithinPartitions("parent", "block")
+    roles.select(F.create_map("parent", "v").alias("roles")).write.json(f"{path}/roles")
+    anchors = t.orders.select(parent, F.col("o_orderstatus").alias("topic"), (slug % 7).cast("string").alias("item")).distinct()
+    anchors = anchors.groupBy("parent", "topic").agg(F.array_sort(F.collect_set("item")).alias("items"))  # seven at most
+    anchors.select(F.create_map("parent", F.create_map("topic", "items")).alias("anchors")).write.json(f"{path}/anchors")
+    return f"{path}/*"
 
 
 @R.add("src07_study_levels", "", """SELECT 'status' AS factor, cast(row_number() OVER (ORDER BY s) - 1 AS int) AS place, s AS level, CASE WHEN s = 'F' THEN 'F' ELSE 'code_' || s END AS code, n FROM (SELECT o_orderstatus AS s, cast(count(*) AS varchar) AS n FROM orders GROUP BY 1) o

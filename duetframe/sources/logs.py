@@ -126,16 +126,41 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("factors").alias("factor", "levels")).select("factor", F.posexplode("levels").alias("place", "level"))
 
 
-def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-7: a catalogue's variants (parent, place, variant, slots) and anchors (parent, topic, items)."""
-    schema = "roles map<string,array<struct<slug:string,name:string,backstory:string,reminder_self:string>>>, anchors map<string,map<string,array<string>>>"
-    df = spark.read.schema(schema).option("multiLine", "true").json(path)
-    roles = df.select(F.explode("roles").alias("parent", "v")).select("parent", F.posexplode("v").alias("place", "r"))
+ROLE = "struct<slug:string,name:string,backstory:string,reminder_self:string>"
+
+
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC-7: a catalogue's variants (parent, place, variant, slots) and anchors (parent, topic, items).
+
+    A file is one object, which a task reads whole. A catalogue too large for that comes as ``lines``: each is an object of
+    the same form with a part of it; a parent's variants follow each other by file name and line, and so do a topic's items.
+    No task then holds more than a block of lines, but for a topic's items.
+    """
+    schema = f"roles map<string,array<{ROLE}>>, anchors map<string,map<string,array<string>>>"
+    read = spark.read.schema(schema)
+    if lines:
+        df = materialize(with_place(read.option("mode", "FAILFAST").json(path)), "catalogue")
+    else:
+        df = read.option("multiLine", "true").json(path)
+    roles = df.select(*["pos"] * lines, F.explode("roles").alias("parent", "v")).select(*["pos"] * lines, "parent", F.posexplode("v").alias("place", "r"))
+    anchors = df.select(*["pos"] * lines, F.explode("anchors").alias("parent", "t")).select(*["pos"] * lines, "parent", F.explode("t").alias("topic", "items"))
+    if lines:
+        roles = _places_over_lines(roles)
+        parts = anchors.groupBy("parent", "topic").agg(F.array_sort(F.collect_list(F.struct("pos", "items"))).alias("x"))
+        anchors = parts.select("parent", "topic", F.flatten("x.items").alias("items"))
     slots = F.create_map(*[x for k in ("name", "backstory", "reminder_self") for x in (F.lit(k), F.col(f"r.{k}"))])
-    anchors = df.select(F.explode("anchors").alias("parent", "t")).select("parent", F.explode("t").alias("topic", "items"))
     return roles.select("parent", "place", F.col("r.slug").alias("variant"), slots.alias("slots")), anchors
 
 
+def _places_over_lines(roles: DataFrame) -> DataFrame:
+    """``roles`` (pos, parent, place, r) with places that go on from line to line; what comes before a line is a sum over the
+    counts of lines, of which a window sees a row for each line and parent."""
+    counts = roles.groupBy("parent", "pos").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("parent").alias("of"), F.col("pos").alias("line"), (F.sum("n").over(Window.partitionBy("parent").orderBy("pos")) - F.col("n")).alias("before"))
+    placed = roles.join(before, (F.col("parent") == F.col("of")) & (F.col("pos") == F.col("line")))
+    return placed.withColumn("place", (F.col("place") + F.col("before")).cast("int"))
+
+
 def read_study(spark: SparkSession, path: str) -> DataFrame:
     """SRC-7: a study file's levels: (factor, place, level, code, slots)."""
     schema = "factors array<struct<key:string,levels:array<struct<id:string,code:string,slots:map<string,string>>>>>"

@@ -119,3 +119,17 @@ def test_slots_of_a_flawed_design(spark):
     assert {(r["slot"], tuple(r["sources"])) for r in audits.clashing_slots(d).collect()} == {("age", ("derived", "variant:role"))}
     got = {tuple(r) for r in audits.unavailable_slots(d).collect()}
     assert got == {("derived.hello", "later", "not defined by anything before"), ("templates.persona", "nme", "not defined"), ("control.persona", "fact_1", "not available in the control"), ("control.persona", "deep", "not available in the control")}
+
+
+def test_a_catalogue_in_lines_equals_the_catalogue_in_one_object(spark, tmp_path):
+    role = lambda i: {"slug": f"s{i}", "name": f"n{i}", "backstory": None, "reminder_self": "r"}
+    roles, anchors = {"left": [role(i) for i in range(25)], "right": [role(i) for i in range(7)]}, {"left": {"a": ["x", "y", "z"], "b": []}}
+    (tmp_path / "whole.json").write_text(json.dumps({"roles": roles, "anchors": anchors}, indent=1))
+    (tmp_path / "lines").mkdir()
+    parts = [{"roles": {k: v[i:i + 4] for k, v in roles.items() if v[i:i + 4]}} for i in range(0, 25, 4)] + [{"anchors": {"left": {"a": ["x", "y"]}}}, {"anchors": {"left": {"b": [], "a": ["z"]}}}]
+    for i in range(3):
+        (tmp_path / "lines" / f"part-{i}.json").write_text("".join(json.dumps(p) + "\n" for p in parts[3 * i:3 * i + 3]))
+    whole, lines = logs.read_catalogue(spark, str(tmp_path / "whole.json")), logs.read_catalogue(spark, str(tmp_path / "lines"), lines=True)
+    for a, b in zip(whole, lines, strict=True):
+        assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert whole[0].count() == 32 and {(r["topic"], *r["items"]) for r in lines[1].collect()} == {("a", "x", "y", "z"), ("b",)}
